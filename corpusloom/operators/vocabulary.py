@@ -144,14 +144,14 @@ def best_pairs(words: DataFrame, limit: int, min_frequency: int = 1) -> DataFram
     )
 
 
-def apply_merges(s: Column, merges: list[tuple[int, int, int]], step: int = 8) -> Column:
-    """Replay merges in order. The chain is padded to a multiple of ``step`` with calls
-    that match nothing, so that rounds share their compiled code."""
+def apply_merges(s: str, merges: list[tuple[int, int, int]], step: int = 8) -> Column:
+    """Replay merges in order on a symbol column. The chain is padded to a multiple of
+    ``step`` with calls that match nothing, so that rounds share their compiled code."""
     swaps = [(symbol_char(left) + symbol_char(right), symbol_char(new)) for left, right, new in merges]
-    swaps += [("\x01\x01", "\x01")] * (-len(swaps) % step)
+    swaps += [("--", "-")] * (-len(swaps) % step)
     for old, new in swaps:
-        s = F.replace(s, F.lit(old), F.lit(new))
-    return s
+        s = f"replace({s}, '{old}', '{new}')"
+    return F.expr(s)
 
 
 def _accept(
@@ -217,7 +217,7 @@ def train(
     current = cut(symbols.repartition(_round_partitions(words)), "symbols").persist()
     pending: list[tuple[int, int, int]] = []
     while len(raw) < vocab_size:
-        view = current.select("n", apply_merges(F.col("s"), pending).alias("s"))
+        view = current.select("n", apply_merges("s", pending).alias("s"))
         if len(pending) >= rebase:
             merged = cut(view.where(F.length("s") > 1), "symbols").persist()
             current.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ def select_files(spark: SparkSession, root: str, subset: str) -> DataFrame:
         found = reader.parquet(f"{root}/{subset.replace('-', '/')}/*.parquet")
     except AnalysisException:
         found = reader.option("recursiveFileLookup", "true").parquet(root)
-    ranks = spark.createDataFrame(list(enumerate(sorted(found.inputFiles()))), "file_rank int, file_path string")
-    rows = found.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row"))
+    names = sorted(re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in found.inputFiles())
+    ranks = spark.createDataFrame(list(enumerate(names)), "file_rank int, file_path string")
+    path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
+    rows = found.select("*", path.alias("file_path"), F.col("_metadata.row_index").alias("row"))
     return rows.join(ranks, "file_path")
 
 

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from corpusloom.operators import recurrence
 from corpusloom.operators.recurrence import fold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Stateful Python operators need the RocksDB provider."""
+    """Stateful Python operators need the RocksDB provider. Their classes are also loaded by
+    a process that does not see shipped files, so they travel by value."""
+    for module in (sys.modules[__name__], recurrence):
+        cloudpickle.register_pickle_by_value(module)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
