@@ -196,7 +196,7 @@ def train(
     min_frequency: int = 2,
     specials: tuple[str, ...] = DEFAULT_SPECIALS,
     candidates: int = 256,
-    rebase: int = 48,
+    rebase: int = 16,
     full_alphabet: bool = False,
 ) -> Vocabulary:
     """Learn merges from ``words(w, n)`` until ``vocab_size`` or until no pair is frequent.
