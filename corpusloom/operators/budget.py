@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators.packing import token_count
 from corpusloom.operators.positions import id_bucket, running_totals
 
-ROW_SPAN = 1 << 32
+# Room for the buckets of one file.
+ROW_BITS = 32
 
 
 def worker_cap(max_tokens: int, workers: int) -> int:
@@ -36,16 +37,16 @@ def cap_by_worker(
     return trim(worker_order(rows), max_tokens).drop("_batch")
 
 
-def worker_order(rows: DataFrame, bucket_rows: int = 8_192) -> DataFrame:
+def worker_order(rows: DataFrame) -> DataFrame:
     """Add ``start`` along the worker-major order in which shards are joined."""
     local = running_totals(
         rows, {"start": token_count()}, by=["worker"], order=["file_rank", "row"],
-        bucket=(F.col("file_rank").cast("long") * ROW_SPAN + F.floor(F.col("row") / bucket_rows)).cast("long"),
+        bucket=F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + id_bucket("row"),
         levels=3,
     )
     sums = rows.groupBy("worker").agg(F.sum(token_count()).alias("t"))
     base = running_totals(sums, {"base": F.col("t")}, bucket=F.col("worker").cast("long"), order=["worker"])
-    return local.join(base.select("worker", "base"), "worker").withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return local.join(F.broadcast(base.select("worker", "base")), "worker").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def trim(positioned: DataFrame, max_tokens: int) -> DataFrame:
@@ -64,6 +65,6 @@ def cap_by_stream(encoded: DataFrame, max_tokens: int, batch_rows: int = 2_000,
         return encoded
     rows = encoded.withColumn("_batch", F.floor(F.col(row) / batch_rows).cast("long"))
     sums = rows.groupBy("_batch").agg(F.sum(token_count()).alias("t"))
-    seen = running_totals(sums, {"before": F.col("t")}, bucket=id_bucket("_batch", 65_536), order=["_batch"])
+    seen = running_totals(sums, {"before": F.col("t")}, bucket=id_bucket("_batch"), order=["_batch"])
     kept = seen.where(F.col("before") < max_tokens).select("_batch")
     return rows.join(kept, "_batch").drop("_batch")

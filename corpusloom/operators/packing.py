@@ -21,9 +21,12 @@ def token_count(ids: str = "ids") -> Column:
 
 
 def stream_positions(encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id") -> DataFrame:
-    """Add ``start``, the position of a document's first token in its stream."""
+    """Add ``start``, the position of a document's first token in its stream.
+
+    ``encoded`` is read twice, so it should be a stored table rather than pending work.
+    """
     return running_totals(
-        encoded.where(F.size("ids") > 0), {"start": token_count()},
+        encoded, {"start": token_count()},
         bucket=id_bucket(order), order=[order], by=by, keep_bucket=True,
     )
 
@@ -59,7 +62,7 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
             (F.col("n_windows") - 1) if "n_windows" in positioned.columns else F.lit(None).cast("long"),
         ).cast("long").alias("_last"),
     )
-    rows = rows.where(F.col("_first") <= F.col("_last"))
+    rows = rows.where((F.col("_first") <= F.col("_last")) & (F.size("ids") > 0))
     rows = rows.withColumn("window", F.explode(F.sequence("_first", "_last")))
     rows = rows.withColumn("_w", F.col("_o") + F.col("window") * stride)
     inside = (F.col("_w") >= F.col(BUCKET_BEFORE)) & (
@@ -69,7 +72,9 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
     def assemble(part: DataFrame, keys: list[str]) -> DataFrame:
         lo = F.greatest("_w", "start")
         piece = F.struct(lo.alias("at"), _clip(lo, F.least(F.col("_w") + size, F.col("_end"))).alias("ids"))
-        grouped = part.groupBy(*keys).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+        # The piece is cut before grouping, so no copy of a whole document per window.
+        pieces = part.select(*keys, piece.alias("piece"))
+        grouped = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list("piece")).alias("p"))
         return grouped.select(*by, "window", F.flatten("p.ids").alias("tokens")).where(F.size("tokens") == size)
 
     local = assemble(rows.where(inside), [*by, BUCKET, "window"])

@@ -1,6 +1,6 @@
 """Exact running totals over a global order, without a one-task window.
 
-Rows are grouped in buckets that follow the order (``id div width`` for integer keys).
+Rows are grouped in buckets that follow the order (the leading bits of an integer key).
 Each bucket is summed, the small table of bucket totals is accumulated (again by
 buckets of buckets), and rows add their own running sum inside the bucket. A window
 therefore never sees more than one bucket, whatever the share of one key in the data.
@@ -15,18 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FANOUT = 65_536
-DOC_BUCKET = 8_192
+# Bucket sizes as powers of two.
+FANOUT_BITS = 16
+DOC_BITS = 10
 
 BUCKET = "_bucket"
 BUCKET_BEFORE = "_bucket_before"
 BUCKET_TOTAL = "_bucket_total"
 
 
-def id_bucket(order: Column | str, width: int = DOC_BUCKET) -> Column:
-    """Bucket of a unique integer key; holds at most ``width`` rows."""
+def id_bucket(order: Column | str, bits: int = DOC_BITS) -> Column:
+    """Bucket of a unique integer key; holds at most ``2 ** bits`` rows."""
     key = F.col(order) if isinstance(order, str) else order
-    return F.floor(key / F.lit(width)).cast("long")
+    return F.shiftright(key.cast("long"), bits)
 
 
 def _accumulate(totals: DataFrame, by: list[str], names: list[str], levels: int) -> DataFrame:
@@ -37,7 +38,7 @@ def _accumulate(totals: DataFrame, by: list[str], names: list[str], levels: int)
             *by, BUCKET, *names,
             *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_before") for n in names],
         )
-    inner = totals.withColumn("_up", F.floor(F.col(BUCKET) / FANOUT).cast("long"))
+    inner = totals.withColumn("_up", F.shiftright(BUCKET, FANOUT_BITS))
     upper = inner.groupBy(*by, F.col("_up").alias(BUCKET)).agg(*[F.sum(n).alias(n) for n in names])
     upper = _accumulate(upper, by, names, levels - 1).select(
         *by, F.col(BUCKET).alias("_up"), *[F.col(f"{n}_before").alias(f"{n}_up") for n in names]
@@ -47,7 +48,7 @@ def _accumulate(totals: DataFrame, by: list[str], names: list[str], levels: int)
         *by, "_up", BUCKET, *names,
         *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_in") for n in names],
     )
-    return local.join(upper, [*by, "_up"]).select(
+    return local.join(upper.hint("shuffle_hash"), [*by, "_up"]).select(
         *by, BUCKET, *names,
         *[(F.col(f"{n}_in") + F.col(f"{n}_up")).alias(f"{n}_before") for n in names],
     )
@@ -83,7 +84,8 @@ def running_totals(
     )
     w = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({n: F.coalesce(F.sum(parts[n]).over(w), F.lit(0)) for n in names})
-    out = rows.join(before, [*by, BUCKET])
+    # Rows already lie where their bucket is, so only the totals move, and no side is broadcast.
+    out = rows.join(before.hint("shuffle_hash"), [*by, BUCKET])
     out = out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in names})
     drop = [*parts.values(), *[f"_b_{n}" for n in names]]
     if not keep_bucket:
@@ -104,7 +106,7 @@ def row_ranks(
     return running_totals(df, {name: F.lit(1).cast("long")}, bucket=bucket, order=order, by=by, levels=levels)
 
 
-def order_value_at(df: DataFrame, order: str, n: int, width: int = FANOUT) -> int | None:
+def order_value_at(df: DataFrame, order: str, n: int, bits: int = FANOUT_BITS) -> int | None:
     """Largest ``order`` value among the first ``n`` rows, as one scalar.
 
     Counts per bucket find the boundary bucket and only that bucket is ranked, so a
@@ -112,7 +114,7 @@ def order_value_at(df: DataFrame, order: str, n: int, width: int = FANOUT) -> in
     """
     if n <= 0:
         return None
-    counts = df.groupBy(id_bucket(order, width).alias(BUCKET)).agg(F.count(F.lit(1)).alias("k"))
+    counts = df.groupBy(id_bucket(order, bits).alias(BUCKET)).agg(F.count(F.lit(1)).alias("k"))
     edge = (
         _accumulate(counts, [], ["k"], 2)
         .where(F.col("k_before") < n)
@@ -121,8 +123,8 @@ def order_value_at(df: DataFrame, order: str, n: int, width: int = FANOUT) -> in
     )
     if edge is None:
         return None
-    lo = edge[BUCKET] * width
-    inside = df.where((F.col(order) >= lo) & (F.col(order) < lo + width)).select(order)
+    lo = edge[BUCKET] << bits
+    inside = df.where((F.col(order) >= lo) & (F.col(order) < lo + (1 << bits))).select(order)
     w = Window.partitionBy(F.lit(0)).orderBy(order)
     return (
         inside.select(order, F.row_number().over(w).alias("rn"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from corpusloom.operators.positions import FANOUT, id_bucket, running_totals
+from corpusloom.operators.positions import FANOUT_BITS, id_bucket, running_totals
 
 MAX_GATE_CELLS = 16 << 20
 
@@ -111,6 +111,6 @@ def load_bias(counts: DataFrame, k: int, experts: list[str], speed: float = 0.00
     target = F.col("rows") * k / F.lit(len(experts))
     moves = full.withColumn("move", F.signum(F.col("n") - target).cast("long"))
     summed = running_totals(
-        moves, {"before": F.col("move")}, bucket=id_bucket("step", FANOUT), order=["step"], by=["layer", "expert"],
+        moves, {"before": F.col("move")}, bucket=id_bucket("step", FANOUT_BITS), order=["step"], by=["layer", "expert"],
     )
     return summed.select("step", "layer", "expert", "n", ((F.col("before") + F.col("move")) * F.lit(-speed)).alias("bias"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.schedule import cosine_lr
-from corpusloom.operators.positions import FANOUT, id_bucket, running_totals
+from corpusloom.operators.positions import FANOUT_BITS, id_bucket, running_totals
 
 
 def closes_interval(step: Column, every: int) -> Column:
@@ -44,7 +44,7 @@ def throughput(log: DataFrame, step_tokens: int, every: int, start_step: int = 0
     """
     begin = log.agg(F.min_by("ts", "step").alias("begin"))
     tokens = running_totals(
-        log, {"before": F.lit(step_tokens).cast("long")}, bucket=id_bucket("step", FANOUT), order=["step"],
+        log, {"before": F.lit(step_tokens).cast("long")}, bucket=id_bucket("step", FANOUT_BITS), order=["step"],
     )
     rows = tokens.where(closes_interval(F.col("step"), every)).join(F.broadcast(begin))
     elapsed = seconds(F.col("ts")) - seconds(F.col("begin"))
@@ -59,8 +59,8 @@ def throughput(log: DataFrame, step_tokens: int, every: int, start_step: int = 0
 def step_latency(log: DataFrame) -> DataFrame:
     """Milliseconds since the step before. The last row of a bucket is also handed to the
     next bucket, so ``lag`` never needs one window over all steps."""
-    width = FANOUT
-    own = F.floor(F.col("step") / width).cast("long")
+    width = 1 << FANOUT_BITS
+    own = id_bucket("step", FANOUT_BITS)
     homes = F.when(F.pmod("step", F.lit(width)) == width - 1, F.array(own, own + 1)).otherwise(F.array(own))
     rows = log.select("step", "ts", own.alias("own"), F.explode(homes).alias("home"))
     w = Window.partitionBy("home").orderBy("step")
@@ -88,7 +88,7 @@ def encode_progress(batches: DataFrame, max_tokens: int = 0) -> DataFrame:
     """Running progress of an encoding run from its batch log ``(batch, ts, docs, tokens)``."""
     run = running_totals(
         batches, {"docs_before": F.col("docs"), "tokens_before": F.col("tokens")},
-        bucket=id_bucket("batch", FANOUT), order=["batch"],
+        bucket=id_bucket("batch", FANOUT_BITS), order=["batch"],
     )
     begin = batches.agg(F.min_by("ts", "batch").alias("begin"))
     done = F.col("tokens_before") + F.col("tokens")

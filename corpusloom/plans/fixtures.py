@@ -11,7 +11,7 @@ from corpusloom.operators import vocabulary as voc
 from corpusloom.operators.packing import stream_positions
 from corpusloom.operators.recurrence import log_decay
 from corpusloom.operators.routing import gate_matrix, label_centroids
-from corpusloom.session import scratch_path, ship, spread
+from corpusloom.session import cut, scratch_path, ship, spread
 from corpusloom.sources import corpus
 
 EOT_TEXT = "<|EOT|>"
@@ -72,8 +72,9 @@ def with_byte_ids(d: DataFrame) -> DataFrame:
 
 
 def byte_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as byte ids, written once."""
     ship(spark)
-    return with_byte_ids(docs(spark, sf))
+    return cut(with_byte_ids(spread(docs(spark, sf))), "bytes")
 
 
 def byte_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +84,7 @@ def byte_stream(spark: SparkSession, sf: str) -> DataFrame:
 def shard_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Dirty documents dealt to shards by row, blanks dropped afterwards, as byte ids."""
     ship(spark)
-    return with_byte_ids(row_ops.drop_blank(row_ops.row_shards(docs_dirty(spark, sf), SHARDS)))
+    return cut(with_byte_ids(row_ops.drop_blank(row_ops.row_shards(docs_dirty(spark, sf), SHARDS))), "bytes")
 
 
 def vocabulary(spark: SparkSession, sf: str) -> voc.Vocabulary:

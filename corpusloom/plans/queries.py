@@ -277,7 +277,7 @@ def budget_cap(spark, sf):
 @query
 def budget_cap_stream(spark, sf):
     ship(spark)
-    coded = cut(fx.byte_docs(spark, sf).withColumn("row", F.col("doc_id")), "coded")
+    coded = fx.byte_docs(spark, sf).withColumn("row", F.col("doc_id"))
     return budget.cap_by_stream(coded, fx.MAX_TOKENS, batch_rows=50).select("doc_id", packing.token_count().alias("n"))
 
 
