@@ -15,30 +15,121 @@ from corpusloom.functions.ids import append_id
 from corpusloom.functions.text import pieces_around_specials, text_or_empty
 from corpusloom.operators.vocabulary import Vocabulary
 
+# Entries a worker remembers before it starts over, and the length from which a piece is
+# merged on its own.
 CACHE_LIMIT = 500_000
+LONG_PIECE = 512
+NO_RANK = np.int64(1 << 40)
+
+
+class PairRanks:
+    """Hash table from a pair of ids to its merge rank, read with whole arrays at once."""
+
+    def __init__(self, merges):
+        self.bits = max(4, (4 * len(merges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, NO_RANK, dtype=np.int64)
+        pairs = np.array([(left << 32) | right for left, right, _ in merges], dtype=np.int64)
+        for rank, (key, slot) in enumerate(zip(pairs.tolist(), self._slots(pairs).tolist())):
+            while self.keys[slot] not in (-1, key):
+                slot = (slot + 1) & (len(self.keys) - 1)
+            if self.keys[slot] == -1:
+                self.keys[slot], self.values[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.int64) << 32) | right
+        out = np.full(len(keys), NO_RANK, dtype=np.int64)
+        open_, slots = np.arange(len(keys)), self._slots(keys)
+        while len(open_):
+            held = self.keys[slots]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[slots[hit]]
+            going = ~hit & (held != -1)
+            open_, slots = open_[going], (slots[going] + 1) & (len(self.keys) - 1)
+        return out
 
 
 class PieceEncoder:
-    """Ids of one piece by lowest-ranked merge, remembered per worker process."""
+    """Ids of pieces by lowest-ranked merge, remembered per worker process."""
 
     def __init__(self, specials, alphabet, merges):
-        self.specials = {s: [i] for i, s in enumerate(specials)}
-        self.byte_id = {b: len(specials) + i for i, b in enumerate(alphabet)}
-        self.ranks = {(left, right): (rank, new) for rank, (left, right, new) in reversed(list(enumerate(merges)))}
-        self.cache: dict[str, list[int]] = {}
-
-    def ids(self, piece: str) -> list[int]:
-        found = self.cache.get(piece)
-        if found is None:
-            found = self.specials.get(piece) or self._merge([self.byte_id[b] for b in piece.encode() if b in self.byte_id])
-            if len(self.cache) >= CACHE_LIMIT:
-                self.cache.clear()
-            self.cache[piece] = found
+        self.specials = {s: i for i, s in enumerate(specials)}
+        self.byte_id = np.full(256, -1, dtype=np.int32)
+        self.byte_id[list(alphabet)] = np.arange(len(specials), len(specials) + len(alphabet))
+        self.merges = merges
+        self.new_ids = np.array([m[2] for m in merges], dtype=np.int32)
+        self.ranks = PairRanks(merges)
+        self.rank_of = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.entry: dict[str, int] = {}
+        self.starts = self.sizes = np.empty(0, dtype=np.int64)
+        self.store = np.empty(0, dtype=np.int32)
+
+    def locate(self, pieces: list[str]) -> np.ndarray:
+        """Entry numbers of distinct pieces; unknown ones are encoded together."""
+        unknown = [w for w in pieces if w not in self.entry]
+        if unknown and len(self.entry) + len(unknown) > CACHE_LIMIT:
+            self._forget()
+            unknown = pieces
+        if unknown:
+            self._learn(unknown)
+        return np.fromiter(map(self.entry.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _learn(self, pieces: list[str]) -> None:
+        raw = [b"" if w in self.specials else w.encode() for w in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        alone = [(i, self.specials[pieces[i]]) for i in np.flatnonzero(sizes == 0) if pieces[i] in self.specials]
+        found = [(np.array([i for i, _ in alone], np.int64), np.array([t for _, t in alone], np.int32))]
+        for i in np.flatnonzero(sizes > LONG_PIECE):
+            ids = self.merge_long([t for t in self.byte_id[list(raw[i])].tolist() if t >= 0])
+            found.append((np.full(len(ids), i), np.array(ids, np.int32)))
+            raw[i] = b""
+        words = np.repeat(np.arange(len(raw)), list(map(len, raw)))
+        ids = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        found += self.merge_all(words[ids >= 0], ids[ids >= 0])
+        words, ids = (np.concatenate(c) for c in zip(*found))
+        ids = ids[np.argsort(words, kind="stable")]
+        counts = np.bincount(words, minlength=len(pieces))
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(counts) - counts])
+        self.sizes = np.concatenate([self.sizes, counts])
+        self.store = np.concatenate([self.store, ids])
+        self.entry.update(zip(pieces, range(first, first + len(pieces))))
+
+    def merge_all(self, words: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Merge the symbols of many words side by side, each round the best pair of every
+        word; words without a pair left are set aside."""
+        found = []
+        while len(ids):
+            rank = np.full(len(ids), NO_RANK, dtype=np.int64)
+            rank[:-1] = self.ranks.of(ids[:-1], ids[1:])
+            rank[:-1][words[:-1] != words[1:]] = NO_RANK
+            heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            lengths = np.diff(np.concatenate([heads, [len(ids)]]))
+            best = np.repeat(np.minimum.reduceat(rank, heads), lengths)
+            done = best == NO_RANK
+            found.append((words[done], ids[done]))
+            hit = (rank == best) & ~done
+            # In a run such as "aaa" the pairs overlap: every other one counts, from the left.
+            spot = np.arange(len(ids))
+            opens = hit & ~np.concatenate([[False], hit[:-1]])
+            hit &= (spot - np.maximum.accumulate(np.where(opens, spot, 0))) % 2 == 0
+            ids = np.where(hit, self.new_ids[np.where(hit, rank, 0)] if len(self.new_ids) else ids, ids)
+            keep = ~done & ~np.concatenate([[False], hit[:-1]])
+            words, ids = words[keep], ids[keep]
         return found
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Neighbours are linked and candidates queued, so long pieces stay n log n."""
-        ranks = self.ranks
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """One long piece: neighbours are linked and candidates queued, n log n in all."""
+        if self.rank_of is None:
+            self.rank_of = {(m[0], m[1]): (r, m[2]) for r, m in reversed(list(enumerate(self.merges)))}
+        ranks = self.rank_of
         after = list(range(1, len(ids) + 1))
         before = list(range(-1, len(ids) - 1))
         queue = [(*ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
@@ -61,38 +152,40 @@ class PieceEncoder:
         return [t for t in ids if t >= 0]
 
 
+# Encoders of this worker process; they outlive a task and keep what they have seen.
 _ENCODERS: dict[int, PieceEncoder] = {}
 
 
-def piece_ids(words: Column, vocab: Vocabulary) -> Column:
-    """Ids of an array of pieces.
+def encode_batch(batch: pa.Array, digest: int, specials, alphabet, merges) -> pa.Array:
+    """Ids of a batch of piece arrays.
 
-    Each Arrow batch is reduced to its distinct pieces first; only those are looked up,
-    and the ids of every document are gathered from them with array arithmetic.
+    The batch is reduced to its distinct pieces first; only those are looked up, and the
+    ids of every document are gathered from them with array arithmetic.
     """
+    encoder = _ENCODERS.get(digest)
+    if encoder is None:
+        _ENCODERS.clear()
+        encoder = _ENCODERS[digest] = PieceEncoder(specials, alphabet, merges)
+    batch = batch.fill_null([]) if batch.null_count else batch
+    coded = batch.flatten().dictionary_encode()
+    entry = encoder.locate(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    length = encoder.sizes[entry]
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    values = encoder.store[np.repeat(encoder.starts[entry] - (ends - length), length) + np.arange(total)]
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))])
+    offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def piece_ids(words: Column, vocab: Vocabulary) -> Column:
+    """Ids of an array of pieces."""
     specials, alphabet, merges = vocab.specials, list(vocab.alphabet), list(vocab.merges)
     digest = hash((tuple(specials), tuple(alphabet), tuple(merges)))
 
     @arrow_udf("array<int>")
     def encode(batch: pa.Array) -> pa.Array:
-        encoder = _ENCODERS.get(digest)
-        if encoder is None:
-            _ENCODERS.clear()
-            encoder = _ENCODERS[digest] = PieceEncoder(specials, alphabet, merges)
-        batch = batch.fill_null([]) if batch.null_count else batch
-        coded = batch.flatten().dictionary_encode()
-        found = [encoder.ids(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((t for ids in found for t in ids), dtype=np.int32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[code]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        values = flat[np.repeat(starts[code] - (ends - length), length) + np.arange(total)]
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))])
-        offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        return encode_batch(batch, digest, specials, alphabet, merges)
 
     return encode(words)
 
