@@ -13,6 +13,15 @@ def shuffle_key(seed: int, shard: str = "shard", window: str = "window") -> Colu
     return F.md5(F.concat_ws(":", (F.lit(seed) + F.col(shard)).cast("string"), F.col(window).cast("string")))
 
 
+def window_grid(spark: SparkSession, shards: int, n_windows: int) -> DataFrame:
+    """``(shard, window)`` of equal shards. Their number is known from token counts, so
+    orders and schedules are planned without touching a token."""
+    i = F.col("id")
+    return spark.range(shards * n_windows).select(
+        F.floor(i / n_windows).cast("long").alias("shard"), F.pmod(i, F.lit(n_windows)).alias("window")
+    )
+
+
 def seeded_shuffle(windows: DataFrame, seed: int = 0) -> DataFrame:
     """Add ``place``, the shuffled position of a window in its shard.
 

@@ -13,7 +13,8 @@ ROW_BITS = 32
 
 
 def worker_cap(max_tokens: int, workers: int) -> int:
-    """Budget of one worker, with a fifth to spare for uneven workers."""
+    """Budget of one worker, with a fifth to spare for uneven workers; 0 is no limit, also
+    where a tiny budget rounds down to it."""
     return int(max_tokens * 1.2 / workers) if max_tokens else 0
 
 
@@ -26,8 +27,8 @@ def cap_by_worker(
     Returns the kept documents with ``start``, in worker, file and row order.
     """
     rows = encoded.withColumn("_batch", F.floor(F.col("row") / batch_rows).cast("long"))
-    if max_tokens:
-        cap = worker_cap(max_tokens, workers)
+    cap = worker_cap(max_tokens, workers)
+    if cap:
         sums = rows.groupBy("worker", "file_rank", "_batch").agg(F.sum(token_count()).alias("t"))
         seen = running_totals(
             sums, {"before": F.col("t")}, bucket=F.col("file_rank").cast("long"), order=["_batch"], by=["worker"],

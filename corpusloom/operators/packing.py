@@ -20,14 +20,16 @@ def token_count(ids: str = "ids") -> Column:
     return F.size(ids).cast("long")
 
 
-def stream_positions(encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id") -> DataFrame:
+def stream_positions(
+    encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id", levels: int = 2
+) -> DataFrame:
     """Add ``start``, the position of a document's first token in its stream.
 
     ``encoded`` is read twice, so it should be a stored table rather than pending work.
     """
     return running_totals(
         encoded, {"start": token_count()},
-        bucket=id_bucket(order), order=[order], by=by, keep_bucket=True,
+        bucket=id_bucket(order), order=[order], by=by, levels=levels, keep_bucket=True,
     )
 
 
@@ -101,12 +103,17 @@ def shift_targets(windows: DataFrame, seq_len: int) -> DataFrame:
     )
 
 
+def shard_windows(region_len: int, shards: int, seq_len: int) -> int:
+    """Windows in each of ``shards`` equal parts of a region."""
+    return max(region_len, 0) // shards // (seq_len + 1)
+
+
 def contiguous_shards(
     positioned: DataFrame, seq_len: int, shards: int, region_start: int, region_end: int
 ) -> DataFrame:
     """Windows of equal contiguous shards of a region; tails of region and shard are dropped."""
     shard_tokens = max(region_end - region_start, 0) // shards
-    n_windows = shard_tokens // (seq_len + 1)
+    n_windows = shard_windows(region_end - region_start, shards, seq_len)
     if n_windows == 0:
         return cut_windows(
             positioned.where(F.lit(False)).withColumn("shard", F.lit(0).cast("long")), seq_len, seq_len + 1, ["shard"]

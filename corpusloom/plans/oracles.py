@@ -219,6 +219,10 @@ ORACLES: dict[str, str] = {
     "seeded_shuffle": f'with {BYTE_TOKENS}, {REGION}, {TRAIN_WINDOWS}, {BATCHES} select shard, "window", place from order_keys',
     "batches": f"""with {BYTE_TOKENS}, {REGION}, {TRAIN_WINDOWS}, {BATCHES}
       select rank, worker, "window", batch, slot, feed from fed join turns using (rank, worker, batch)""",
+    "training_feed": f"""with {BYTE_TOKENS}, {REGION}, {TRAIN_WINDOWS}, {BATCHES}
+      select rank, feed, slot, array_to_string(string_split(tokens, ' ')[:{S}], ' ') as x, array_to_string(string_split(tokens, ' ')[2:], ' ') as y
+      from fed join turns using (rank, worker, batch) join wins on wins.shard = fed.rank * {fx.WORKERS} + fed.worker and wins."window" = fed."window"
+      """,
     "eval_take_n": f"""with {BYTE_TOKENS}, {REGION}, tail as (select (pos - train_end) // {W} as w, pos, id from toks, region where pos >= train_end),
       evals as (select w, string_agg(id::varchar, ' ' order by pos) tokens from tail group by w having count(*) = {W})
       select w // {fx.BATCH} as batch, (w % {fx.BATCH})::int as slot, tokens from evals where w // {fx.BATCH} < 1""",

@@ -282,9 +282,9 @@ def budget_cap_stream(spark, sf):
 
 
 def _regions(spark, sf):
-    positioned = cut(fx.byte_stream(spark, sf), "positioned")
-    total = packing.total_tokens(positioned)
-    return positioned, total, packing.split_point(total, fx.SEQ_LEN, fx.BATCH, fx.EVAL_STEPS)
+    coded = fx.byte_docs(spark, sf)
+    total = packing.total_tokens(coded)
+    return packing.stream_positions(coded), total, packing.split_point(total, fx.SEQ_LEN, fx.BATCH, fx.EVAL_STEPS)
 
 
 @query
@@ -299,9 +299,10 @@ def tail_split(spark, sf):
     return packing.tail_split(positioned, end).select("doc_id", "split", "start", packing.token_count().alias("n"))
 
 
-def _train_windows(spark, sf):
-    positioned, _, end = _regions(spark, sf)
-    return packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
+def _train_order(spark, sf):
+    _, _, end = _regions(spark, sf)
+    n = packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
+    return batching.seeded_shuffle(batching.window_grid(spark, fx.SHARDS, n), fx.SEED)
 
 
 def _eval_windows(spark, sf):
@@ -310,13 +311,12 @@ def _eval_windows(spark, sf):
 
 
 def _train_batches(spark, sf):
-    order = _train_windows(spark, sf).select("shard", "window")
-    return batching.batches(batching.seeded_shuffle(order, fx.SEED), fx.BATCH, fx.WORKERS)
+    return batching.batches(_train_order(spark, sf), fx.BATCH, fx.WORKERS)
 
 
 @query
 def seeded_shuffle(spark, sf):
-    return batching.seeded_shuffle(_train_windows(spark, sf), fx.SEED).select("shard", "window", "place")
+    return _train_order(spark, sf).select("shard", "window", "place")
 
 
 @query
@@ -344,6 +344,16 @@ def budget_report(spark, sf):
     return batching.budget_report(tokens, fx.BATCH, fx.GRAD_ACCUM, fx.RANKS, fx.SEQ_LEN, max_steps=20_000)
 
 
+@query
+def training_feed(spark, sf):
+    """Windows in the order ranks read them: the stream cut, shuffled, batched and shifted."""
+    positioned, _, end = _regions(spark, sf)
+    windows = packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
+    order = _train_batches(spark, sf).select("shard", "window", "rank", "feed", "slot")
+    fed = packing.shift_targets(windows.join(order, ["shard", "window"]), fx.SEQ_LEN)
+    return as_text(fed.select("rank", "feed", "slot", "x", "y"), "x", "y")
+
+
 # Training log and routing log
 
 
