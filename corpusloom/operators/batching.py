@@ -53,7 +53,8 @@ def batches(placed: DataFrame, batch_size: int, workers: int) -> DataFrame:
         "given", F.lit(0).cast("long"),
         lambda acc, g: acc + F.least(g["n"], F.col("batch") + (g["worker"] < F.col("worker")).cast("long")),
     )
-    return rows.join(per_rank, "rank").withColumn("feed", earlier).drop("given")
+    # One row per rank, each with one entry per worker.
+    return rows.join(F.broadcast(per_rank), "rank").withColumn("feed", earlier).drop("given")
 
 
 def take_batches(batched: DataFrame, n: int) -> DataFrame:
@@ -67,7 +68,7 @@ def epoch_schedule(spark: SparkSession, batched: DataFrame, steps: int, grad_acc
     )
     sizes = feeds.groupBy("rank").agg(F.first("rank_batches").alias("rank_batches"))
     turns = spark.range(steps * grad_accum).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(world - 1))))
-    wanted = turns.join(sizes, "rank").select(
+    wanted = turns.join(F.broadcast(sizes), "rank").select(
         "rank",
         F.floor(F.col("id") / grad_accum).cast("long").alias("step"),
         F.pmod("id", F.lit(grad_accum)).cast("int").alias("micro"),

@@ -33,8 +33,10 @@ def cap_by_worker(
         seen = running_totals(
             sums, {"before": F.col("t")}, bucket=F.col("file_rank").cast("long"), order=["_batch"], by=["worker"],
         )
-        kept = seen.where(F.col("before") < cap).select("worker", "file_rank", "_batch")
-        rows = rows.join(kept, ["worker", "file_rank", "_batch"])
+        # Kept batches are a prefix of each worker's order: one row per worker tells where it ends.
+        spot = F.struct("file_rank", "_batch")
+        edges = seen.where(F.col("before") < cap).groupBy("worker").agg(F.max(spot).alias("_edge"))
+        rows = rows.join(F.broadcast(edges), "worker").where(spot <= F.col("_edge")).drop("_edge")
     return trim(worker_order(rows), max_tokens).drop("_batch")
 
 
@@ -67,5 +69,5 @@ def cap_by_stream(encoded: DataFrame, max_tokens: int, batch_rows: int = 2_000,
     rows = encoded.withColumn("_batch", F.floor(F.col(row) / batch_rows).cast("long"))
     sums = rows.groupBy("_batch").agg(F.sum(token_count()).alias("t"))
     seen = running_totals(sums, {"before": F.col("t")}, bucket=id_bucket("_batch"), order=["_batch"])
-    kept = seen.where(F.col("before") < max_tokens).select("_batch")
-    return rows.join(kept, "_batch").drop("_batch")
+    last = seen.where(F.col("before") < max_tokens).agg(F.max("_batch")).scalar()
+    return rows.where(F.col("_batch") <= last).drop("_batch")

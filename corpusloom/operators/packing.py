@@ -48,15 +48,17 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
     Optional columns: ``origin`` moves window 0 of a group, ``n_windows`` bounds them.
 
     A window whose tokens all lie in one position bucket is put together where the
-    bucket already is; just the few that span buckets are shuffled again. No group is
-    larger than one window.
+    bucket already is; just the few that span buckets are shuffled again. Rows without
+    buckets, such as stored blocks, are taken as long runs: a window inside one row is a
+    plain slice of it. No group is larger than one window.
     """
+    bucketed = BUCKET in positioned.columns
     by = list(by)
     size = seq_len + 1
     start, end = F.col("start"), F.col("start") + token_count()
     origin = F.col("origin") if "origin" in positioned.columns else F.lit(0).cast("long")
     rows = positioned.select(
-        *by, BUCKET, BUCKET_BEFORE, BUCKET_TOTAL, "start", "ids",
+        *by, *([BUCKET, BUCKET_BEFORE, BUCKET_TOTAL] if bucketed else []), "start", "ids",
         origin.alias("_o"), end.alias("_end"),
         F.greatest(F.floor((start - origin - size) / stride) + 1, F.lit(0)).cast("long").alias("_first"),
         F.least(
@@ -67,21 +69,23 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
     rows = rows.where((F.col("_first") <= F.col("_last")) & (F.size("ids") > 0))
     rows = rows.withColumn("window", F.explode(F.sequence("_first", "_last")))
     rows = rows.withColumn("_w", F.col("_o") + F.col("window") * stride)
-    inside = (F.col("_w") >= F.col(BUCKET_BEFORE)) & (
-        F.col("_w") + size <= F.col(BUCKET_BEFORE) + F.col(BUCKET_TOTAL)
-    )
+    lo = F.greatest("_w", "start")
+    piece = _clip(lo, F.least(F.col("_w") + size, F.col("_end")))
 
     def assemble(part: DataFrame, keys: list[str]) -> DataFrame:
-        lo = F.greatest("_w", "start")
-        piece = F.struct(lo.alias("at"), _clip(lo, F.least(F.col("_w") + size, F.col("_end"))).alias("ids"))
         # The piece is cut before grouping, so no copy of a whole document per window.
-        pieces = part.select(*keys, piece.alias("piece"))
+        pieces = part.select(*keys, F.struct(lo.alias("at"), piece.alias("ids")).alias("piece"))
         grouped = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list("piece")).alias("p"))
         return grouped.select(*by, "window", F.flatten("p.ids").alias("tokens")).where(F.size("tokens") == size)
 
-    local = assemble(rows.where(inside), [*by, BUCKET, "window"])
-    spanning = assemble(rows.where(~inside), [*by, "window"])
-    return local.unionByName(spanning)
+    if bucketed:
+        first, last = F.col(BUCKET_BEFORE), F.col(BUCKET_BEFORE) + F.col(BUCKET_TOTAL)
+    else:
+        first, last = F.col("start"), F.col("_end")
+    inside = (F.col("_w") >= first) & (F.col("_w") + size <= last)
+    near = rows.where(inside)
+    near = assemble(near, [*by, BUCKET, "window"]) if bucketed else near.select(*by, "window", piece.alias("tokens"))
+    return near.unionByName(assemble(rows.where(~inside), [*by, "window"]))
 
 
 def pack_overlapping(encoded: DataFrame, seq_len: int, by: Sequence[str] = ("shard",), order: str = "doc_id") -> DataFrame:

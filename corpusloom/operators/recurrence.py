@@ -48,14 +48,14 @@ def decayed_state(rows: DataFrame, key: str, order: list[str], partitions: int |
     local = cut(ranged.mapInArrow(_local_states, schema), "runs")
 
     ends = local.groupBy("_key", "_part").agg(F.max_by(F.struct("_h", "_log"), F.struct(*order)).alias("e"))
-    # The parts a key spreads over are fewer than the partitions, and so are such keys.
+    # Keys in several parts lie across part borders, so their runs are at most two per part.
     spread = ends.join(ends.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "_key")
     carried = spread.select("_key", "_part", "e._h", "e._log").groupBy("_key").applyInPandas(
         _chain, "_key string, _part int, h_in double"
     )
     h = F.col("_h") + F.exp("_log") * F.coalesce("h_in", F.lit(0.0))
     return (
-        local.join(carried, ["_key", "_part"], "left")
+        local.join(F.broadcast(carried), ["_key", "_part"], "left")
         .withColumn("h", h)
         .withColumn("readout", F.col("q") * F.col("h"))
         .select(*rows.columns, "h", "readout")

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from corpusloom.operators.positions import FANOUT_BITS, id_bucket, running_totals
 
 MAX_GATE_CELLS = 16 << 20
+MAX_GROUPS = 1 << 20
 
 
 def label_centroids(vectors: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:
@@ -67,11 +68,13 @@ def topk_routing(
 def weighted_combine(assigned: DataFrame, group_values: DataFrame, shared: Column, row: str = "vec_id") -> DataFrame:
     """Sum of the weighted values of a row's groups, plus a term every row gets.
 
-    ``group_values(grp, value)`` has one row per group; Spark broadcasts it while it is
-    small. Assignments are not shuffled by group, where one could hold most of them.
+    ``group_values(grp, value)`` has one row per group and is broadcast while its count
+    allows, so assignments are not shuffled by group, where one could hold most of them.
+    Beyond that the join is left to adaptive skew handling.
     """
+    values = F.broadcast(group_values) if group_values.count() <= MAX_GROUPS else group_values
     return (
-        assigned.join(group_values, "grp")
+        assigned.join(values, "grp")
         .groupBy(row)
         .agg((F.sum(F.col("weight") * F.col("value")) + F.first(shared)).alias("combined"))
     )

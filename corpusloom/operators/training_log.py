@@ -42,12 +42,12 @@ def throughput(log: DataFrame, step_tokens: int, every: int, start_step: int = 0
 
     Tokens of steps before a resume count as well, so the rate is too high after one.
     """
-    begin = log.agg(F.min_by("ts", "step").alias("begin"))
+    begin = log.agg(F.min_by("ts", "step")).scalar()
     tokens = running_totals(
         log, {"before": F.lit(step_tokens).cast("long")}, bucket=id_bucket("step", FANOUT_BITS), order=["step"],
     )
-    rows = tokens.where(closes_interval(F.col("step"), every)).join(F.broadcast(begin))
-    elapsed = seconds(F.col("ts")) - seconds(F.col("begin"))
+    rows = tokens.where(closes_interval(F.col("step"), every))
+    elapsed = seconds(F.col("ts")) - seconds(begin)
     seen = F.col("before") + step_tokens * (start_step + 1)
     return rows.select(
         (F.col("step") + 1).alias("step"),
@@ -90,14 +90,14 @@ def encode_progress(batches: DataFrame, max_tokens: int = 0) -> DataFrame:
         batches, {"docs_before": F.col("docs"), "tokens_before": F.col("tokens")},
         bucket=id_bucket("batch", FANOUT_BITS), order=["batch"],
     )
-    begin = batches.agg(F.min_by("ts", "batch").alias("begin"))
+    begin = batches.agg(F.min_by("ts", "batch")).scalar()
     done = F.col("tokens_before") + F.col("tokens")
     rate = F.when(F.col("elapsed") > 0, F.col("total_tokens") / F.col("elapsed"))
-    out = run.join(F.broadcast(begin)).select(
+    out = run.select(
         "batch",
         (F.col("docs_before") + F.col("docs")).alias("total_docs"),
         done.alias("total_tokens"),
-        (seconds(F.col("ts")) - seconds(F.col("begin"))).alias("elapsed"),
+        (seconds(F.col("ts")) - seconds(begin)).alias("elapsed"),
     )
     out = out.withColumn("tok_per_sec", rate)
     if max_tokens:

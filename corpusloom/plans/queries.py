@@ -103,7 +103,7 @@ def token_merge(spark, sf):
 @query
 def token_source(spark, sf):
     blocks = token_store.read(spark, _store(spark, sf), fx.BYTE_VOCAB)
-    return as_text(packing.chunk_fixed(blocks, fx.SEQ_LEN, order="start"), "tokens")
+    return as_text(packing.cut_windows(blocks, fx.SEQ_LEN, fx.SEQ_LEN + 1), "tokens")
 
 
 @query

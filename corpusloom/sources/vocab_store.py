@@ -57,5 +57,5 @@ def from_json(spark: SparkSession, path: str) -> Vocabulary:
 
 def special_ids(vocab: DataFrame) -> DataFrame:
     """Special tokens with their ids, and the vocabulary size."""
-    size = vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
-    return vocab.where("is_special").select("token", "id").join(F.broadcast(size))
+    size = vocab.agg(F.count(F.lit(1))).scalar()
+    return vocab.where("is_special").select("token", "id", size.alias("vocab_size"))
