@@ -45,7 +45,6 @@ def worker_order(rows: DataFrame) -> DataFrame:
     local = running_totals(
         rows, {"start": token_count()}, by=["worker"], order=["file_rank", "row"],
         bucket=F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + id_bucket("row"),
-        levels=3,
     )
     sums = rows.groupBy("worker").agg(F.sum(token_count()).alias("t"))
     base = running_totals(sums, {"base": F.col("t")}, bucket=F.col("worker").cast("long"), order=["worker"])

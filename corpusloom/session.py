@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -19,8 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN_ROOTS.get(app) or _OWN_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="corpusloom-"))
     return root.rstrip("/")
 
 
@@ -28,15 +29,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", reader: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to a shared table and read it back, which ends its lineage.
 
-    Lost executors re-read the table; nothing upstream runs again.
+    Lost executors re-read the table; nothing upstream runs again. ``reader`` is the
+    session the result belongs to, by default that of ``df``.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
