@@ -66,8 +66,9 @@ def next_distribution(
 
 def draw(distribution: DataFrame, key: str, item: str, seed: int = 0) -> DataFrame:
     """One item per key with the given probabilities: the largest ``log p`` plus Gumbel
-    noise from a seeded hash, so a repeated task draws the same item."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(item)), 11)
-    u = (bits + F.lit(0.5)) / F.lit(2.0**53)
+    noise from a seeded digest, so a repeated task draws the same item."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"), F.col(item).cast("string")))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    u = (bits + F.lit(0.5)) / F.lit(2.0**52)
     noisy = F.log("p") - F.log(-F.log(u))
     return distribution.groupBy(key).agg(F.max_by(item, noisy).alias(item))

@@ -265,6 +265,10 @@ ORACLES: dict[str, str] = {
       from want left join big using (p, q) left join ctx using (p)""",
     "candidate_sampling": f"""with {DISTRIBUTION}, e as (select *, exp(logit - max(logit) over (partition by user_id)) x from kept)
       select user_id, event_type, round(logit, 6) as logit, round(x / sum(x) over (partition by user_id), 6) as p from e""",
+    "candidate_draw": f"""with {DISTRIBUTION}, e as (select *, exp(logit - max(logit) over (partition by user_id)) x from kept),
+      d as (select user_id, event_type, x / sum(x) over (partition by user_id) p,
+        (('0x' || substr(md5('{fx.SEED}:' || user_id || ':' || event_type), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double u from e)
+      select user_id, arg_max(event_type, ln(p) - ln(-ln(u))) as event_type from d group by user_id""",
     "decayed_state": DECAY_OUT,
     "stream_encode": APPEND_EOT,
     "stream_pack": PACK,

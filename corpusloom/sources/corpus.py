@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Up to this many paths go to every task; beyond it the join is left to adaptive planning.
+MAX_BROADCAST_FILES = 200_000
+
 
 def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Read just the named columns (``text`` by default)."""
@@ -30,7 +33,7 @@ def select_files(spark: SparkSession, root: str, subset: str) -> DataFrame:
     ranks = spark.createDataFrame(list(enumerate(names)), "file_rank int, file_path string")
     path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
     rows = found.select("*", path.alias("file_path"), F.col("_metadata.row_index").alias("row"))
-    return rows.join(ranks, "file_path")
+    return rows.join(F.broadcast(ranks) if len(names) <= MAX_BROADCAST_FILES else ranks, "file_path")
 
 
 def stream(

@@ -52,7 +52,10 @@ def from_json(spark: SparkSession, path: str) -> Vocabulary:
         merges.append((ids[left], ids[right], ids[left + right]))
     made = {m[2] for m in merges}
     letters = [_BYTE_OF[t] for t, i in sorted(ids.items(), key=lambda x: x[1]) if t not in specials and i not in made]
-    return Vocabulary(specials, letters, merges)
+    vocab = Vocabulary(specials, letters, merges)
+    if any(ids.get(t) != i for i, t in enumerate(vocab.tokens)):
+        raise ValueError("ids must run through special tokens, alphabet and merges in this order")
+    return vocab
 
 
 def special_ids(vocab: DataFrame) -> DataFrame:
