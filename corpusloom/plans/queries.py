@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ids import append_id, id_width, ids_text
-from corpusloom.functions.text import byte_chars, pieces, text_or_empty
+from corpusloom.functions.ids import id_width, ids_text
+from corpusloom.functions.text import pieces
 from corpusloom.operators import batching, budget, encoding, packing, recurrence, routing, scoring, training_log
 from corpusloom.operators import rows as row_ops
 from corpusloom.operators import vocabulary as voc
