@@ -190,22 +190,13 @@ def _round_partitions(words: DataFrame, rows_each: int = 10_000) -> int:
     return max(1, min(words.sparkSession.sparkContext.defaultParallelism, words.count() // rows_each))
 
 
-def _round_session(spark: SparkSession, partitions: int) -> SparkSession:
-    """Session of the training rounds. Their jobs are short and alike, with sizes known in
-    advance, so re-planning between stages would only add to each round."""
-    rounds = spark.newSession()
-    rounds.conf.set("spark.sql.adaptive.enabled", "false")
-    rounds.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    return rounds
-
-
 def train(
     words: DataFrame,
     vocab_size: int = 32_000,
     min_frequency: int = 2,
     specials: tuple[str, ...] = DEFAULT_SPECIALS,
     candidates: int = 256,
-    rebase: int = 40,
+    rebase: int = 16,
     full_alphabet: bool = False,
 ) -> Vocabulary:
     """Learn merges from ``words(w, n)`` until ``vocab_size`` or until no pair is frequent.
@@ -223,8 +214,7 @@ def train(
     raw = vocab.token_bytes
     known = {t: i for i, t in enumerate(raw)}
     symbols = symbol_words(words, letters, len(specials)).where(F.length("s") > 1).select("n", "s")
-    parts = _round_partitions(words)
-    current = cut(symbols.repartition(parts), "symbols", _round_session(words.sparkSession, parts)).persist()
+    current = cut(symbols.repartition(_round_partitions(words)), "symbols").persist()
     pending: list[tuple[int, int, int]] = []
     while len(raw) < vocab_size:
         view = current.select("n", apply_merges("s", pending).alias("s"))
