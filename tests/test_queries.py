@@ -6,7 +6,7 @@ from compare import check, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(entry.QUERIES), dict(entry.ORACLES)
 
 
 @pytest.fixture(scope="module")
