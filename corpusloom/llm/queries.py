@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, quality, secrets
+from corpusloom.functions.ids import id_width
+from corpusloom.llm import bpe, mixing, quality, records, secrets
 from corpusloom.llm.text import documents
+from corpusloom.session import cut, scratch_path
+
+END_ID = 2
+
+
+def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    root = scratch_path(spark, "records")
+    records.write(documents(spark, sf_dir), root, tokenizer, END_ID)
+    entries = cut(records.starts(records.index(spark, root)), "starts")
+    return records.read(entries, root, id_width(records.vocab_size(tokenizer)))
 
 
 def op4_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +36,10 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.with_copies(mixing.measure(documents(spark, sf_dir)))
     return taken.select(
@@ -32,8 +49,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_binary_records": op3_binary_records,
     "op4_secret_randomness": op4_secret_randomness,
     "op8_robust_quality": op8_robust_quality,
+    "op9_bpe_rank_array": op9_bpe_rank_array,
     "op10_source_mixing": op10_source_mixing,
 }
 
