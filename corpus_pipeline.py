@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, quality, secrets
+from corpusloom.llm import mixing, quality
 from corpusloom.llm.text import documents, text_of, without
 from corpusloom.session import cut
 from pyspark.sql import functions as F

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.llm import bpe, mixing, quality, records, secrets
+from corpusloom.llm import bpe, mixing, neardup, quality, records, secret_scan
 from corpusloom.llm.text import documents
 from corpusloom.session import cut, scratch_path
 
@@ -23,15 +23,19 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(documents(spark, sf_dir))
+    found = secret_scan.secret_spans(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
-        secrets.spans_text(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
     )
 
 
+def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_binary_records": op3_binary_records,
     "op4_secret_randomness": op4_secret_randomness,
+    "op5_minhash_bbit": op5_minhash_bbit,
     "op8_robust_quality": op8_robust_quality,
     "op9_bpe_rank_array": op9_bpe_rank_array,
     "op10_source_mixing": op10_source_mixing,
