@@ -7,13 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.llm import bpe, mixing, neardup, quality, records, secret_scan
+from corpusloom.llm import bpe, metric_tree, mixing, neardup, quality, records, secret_scan
 from corpusloom.llm.text import documents
 from corpusloom.session import cut, scratch_path
 
 END_ID = 2
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut(metric_tree.quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "quantized")
+    return metric_tree.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     root = scratch_path(spark, "records")
@@ -53,6 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mtree_search": op1_mtree_search,
     "op3_binary_records": op3_binary_records,
     "op4_secret_randomness": op4_secret_randomness,
     "op5_minhash_bbit": op5_minhash_bbit,
@@ -62,6 +68,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mtree_search": """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""",
     "op10_source_mixing": """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
