@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.llm import bpe, metric_tree, mixing, neardup, quality, records, secret_scan
+from corpusloom.llm import bpe, licenses, metric_tree, mixing, neardup, page_template, quality, records, secret_scan
 from corpusloom.llm.text import documents
 from corpusloom.session import cut, scratch_path
 
@@ -19,6 +19,10 @@ def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     root = scratch_path(spark, "records")
@@ -41,6 +45,10 @@ def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -59,9 +67,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mtree_search": op1_mtree_search,
+    "op2_license_scan": op2_license_scan,
     "op3_binary_records": op3_binary_records,
     "op4_secret_randomness": op4_secret_randomness,
     "op5_minhash_bbit": op5_minhash_bbit,
+    "op7_template_extraction": op7_template_extraction,
     "op8_robust_quality": op8_robust_quality,
     "op9_bpe_rank_array": op9_bpe_rank_array,
     "op10_source_mixing": op10_source_mixing,

@@ -156,7 +156,12 @@ def scanned(docs: DataFrame) -> DataFrame:
             lambda s: F.struct(s.alias("span"), randomness(F.substring(r["t"], s["start"] + 1, s["end"] - s["start"])).alias("test")),
         ).alias("tokens"),
     ))
-    return docs.select("doc_id", tested.alias("_r")).select("doc_id", "_r.base", "_r.tokens")
+    return docs.select("doc_id", row_key().alias("key"), tested.alias("_r")).select("doc_id", "key", "_r.base", "_r.tokens")
+
+
+def row_key() -> Column:
+    """Hash of id and text, never null; with the id it tells rows apart."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
 def dismissal_bins(tokens: DataFrame) -> dict[tuple[str, int], int]:
@@ -182,7 +187,7 @@ def dismissal_bins(tokens: DataFrame) -> dict[tuple[str, int], int]:
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``base`` and ``spans``, arrays of (start, end, kind).
+    """One row per document: ``doc_id``, ``key``, ``base`` and ``spans``, arrays of (start, end, kind).
 
     Positions are code points, ends exclusive, in order of start, then kind. Null texts
     are empty; repeated rows give repeated rows; an empty table gives an empty result.
@@ -194,7 +199,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         F.element_at(limit, F.concat_ws(":", t["test"]["encoding"], t["test"]["length_class"].cast("string"))), F.lit(P_BINS + 1)
     ))
     return rows.select(
-        "doc_id", F.array_sort("base").alias("base"),
+        "doc_id", "key", F.array_sort("base").alias("base"),
         F.array_sort(F.concat("base", F.transform(kept, lambda t: t["span"]))).alias("spans"),
     )
 
@@ -217,3 +222,19 @@ def redact(text: Column, spans_column: Column, mark: str = "[SECRET]") -> Column
         return F.when(s["start"] >= acc["at"], fresh).otherwise(wider)
 
     return F.aggregate(spans_column, seed, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret replaced; ``n_chars`` follows where the table has it.
+
+    Only rows with a find join, each once however often it is repeated.
+    """
+    found = secret_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    found = found.dropDuplicates(["_id", "_key"])
+    marked = docs.withColumn("_row", row_key()).join(found, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
+    out = marked.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(*docs.columns)
