@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.llm import bpe, licenses, metric_tree, mixing, neardup, page_template, quality, records, secret_scan
+from corpusloom.llm import bpe, licenses, metric_tree, mixing, neardup, page_template, quality, records, secret_scan, suffixes
 from corpusloom.llm.text import documents
 from corpusloom.session import cut, scratch_path
 
@@ -45,6 +45,14 @@ def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.without_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_template.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -71,6 +79,7 @@ QUERIES = {
     "op3_binary_records": op3_binary_records,
     "op4_secret_randomness": op4_secret_randomness,
     "op5_minhash_bbit": op5_minhash_bbit,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_template_extraction": op7_template_extraction,
     "op8_robust_quality": op8_robust_quality,
     "op9_bpe_rank_array": op9_bpe_rank_array,
