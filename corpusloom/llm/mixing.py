@@ -23,7 +23,7 @@ SEED = 20
 
 @dataclass(frozen=True)
 class Mix:
-    """``rows``: the input columns with ``_size``; ``targets(_source, _source_size, _target)``."""
+    """``rows``: the input columns with ``__size``; ``targets(__source, __source_size, __target)``."""
 
     rows: DataFrame
     targets: DataFrame
@@ -36,7 +36,7 @@ def unit_draw(key: Column, seed: int) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, most: int = MOST_REPEATS) -> DataFrame:
-    """``(_source, _source_size, _target)`` from ``sizes(_source, _size)``.
+    """``(__source, __source_size, __target)`` from ``sizes(__source, __size)``.
 
     Sources in code-point order, null last, take the weights in turn. They share
     ``budget_percent`` of all tokens; a target stops at ``most`` times its source's size
@@ -45,17 +45,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDG
     the level follows from running sums over sources ordered by that ratio. There is one
     row per source here, summed before any shuffle.
     """
-    per_source = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
-    ranked = per_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1)
+    per_source = sizes.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
+    ranked = per_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1)
     weighted = ranked.withColumns({
         "_w": F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long"),
-        "_cap": F.col("_source_size") * most,
+        "_cap": F.col("__source_size") * most,
     })
     by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     open_weight = F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0))
-    budget = F.sum("_source_size").over(whole) * F.lit(budget_percent)  # in hundredths
+    budget = F.sum("__source_size").over(whole) * F.lit(budget_percent)  # in hundredths
     rest = budget - F.lit(100) * F.coalesce(F.sum("_cap").over(before), F.lit(0))
     # With all smaller ratios full, this source is full too where its share of the rest reaches its cap.
     shared = weighted.withColumns({"_rest": rest, "_open": open_weight})
@@ -65,34 +65,34 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDG
     target = F.when(F.col("_full") | F.col("_level").isNull(), F.col("_cap").cast("double")).otherwise(
         F.col("_w") * F.col("_level._rest") / (F.lit(100.0) * F.col("_level._open"))
     )
-    return level.select("_source", "_source_size", target.alias("_target"))
+    return level.select("__source", "__source_size", target.alias("__target"))
 
 
 def measure(docs: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, most: int = MOST_REPEATS) -> Mix:
-    rows = docs.withColumn("_size", word_count(text_of()))
-    sizes = rows.select(F.col("source").cast("string").alias("_source"), "_size")
+    rows = docs.withColumn("__size", word_count(text_of()))
+    sizes = rows.select(F.col("source").cast("string").alias("__source"), "__size")
     # One row per source: written once, so that reruns of a stage see the same targets.
     return Mix(rows, cut(source_targets(sizes, weights, budget_percent, most), "targets"))
 
 
 def with_copies(mix: Mix, seed: int = SEED) -> DataFrame:
-    """Input rows with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
+    """Input rows with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
 
     Null or empty texts have size 0 and their source's number of copies; a source of size
     0 has rate 0. A null id draws from the empty key. Rows repeated in the input are drawn
     alike. Sources are few, one row each, and the join is left to adaptive planning.
     """
-    joined = mix.rows.withColumn("_source", F.col("source").cast("string")).join(
-        mix.targets.withColumnRenamed("_source", "_target_source"), F.col("_source").eqNullSafe(F.col("_target_source"))
+    joined = mix.rows.withColumn("__source", F.col("source").cast("string")).join(
+        mix.targets.withColumnRenamed("__source", "__target_source"), F.col("__source").eqNullSafe(F.col("__target_source"))
     )
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     fraction = rate - F.floor(rate)
     copies = F.floor(rate) + (unit_draw(F.col("doc_id"), seed) < fraction).cast("long")
-    return joined.withColumn("_copies", copies.cast("long"))
+    return joined.withColumn("__copies", copies.cast("long"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     taken = with_copies(measure(docs), seed)
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return taken.select(*docs.columns, copies.alias("_copy")).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
+    return taken.select(*docs.columns, copies.alias("__copy")).select(*docs.columns)

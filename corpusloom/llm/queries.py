@@ -68,8 +68,8 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.with_copies(mixing.measure(documents(spark, sf_dir)))
     return taken.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
     )
 
 

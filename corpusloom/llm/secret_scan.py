@@ -229,12 +229,12 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
     Only rows with a find join, each once however often it is repeated.
     """
-    found = secret_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["_id", "_key"])
-    marked = docs.withColumn("_row", row_key()).join(found, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
+    found = secret_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    found = found.dropDuplicates(["__id", "__key"])
+    marked = docs.withColumn("__row", row_key()).join(found, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("__spans")))
     out = marked.withColumn("text", clean)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*docs.columns)
