@@ -30,6 +30,8 @@ from corpusloom.session import cut, ship
 MIN_PAGES = 8
 SUPPORT = 0.8
 MIN_CLASS = 3
+#: A text run is template only if each page of the host has it, and these are at least so many.
+MIN_TEXT_PAGES = 20
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,13 +148,13 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool, bool, str]]
             yield found[0], " " if name == "br" else None, found[1], aside, article, element
 
 
-def counts(page: str) -> dict[int, tuple[int, int]]:
-    """Per token of a page: how often it occurs and where first."""
-    out: dict[int, tuple[int, int]] = {}
+def counts(page: str) -> dict[int, tuple[int, int, bool]]:
+    """Per token of a page: how often it occurs, where first, and whether it is text."""
+    out: dict[int, tuple[int, int, bool]] = {}
     for i, (token, text, *_) in enumerate(tokens(page)):
         if token:
-            n, first = out.get(token, (0, i))
-            out[token] = (n + 1, first)
+            n, first, _ = out.get(token, (0, i, False))
+            out[token] = (n + 1, first, text is not None)
     return out
 
 
@@ -191,7 +193,7 @@ def main_text(page: str, classes: dict[int, int]) -> str:
     """Blocks of the article's slots in page order, joined by line ends.
 
     A page without an article element is taken whole, minus what is set aside. Template
-    text is left out; all other text of the slots is kept.
+    text, which all of many pages of the host repeat, is left out; all other text is kept.
     """
     parts = list(tokens(page))
     fixed = template_tokens([p[0] for p in parts], classes) if classes else set()
@@ -225,18 +227,20 @@ def host_classes(pages: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            rows = [(h, p, t, n, i) for h, p, x in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "_html"))) for t, (n, i) in counts(x).items()]
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "token", "n", "first"])
+            rows = [(h, p, t, n, i, x_text) for h, p, x in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "_html"))) for t, (n, i, x_text) in counts(x).items()]
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "token", "n", "first", "is_text"])
 
     named = pages.where(F.col("host").isNotNull())
     sizes = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    seen = named.select("host", "page", "_html").mapInArrow(count, "host string, page long, token long, n int, first int")
+    seen = named.select("host", "page", "_html").mapInArrow(count, "host string, page long, token long, n int, first int, is_text boolean")
     vectors = seen.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("in_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("first").alias("place")
+        F.count(F.lit(1)).alias("in_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("first").alias("place"),
+        F.max("is_text").alias("is_text"),
     )
-    frequent = vectors.join(sizes, "host").where(F.col("in_pages") >= SUPPORT * F.col("pages"))
+    everywhere = (F.col("in_pages") == F.col("pages")) & (F.col("pages") >= MIN_TEXT_PAGES)
+    frequent = vectors.join(sizes, "host").where(F.when(F.col("is_text"), everywhere).otherwise(F.col("in_pages") >= SUPPORT * F.col("pages")))
     # From here on a host has no more tokens than a page and a quarter.
     grouped = frequent.groupBy("host", "vector", "in_pages").agg(F.collect_list(F.struct("place", "token")).alias("members")).where(F.size("members") >= MIN_CLASS)
     flat = grouped.select("host", F.explode("members").alias("m"), F.xxhash64("vector", "in_pages").alias("class"))
