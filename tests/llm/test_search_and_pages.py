@@ -123,7 +123,7 @@ def page(i, host, body, menu="Home About Contact", tail="</body></html>"):
 
 
 def test_pages(spark):
-    pages = [page(i, "a.example", f"<p>Words   of\npage {i}<p><b>Next &eacute;&#33;<br>line {i}</b> <em>here</em></p>") for i in range(30)]
+    pages = [page(i, "a.example", f"<p>Words   of\npage {i}<p><b>Next{i} &eacute;&#33;<br>line {i}</b> <em>here {i}</em></p>") for i in range(30)]
     pages += [page(100, "b.example", "<p>Alone", tail=""), (200, None, None, "x"), (201, "nonsense", "", "x"), (202, "https://d.example/x", "<p>no article, <b>only", "x")]
     pages += [(203, "https://c.example/", "plain < text & <!-- gone --> more", "x"), (204, "https://c.example/", "<article><p>cut <b", "x"), pages[0]]
     table = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
@@ -131,7 +131,7 @@ def test_pages(spark):
     assert len(got) == len(pages)
     text = {r.page_id: r.text for r in got}
     for i in range(30):  # what every page of the host says is template, the rest is text
-        assert text[i] == f"Title & {i}\nWords of page {i}\nNext é! line {i} here"
+        assert text[i] == f"Title & {i}\nWords of page {i}\nNext{i} é! line {i} here {i}"
     assert text[100] == "Title & 100\nAlone\nRead more on this site"
     assert (text[200], text[201], text[202]) == ("", "", "no article, only")
     assert (text[203], text[204]) == ("plain < text & more", "cut")
