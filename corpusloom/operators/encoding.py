@@ -206,12 +206,11 @@ def encode_docs(docs: DataFrame, vocab: Vocabulary, eot: bool = False, text: str
 
 def decode_ids(ids: Column, vocab: Vocabulary, skip_special: bool = True) -> Column:
     """Text of an id array; unfinished UTF-8 sequences become replacement characters."""
-    table = vocab.token_bytes
     hidden = len(vocab.specials) if skip_special else 0
+    tokens = pa.array([b"" if i < hidden else t for i, t in enumerate(vocab.token_bytes)], pa.large_binary())
 
     @arrow_udf("string")
     def decode(batch: pa.Array) -> pa.Array:
-        tokens = pa.array([b"" if i < hidden else t for i, t in enumerate(table)], pa.large_binary())
         flat = tokens.take(batch.flatten())
         lengths = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.fill_null([])).to_numpy(zero_copy_only=False))])
         joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), flat), pa.scalar(b"", pa.large_binary()))

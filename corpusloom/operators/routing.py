@@ -10,8 +10,8 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from corpusloom.operators.positions import FANOUT_BITS, id_bucket, running_totals
 
-MAX_GATE_CELLS = 16 << 20
-MAX_GROUPS = 1 << 20
+# Scores that are held at once for a batch of rows.
+BLOCK_CELLS = 4 << 20
 
 
 def label_centroids(vectors: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:
@@ -24,10 +24,7 @@ def label_centroids(vectors: DataFrame, group: str = "label", vector: str = "emb
 
 
 def gate_matrix(centroids: DataFrame, group: str = "label") -> tuple[list[int], np.ndarray]:
-    """The gate as a matrix. Its size is fixed by groups and width, and checked."""
-    size = centroids.agg(F.sum(F.size("centroid")).alias("cells")).first()["cells"] or 0
-    if size > MAX_GATE_CELLS:
-        raise ValueError(f"a gate of {size} cells is too large to send to every task")
+    """The gate as a matrix: a row per group, as every task needs it."""
     rows = centroids.orderBy(group).collect()
     return [r[group] for r in rows], np.array([r["centroid"] for r in rows])
 
@@ -39,7 +36,8 @@ def topk_routing(
     """Best ``k`` groups per row by score plus bias, ties to the smaller group.
 
     Rows are divided by their root mean square first. Weights come from the scores
-    without bias, by softmax, and add up to one over the chosen groups.
+    without bias, by softmax, and add up to one over the chosen groups. Groups are scored
+    in blocks beside the best so far, so no more than ``BLOCK_CELLS`` scores are held.
     """
     offsets = np.asarray(bias, dtype=np.float64)
     names = np.asarray(groups, dtype=np.int32)
@@ -48,9 +46,14 @@ def topk_routing(
     def route(batch: pa.Array) -> pa.Array:
         rows = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
         rows = rows / np.sqrt((rows**2).mean(axis=1, keepdims=True) + eps)
-        score = rows @ gate.T
-        best = np.argsort(-(score + offsets), axis=1, kind="stable")[:, :k]
-        chosen = np.take_along_axis(score, best, axis=1)
+        best = np.empty((len(rows), 0), dtype=np.int64)
+        chosen = np.empty((len(rows), 0))
+        step = max(k, BLOCK_CELLS // max(len(rows), 1))
+        for lo in range(0, len(gate), step):
+            score = np.concatenate([chosen, rows @ gate[lo:lo + step].T], axis=1)
+            group = np.concatenate([best, np.broadcast_to(np.arange(lo, min(lo + step, len(gate))), (len(rows), min(step, len(gate) - lo)))], axis=1)
+            order = np.argsort(-(score + offsets[group]), axis=1, kind="stable")[:, :k]
+            best, chosen = np.take_along_axis(group, order, axis=1), np.take_along_axis(score, order, axis=1)
         weight = np.exp(chosen - chosen.max(axis=1, keepdims=True))
         weight /= weight.sum(axis=1, keepdims=True)
         width = best.shape[1]
@@ -68,13 +71,11 @@ def topk_routing(
 def weighted_combine(assigned: DataFrame, group_values: DataFrame, shared: Column, row: str = "vec_id") -> DataFrame:
     """Sum of the weighted values of a row's groups, plus a term every row gets.
 
-    ``group_values(grp, value)`` has one row per group and is broadcast while its count
-    allows, so assignments are not shuffled by group, where one could hold most of them.
-    Beyond that the join is left to adaptive skew handling.
+    ``group_values(grp, value)`` has one row per group; the join takes its form by that
+    table's size, and adaptive skew handling covers a group that holds most assignments.
     """
-    values = F.broadcast(group_values) if group_values.count() <= MAX_GROUPS else group_values
     return (
-        assigned.join(values, "grp")
+        assigned.join(group_values, "grp")
         .groupBy(row)
         .agg((F.sum(F.col("weight") * F.col("value")) + F.first(shared)).alias("combined"))
     )

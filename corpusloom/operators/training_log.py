@@ -37,12 +37,14 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1e6)
 
 
-def throughput(log: DataFrame, step_tokens: int, every: int, start_step: int = 0) -> DataFrame:
-    """Cumulative tokens and tokens per second since the first logged step.
+def throughput(log: DataFrame, step_tokens: int, every: int, start_step: int = 0, started: Column | None = None) -> DataFrame:
+    """Cumulative tokens and tokens per second since the run ``started``.
 
-    Tokens of steps before a resume count as well, so the rate is too high after one.
+    A log has the ends of its steps only. Without ``started`` the clock begins with the
+    first of them, so that step's own time is missing. Tokens of steps before a resume
+    count as well, so the rate is too high after one.
     """
-    begin = log.agg(F.min_by("ts", "step")).scalar()
+    begin = log.agg(F.min_by("ts", "step")).scalar() if started is None else started
     tokens = running_totals(
         log, {"before": F.lit(step_tokens).cast("long")}, bucket=id_bucket("step", FANOUT_BITS), order=["step"],
     )

@@ -30,6 +30,9 @@ FILE_WORKERS = 4
 MAX_TOKENS = 1_000_000
 LOG_EVERY = 10
 PART_TOKENS = 262_144
+RUN_STARTED = "2023-12-31 23:59:30"
+STREAM_TOKENS = 60_000
+STREAM_ROWS = 40
 EXPERTS = ["click", "error", "purchase", "signup", "view", "idle"]
 LAYERS = 5
 
@@ -77,6 +80,15 @@ def byte_docs(spark: SparkSession, sf: str) -> DataFrame:
     return cut(with_byte_ids(spread(docs(spark, sf))), "bytes")
 
 
+def byte_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the byte encoding, from text lengths alone."""
+    return docs(spark, sf).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("tokens"))
+
+
+def byte_total(spark: SparkSession, sf: str) -> int:
+    return byte_totals(spark, sf).first()["tokens"] or 0
+
+
 def byte_stream(spark: SparkSession, sf: str) -> DataFrame:
     return stream_positions(byte_docs(spark, sf))
 

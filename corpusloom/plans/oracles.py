@@ -235,11 +235,11 @@ ORACLES: dict[str, str] = {
         round((20000 // {fx.RANKS}) * st / n, 6) as epochs from t, c""",
     "interval_loss": INTERVAL,
     "throughput": f"""with {EVENTS_LOG}, c as (select step, count(*) over (order by step rows unbounded preceding) * {fx.BATCH * fx.GRAD_ACCUM * S} as seen,
-        epoch_us(ts) / 1e6 - epoch_us(first(ts) over (order by step)) / 1e6 as e from log)
+        epoch_us(ts) / 1e6 - epoch_us(timestamp '{fx.RUN_STARTED}') / 1e6 as e from log)
       select step + 1 as step, seen as tokens_seen, round(case when e > 0 then seen / e else 0.0 end, 6) as tok_per_sec from c where (step + 1) % {fx.LOG_EVERY} = 0""",
     "step_latency": f"with {EVENTS_LOG} select step, round((epoch_us(ts) - epoch_us(lag(ts) over (order by step))) / 1000.0::double, 6) as step_ms from log",
-    "eval_mean": """with l as (select event_id // 4 as step, event_type, value from events)
-      select step, round(coalesce(avg(value) filter (event_type = 'purchase'), 0), 6) as eval_loss from l group by step""",
+    "eval_mean": """with l as (select event_id // 4 as step, avg(value) as m from events group by 1)
+      select s.step, round(coalesce(m, 0), 6) as eval_loss from range((select max(event_id) // 4 + 6 from events)) s(step) left join l on l.step = s.step""",
     "lr_schedule": f"""with {EVENTS_LOG}, e as (select step, case when step < 500 then 6e-4 * (step + 1) / 500 when step >= 8000 then 6e-5
         else 6e-5 + 0.5 * (6e-4 - 6e-5) * (1 + cos(pi() * (step - 500) / 7500)) end as lr from log)
       select step, round(lr, 12) as expected_lr, abs(6e-4 - lr) > 1e-9 as deviates from e""",
@@ -271,6 +271,9 @@ ORACLES: dict[str, str] = {
       select user_id, arg_max(event_type, ln(p) - ln(-ln(u))) as event_type from d group by user_id""",
     "decayed_state": DECAY_OUT,
     "stream_encode": APPEND_EOT,
+    "stream_encode_capped": f"""with coded as ({APPEND_EOT}), sized as (select doc_id, len(string_split(ids, ' ')) as n, doc_id // {fx.STREAM_ROWS} as b from coded),
+      prior as (select b, sum(t) over (order by b) - t as before from (select b, sum(n) t from sized group by b))
+      select doc_id, n::bigint as n from sized join prior using (b) where before < {fx.STREAM_TOKENS}""",
     "stream_pack": PACK,
     "stream_interval": INTERVAL,
     "stream_decayed_state": DECAY_OUT,

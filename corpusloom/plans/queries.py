@@ -300,7 +300,7 @@ def tail_split(spark, sf):
 
 
 def _train_order(spark, sf):
-    _, _, end = _regions(spark, sf)
+    end = packing.split_point(fx.byte_total(spark, sf), fx.SEQ_LEN, fx.BATCH, fx.EVAL_STEPS)
     n = packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
     return batching.seeded_shuffle(batching.window_grid(spark, fx.SHARDS, n), fx.SEED)
 
@@ -340,8 +340,7 @@ def epoch_schedule(spark, sf):
 
 @query
 def budget_report(spark, sf):
-    tokens = fx.byte_docs(spark, sf).agg(F.sum(packing.token_count()).alias("tokens"))
-    return batching.budget_report(tokens, fx.BATCH, fx.GRAD_ACCUM, fx.RANKS, fx.SEQ_LEN, max_steps=20_000)
+    return batching.budget_report(fx.byte_totals(spark, sf), fx.BATCH, fx.GRAD_ACCUM, fx.RANKS, fx.SEQ_LEN, max_steps=20_000)
 
 
 @query
@@ -364,7 +363,8 @@ def interval_loss(spark, sf):
 
 @query
 def throughput(spark, sf):
-    out = training_log.throughput(fx.train_log(spark, sf), fx.BATCH * fx.GRAD_ACCUM * fx.SEQ_LEN, fx.LOG_EVERY)
+    begin = F.lit(fx.RUN_STARTED).cast("timestamp")
+    out = training_log.throughput(fx.train_log(spark, sf), fx.BATCH * fx.GRAD_ACCUM * fx.SEQ_LEN, fx.LOG_EVERY, started=begin)
     return out.withColumn("tok_per_sec", r6("tok_per_sec"))
 
 
@@ -375,9 +375,10 @@ def step_latency(spark, sf):
 
 @query
 def eval_mean(spark, sf):
-    log = fx.events(spark, sf).withColumn("step", F.floor(F.col("event_id") / 4).cast("long"))
-    losses = log.where("event_type = 'purchase'").select("step", F.col("value").alias("loss"))
-    return training_log.eval_mean(losses, log.select("step").distinct()).withColumn("eval_loss", r6("eval_loss"))
+    losses = fx.events(spark, sf).select(F.floor(F.col("event_id") / 4).cast("long").alias("step"), F.col("value").alias("loss"))
+    last = losses.agg(F.max("step")).first()[0]
+    steps = spark.range(last + 6).withColumnRenamed("id", "step")  # five evaluations after the last batch
+    return training_log.eval_mean(losses, steps).withColumn("eval_loss", r6("eval_loss"))
 
 
 @query
@@ -472,6 +473,15 @@ def stream_encode(spark, sf):
     return as_text(stream_encoding.encoded(spark, path).select("doc_id", "ids"), "ids")
 
 
+@query
+def stream_encode_capped(spark, sf):
+    """All documents arrive in one micro-batch; the budget counts batches of rows inside it."""
+    vocab, path = fx.vocabulary(spark, sf), scratch_path(spark, "capped")
+    docs = corpus.stream(spark, sf, fx.docs(spark, sf).schema, glob="documents.parquet")
+    stream_encoding.stream_encode(docs, vocab, path, f"{path}/checkpoint", max_tokens=fx.STREAM_TOKENS, batch_rows=fx.STREAM_ROWS)
+    return stream_encoding.encoded(spark, path).select("doc_id", F.size("ids").cast("long").alias("n"))
+
+
 def _ordered_files(spark, df: DataFrame, order: str, n: int) -> str:
     """Rows in ``n`` files whose arrival order is the row order."""
     path = scratch_path(spark, "arrivals")
@@ -506,7 +516,9 @@ def _run_keyed(spark, source: DataFrame, build) -> DataFrame:
 def stream_interval(spark, sf):
     ship(spark)
     log = fx.events(spark, sf).select("event_id", F.col("event_id").alias("step"), F.col("value").alias("loss"))
-    return _run_keyed(spark, log, lambda s: keyed.stream_interval(s, fx.LOG_EVERY)).withColumn("loss", r6("loss"))
+    path, files = scratch_path(spark, "intervals"), _ordered_files(spark, log, "event_id", 3)
+    keyed.stream_interval(corpus.stream(spark, files, log.schema, max_files=1), fx.LOG_EVERY, f"{path}/out", f"{path}/checkpoint")
+    return keyed.intervals(spark, f"{path}/out").withColumn("loss", r6("loss"))
 
 
 @query

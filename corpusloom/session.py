@@ -20,6 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         root = _OWN_ROOTS.get(app) or _OWN_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="corpusloom-"))
     return root.rstrip("/")

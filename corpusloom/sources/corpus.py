@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Up to this many paths go to every task; beyond it the join is left to adaptive planning.
-MAX_BROADCAST_FILES = 200_000
+# Spark's names for "no file there".
+NOTHING_FOUND = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -27,13 +27,15 @@ def select_files(spark: SparkSession, root: str, subset: str) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", "*.parquet")
     try:
         found = reader.parquet(f"{root}/{subset.replace('-', '/')}/*.parquet")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_FOUND:
+            raise
         found = reader.option("recursiveFileLookup", "true").parquet(root)
     names = sorted(re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in found.inputFiles())
     ranks = spark.createDataFrame(list(enumerate(names)), "file_rank int, file_path string")
     path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
     rows = found.select("*", path.alias("file_path"), F.col("_metadata.row_index").alias("row"))
-    return rows.join(F.broadcast(ranks) if len(names) <= MAX_BROADCAST_FILES else ranks, "file_path")
+    return rows.join(ranks, "file_path")
 
 
 def stream(

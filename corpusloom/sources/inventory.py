@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def size_label(length: Column) -> Column:
     )
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """Full form of a folder's path, the same for every way to write it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", full).rstrip("/")
+
+
 def list_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """``path``, ``length`` and ``size`` of the files under ``root`` whose key starts with
     ``prefix``. File contents are pruned from the scan."""
@@ -23,6 +32,6 @@ def list_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     )
     if prefix:
-        base = root.rstrip("/") + "/"
-        files = files.where(F.substring_index("path", base, -1).startswith(prefix))
+        plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+        files = files.where(plain.startswith(f"{qualified(spark, root)}/{prefix}"))
     return files.withColumn("size", size_label(F.col("length")))

@@ -28,6 +28,7 @@ from pyspark.sql.datasource import (
 
 from corpusloom.functions.ids import id_width
 from corpusloom.operators.positions import running_totals
+from corpusloom.session import ship
 from corpusloom.sources.inventory import size_label
 from corpusloom.sources.vocab_store import exists
 
@@ -39,6 +40,9 @@ SCHEMA = "start long, ids array<int>"
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """File system and bare path of a URI; a plain path is a mounted folder."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):  # Hadoop's names for one store
+        path = f"s3://{rest}"
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -73,9 +77,17 @@ class StoreWriter(DataSourceArrowWriter):
             starts = batch.column("start").to_numpy()
             ids = batch.column("ids")
             sizes = pa.compute.list_value_length(ids).to_numpy()
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(_dtype(self.width))
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            if len(values) and (values.min() < 0 or values.max() >= 1 << 8 * self.width):
+                raise ValueError(f"a token id does not fit in {self.width} bytes")
+            flat = values.astype(_dtype(self.width))
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            for i, start in enumerate(starts.tolist()):
+            # Rows that follow each other in one part are written at once.
+            parts_of = starts // self.part_tokens
+            breaks = np.flatnonzero((np.diff(parts_of) != 0) | (starts[1:] != starts[:-1] + sizes[:-1])) + 1
+            edges = [0, *breaks.tolist(), len(starts)] if len(starts) else [0]
+            for i, j in zip(edges, edges[1:]):
+                start = int(starts[i])
                 if out is None or start // self.part_tokens != part:
                     if out is not None:
                         out.close()
@@ -85,9 +97,10 @@ class StoreWriter(DataSourceArrowWriter):
                     parts.append([name, start, 0, 0])
                 elif start != parts[-1][1] + parts[-1][2]:
                     raise ValueError(f"token {start} does not follow part {parts[-1][0]}")
-                out.write(flat[bounds[i]:bounds[i + 1]].tobytes())
-                parts[-1][2] += int(sizes[i])
-                parts[-1][3] += int(sizes[i]) * self.width
+                count = int(bounds[j] - bounds[i])
+                out.write(flat[bounds[i]:bounds[j]].tobytes())
+                parts[-1][2] += count
+                parts[-1][3] += count * self.width
         if out is not None:
             out.close()
         return PartsWritten([tuple(p) for p in parts])
@@ -104,8 +117,11 @@ class StoreWriter(DataSourceArrowWriter):
         })
         files, root = _filesystem(self.path)
         files.create_dir(root, recursive=True)
+        old = _own_parts(files, root)
         with files.open_output_stream(f"{root}/{MANIFEST}") as out:
             pq.write_table(table, out)
+        for name in old - set(columns[0]):
+            files.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         files, root = _filesystem(self.path)
@@ -114,6 +130,16 @@ class StoreWriter(DataSourceArrowWriter):
                 files.delete_file(f"{root}/{part[0]}")
 
 
+def _own_parts(files: fs.FileSystem, root: str) -> set[str]:
+    """Part files in the folder itself that its manifest names and that are still there."""
+    if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
+        return set()
+    named = pq.read_table(f"{root}/{MANIFEST}", columns=["part"], filesystem=files)["part"].to_pylist()
+    own = [n for n in named if "/" not in n]
+    found = files.get_file_info([f"{root}/{n}" for n in own]) if own else []
+    return {n for n, info in zip(own, found) if info.type == fs.FileType.File}
+
+
 class StoreReader(DataSourceReader):
     """Byte ranges of the parts; a path to a single headerless file works as well."""
 
@@ -127,6 +153,8 @@ class StoreReader(DataSourceReader):
             parts = [(root, 0, info.size // self.width)]
         else:
             rows = pq.read_table(f"{root}/{MANIFEST}", filesystem=files).to_pylist()
+            if any(r["bytes"] != r["n_tokens"] * self.width for r in rows):
+                raise ValueError(f"the store's ids are not {self.width} bytes wide")
             parts = [(r["part"] if "/" in r["part"] else f"{root}/{r['part']}", r["start"], r["n_tokens"]) for r in rows]
         return [
             ByteRange(file, at * self.width, start + at, min(self.range_tokens, n - at))
@@ -180,6 +208,7 @@ def write(
     spark = positioned.sparkSession
     action = "kept"
     if force or not exists(spark, f"{path}/{MANIFEST}"):
+        ship(spark)
         spark.dataSource.register(TokenStore)
         part = F.floor(F.col("start") / part_tokens)
         (
@@ -204,6 +233,7 @@ def report(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
 
 def read(spark: SparkSession, path: str, vocab_size: int, range_tokens: int = PART_TOKENS) -> DataFrame:
     """Blocks ``(start, ids)`` of a store or of one flat file."""
+    ship(spark)
     spark.dataSource.register(TokenStore)
     return (
         spark.read.format("tokenstore").option("vocab_size", vocab_size).option("range_tokens", range_tokens).load(path)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from corpusloom.operators import recurrence
 from corpusloom.operators.recurrence import fold
+from corpusloom.operators.training_log import closes_interval
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,38 +26,33 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class IntervalLoss(StatefulProcessor):
-    """Sum of an interval's losses, emitted and forgotten once its steps are complete."""
+def stream_interval(log: DataFrame, every: int, path: str, checkpoint: str) -> None:
+    """Interval losses of a streamed log, written as their closing steps arrive.
 
-    def __init__(self, every: int, start_step: int = 0):
-        self.every, self.start_step = every, start_step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("interval", "total double, n long")
+    As in the batch form an interval is its steps' sum over the nominal length, and the
+    step on its boundary closes it, whether or not steps are missing. Steps serve as event
+    time: state is dropped once the log is two intervals further.
+    """
+    step = F.col("step")
+    timed = log.select("step", "loss", F.timestamp_seconds(step).alias("at")).withWatermark("at", f"{2 * every} seconds")
+    sums = timed.groupBy(F.window("at", f"{every} seconds").alias("span")).agg(
+        F.sum("loss").alias("total"), F.max(closes_interval(step, every)).alias("closed")
+    )
+    closed = sums.where("closed").select(F.unix_seconds("span.end").alias("step"), (F.col("total") / every).alias("loss"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total, n = self.state.get() if self.state.exists() else (0.0, 0)
-        for part in rows:
-            total += float(part["loss"].sum())
-            n += len(part)
-        first = key[0] * self.every
-        if n == self.every - max(self.start_step - first, 0):
-            self.state.clear()
-            yield pd.DataFrame({"step": [first + self.every], "loss": [total / self.every]})
-        else:
-            self.state.update((total, n))
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def close(self) -> None:
-        pass
+    (
+        closed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
+    )
 
 
-def stream_interval(log: DataFrame, every: int, start_step: int = 0) -> DataFrame:
-    """Interval losses of a streamed log; only open intervals hold state."""
-    use_state_store(log.sparkSession)
-    keyed = log.select(F.floor(F.col("step") / every).cast("long").alias("interval"), "loss")
-    return keyed.groupBy("interval").transformWithStateInPandas(
-        IntervalLoss(every, start_step), "step long, loss double", outputMode="Append", timeMode="None"
-    )
+def intervals(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_interval`` wrote. An interval that got late steps counts as last written."""
+    rows = spark.read.schema("step long, loss double, batch long").parquet(path)
+    return rows.groupBy("step").agg(F.max_by("loss", "batch").alias("loss"))
 
 
 class DecayedState(StatefulProcessor):

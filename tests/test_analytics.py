@@ -82,10 +82,15 @@ def test_routing_bias_steers_but_does_not_weigh(spark):
     assert [r.grp for r in pushed] == [2, 0] and pushed[0].weight == pytest.approx(1 / (1 + math.exp(s)))
 
 
-def test_gate_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(routing, "MAX_GATE_CELLS", 3)
-    with pytest.raises(ValueError):
-        routing.gate_matrix(spark.createDataFrame([(0, [1.0] * 4)], "label int, centroid array<double>"))
+def test_groups_are_scored_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    gate, bias = rng.normal(size=(23, 4)), [0.1 * (g % 3) for g in range(23)]
+    gate[7] = gate[3]
+    vecs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "vec_id int, embedding array<double>").coalesce(1)
+    rows = lambda: sorted(map(tuple, routing.topk_routing(vecs, list(range(23)), gate, bias, 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(routing, "BLOCK_CELLS", 40)
+    assert [r[:3] for r in rows()] == [r[:3] for r in whole] and np.allclose([r[3] for r in rows()], [r[3] for r in whole])
 
 
 def test_sampling_keeps_ties_and_weakens_seen(spark):

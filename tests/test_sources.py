@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.operators import packing
+from corpusloom.operators import packing, training_log
 from corpusloom.operators import rows as row_ops
 from corpusloom.operators import vocabulary as voc
 from corpusloom.sources import corpus, inventory, token_store
@@ -155,6 +155,45 @@ def test_stream_interval_after_a_resume(spark, tmp_path):
     rows = [(s, float(s)) for s in range(7, 25)]
     arrivals(spark, f"{tmp_path}/in", rows, "step long, loss double", 4)
     log = corpus.stream(spark, f"{tmp_path}/in", "step long, loss double", max_files=1)
-    corpus.drain(keyed.stream_interval(log, 5, start_step=7), f"{tmp_path}/out", f"{tmp_path}/ck")
-    got = {r.step: r.loss for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    keyed.stream_interval(log, 5, f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = {r.step: r.loss for r in keyed.intervals(spark, f"{tmp_path}/out").collect()}
     assert got == {10: (7 + 8 + 9) / 5, 15: 12.0, 20: 17.0, 25: 22.0}
+
+
+def test_stream_interval_closes_over_missing_steps(spark, tmp_path):
+    rows = [(s, float(s)) for s in range(23) if s not in (3, 11)]
+    arrivals(spark, f"{tmp_path}/in", rows, "step long, loss double", 6)
+    log = corpus.stream(spark, f"{tmp_path}/in", "step long, loss double", max_files=1)
+    keyed.stream_interval(log, 5, f"{tmp_path}/out", f"{tmp_path}/ck")
+    want = training_log.interval_loss(spark.createDataFrame(rows, "step long, loss double"), 5)
+    assert sorted(map(tuple, keyed.intervals(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_budget_counts_rows_inside_a_micro_batch_and_leaves_the_rest(spark, tmp_path):
+    rows = [(i, "ab ab") for i in range(40)]
+    arrivals(spark, f"{tmp_path}/in", rows, "doc_id long, text string", 20)
+    vocab = voc.train(voc.word_counts(spark.createDataFrame(rows, "doc_id long, text string")), 20)
+    out = f"{tmp_path}/out"
+    docs = corpus.stream(spark, f"{tmp_path}/in", "doc_id long, text string", max_files=1)
+    encode.stream_encode(docs, vocab, out, f"{out}/ck", max_tokens=1, batch_rows=8)
+    assert sorted(r.doc_id for r in encode.encoded(spark, out).collect()) == list(range(8))
+    encode.stream_encode(docs, vocab, out, f"{out}/ck", batch_rows=8)  # the second micro-batch was not committed
+    assert sorted(r.doc_id for r in encode.encoded(spark, out).collect()) == [*range(8), *range(20, 40)]
+
+
+def test_ids_beyond_the_width_are_refused(spark, tmp_path):
+    p = packing.stream_positions(spark.createDataFrame([(0, [1, 70_000])], "doc_id long, ids array<int>"))
+    with pytest.raises(Exception, match="does not fit"):
+        token_store.write(p, f"{tmp_path}/store", 400).collect()
+
+
+def test_a_forced_write_leaves_no_old_parts(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    for n in (30, 12):
+        token_store.write(positioned(spark, n), path, 300, part_tokens=16, force=True)
+    named = {r.part for r in token_store.manifest(spark, path).collect()}
+    assert {f.name for f in (tmp_path / "store").iterdir() if f.name.endswith(".bin")} == named
+    for root in (path, f"{tmp_path}/store", f"{tmp_path}//store/", f"file:{tmp_path}/store"):
+        assert inventory.list_files(spark, root, "tokens-").count() == len(named)
+    with pytest.raises(Exception, match="bytes wide"):
+        token_store.read(spark, path, 70_000).collect()
