@@ -20,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut, ship
 
-PAGE = 32
+PAGE = 256
 SHARD_ROWS = 16_384
-CELLS = 32
+CELLS = 16
 #: Rows the pivots are chosen from; only speed depends on them.
 PIVOT_SAMPLE = 1024
 QUERY_BLOCK = 2048
@@ -37,7 +38,10 @@ SLACK = 1e-9
 
 @dataclass
 class Tree:
-    """Pages of entries. ``child`` is -1 for an entry of a leaf; ``owner`` is its vector."""
+    """Pages of entries. ``child`` is -1 for an entry of a leaf; ``owner`` is its vector.
+
+    Integer components are held as doubles, in which scores up to 2**53 are exact.
+    """
 
     vectors: np.ndarray
     ids: np.ndarray
@@ -90,7 +94,7 @@ def build(vectors: np.ndarray, id_lists: list[list[int]], longest2: float) -> Tr
         if len(rows) <= PAGE:
             pages[number] = [(int(r), -1, 0.0, gap(r)) for r in rows]
             return number
-        routing = _choose(rows, points, PAGE)
+        routing = _choose(rows, points, min(PAGE, -(-2 * len(rows) // PAGE)))  # pages about half full
         reach = ((points[rows] ** 2).sum(axis=1)[:, None] - 2 * points[rows] @ points[routing].T + (points[routing] ** 2).sum(axis=1))
         nearest = reach.argmin(axis=1)
         entries = []
@@ -108,7 +112,7 @@ def build(vectors: np.ndarray, id_lists: list[list[int]], longest2: float) -> Tr
     owner, child, radius, parent = (np.array(c) for c in zip(*flat))
     sizes = np.array([len(i) for i in id_lists])
     return Tree(
-        vectors, np.array([i for ids in id_lists for i in ids], np.int64), np.concatenate([[0], np.cumsum(sizes)]),
+        plain, np.array([i for ids in id_lists for i in ids], np.int64), np.concatenate([[0], np.cumsum(sizes)]),
         np.concatenate([[0], np.cumsum([len(p) for p in pages])]), owner, child, radius, parent,
     )
 
@@ -119,7 +123,8 @@ def search(tree: Tree, query: np.ndarray, k: int, longest2: float, floor: float
     ``floor`` is a score that is already reached ``k`` times elsewhere: lower ones may be
     left out, equal ones not.
     """
-    base = float((query.astype(np.float64) ** 2).sum()) + longest2
+    query = query.astype(np.float64)
+    base = float((query**2).sum()) + longest2
     slack = SLACK * (1.0 + np.sqrt(base + longest2))
     best: list[tuple[int, int]] = []
     limit = np.inf if floor is None else float(np.sqrt(max(base - 2.0 * floor, 0.0))) + slack
@@ -139,16 +144,17 @@ def search(tree: Tree, query: np.ndarray, k: int, longest2: float, floor: float
         far = _distances(scores, base)
         if tree.child[a] < 0:
             near = far <= limit
+            if near.sum() > k:  # the k-th best vector of the page is a limit too
+                near &= scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             if near.any():
                 found = [(-int(s), int(i)) for o, s in zip(owner[near], scores[near]) for i in tree.ids[tree.first[o]:tree.first[o + 1]]]
-                best = heapq.nsmallest(k, best + found)
+                best = sorted(best + found)[:k]
                 if len(best) == k:
                     limit = min(limit, float(np.sqrt(max(base + 2.0 * best[-1][0], 0.0))) + slack)
         else:
-            for e, d in zip(entry, far):
-                bound = max(least, d - tree.radius[e])
-                if bound <= limit:
-                    heapq.heappush(queue, (float(bound), int(tree.child[e]), float(d)))
+            bounds = np.maximum(far - tree.radius[entry], least)
+            for i in np.flatnonzero(bounds <= limit).tolist():
+                heapq.heappush(queue, (float(bounds[i]), int(tree.child[entry[i]]), float(far[i])))
     return [(-s, i) for s, i in best]
 
 
@@ -166,6 +172,9 @@ def quantized(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    if len(flat) == len(column) * width and column.null_count == 0 and pa.compute.all(pa.compute.equal(pa.compute.list_value_length(column), width)).as_py():
+        return flat.to_numpy().reshape(len(column), width)
     out = np.zeros((len(column), width), np.int64)
     for i, row in enumerate(column.to_pylist()):
         out[i, :len(row)] = row
