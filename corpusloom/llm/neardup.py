@@ -5,10 +5,10 @@ give ``BANDS`` band keys, and of each minimum the low ``BITS`` bits are kept, pa
 a few integers: their agreement, counted by bits and corrected for chance, estimates the
 similarity of a candidate pair before its full sets are compared.
 
-A bucket of classes that share a band key is not turned into all pairs. Its members meet
-two hubs, links are confirmed on full sets, and components are found. Only members that
-stay outside the main component of a bucket then meet the bucket's members of other
-components. A pair inside one component needs no test, so nothing is lost by that.
+A bucket of classes that share a band key is not turned into all pairs. Each class meets
+the best hubs of its buckets, those with the fullest buckets; links are confirmed on
+full sets, and components are found. Only members that stay outside the main component of
+their buckets then meet those of other components, in blocks. A pair inside one component needs no test, so nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ BITS = 2
 #: below it a candidate is not compared any more.
 LEAST_ESTIMATE = 0.52
 
+#: Rows of a block in which outsiders meet members.
+BLOCK_ROWS = 512
+
 FACTORS = odd_constants(HASHES, 11)
 SHIFTS = odd_constants(HASHES, 12)
 BAND_FACTORS = odd_constants(ROWS, 13)
@@ -112,7 +115,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), values], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("_text"))
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
+    # The same join at every size: both sides are dealt by id, no side is sent to all tasks.
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -124,10 +128,8 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - differ / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full sets are similar. ``u`` may be a hub."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = cut(full_sets(docs, ids), "sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "uv")
     both = pairs.join(b, "v").join(a, "u")
     common = F.size(F.array_intersect("s_u", "s_v"))
@@ -139,6 +141,81 @@ def _likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").where(estimate(F.col("g_u"), F.col("g_v")) >= LEAST_ESTIMATE).select("u", "v")
 
 
+def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Adds ``c_name``, the component of column ``name``."""
+    labels = found.select(F.col("node").alias(name), F.col("component").alias("_c"))
+    return rows.join(labels, name, "left").withColumn(f"c_{name}", F.coalesce("_c", name)).drop("_c")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    links = cut(links, "links")
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links of a block of outsiders with a block of members, one for each component met.
+
+    What an outsider is linked with already is not compared again.
+    """
+    out: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        column = lambda t, c: t.column(c).combine_chunks()
+        ids, labels = column(right, "id").to_numpy(), column(right, "c").to_numpy()
+        in_main = column(right, "outside").to_numpy(zero_copy_only=False) == 0
+        sets = column(right, "shingles")
+        flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)
+        packed = column(right, "sig").flatten().to_numpy().reshape(len(ids), -1)
+        fields, chance = np.int64(0x5555555555555555), 2.0**-BITS
+        for s, c, sig, mine in zip(*(left.column(n).to_pylist() for n in ("id", "c", "sig")), left.column("shingles")):
+            apart = packed ^ np.array(sig, np.int64)
+            differ = np.bitwise_count((apart | (apart >> 1)) & fields).sum(axis=1)
+            likely = (1 - differ / HASHES - chance) / (1 - chance) >= LEAST_ESTIMATE
+            mine, met = np.sort(mine.values.to_numpy()), {c}
+            todo = np.flatnonzero(likely & (labels != c) & (in_main | (ids > s)))
+            while len(todo):
+                part, todo = todo[:64], todo[64:]
+                at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in part])
+                place = np.minimum(np.searchsorted(mine, flat[at]), len(mine) - 1)
+                common = np.add.reduceat(mine[place] == flat[at], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+                for i in part[100 * common >= SIMILAR_PERCENT * (len(mine) + sizes[part] - common)]:
+                    if int(labels[i]) not in met:
+                        met.add(int(labels[i]))
+                        out.append((s, int(ids[i])))
+                todo = todo[~np.isin(labels[todo], list(met))]
+    columns = list(zip(*out)) or [[], []]
+    return pa.table({"u": pa.array(columns[0], pa.int64()), "v": pa.array(columns[1], pa.int64())})
+
+
+def _late_links(touching: DataFrame, found: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that touch: ``touching(u, v)`` share a bucket.
+
+    Components that touch, directly or by others, form a group. The members outside a
+    group's largest component are its outsiders; they meet all members in blocks, as rows
+    of two block numbers, and only links come out.
+    """
+    linked = components(touching)
+    groups = cut(linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct()), "groups")
+    labels = _labelled(signs.select("id"), found, "id").withColumnRenamed("c_id", "c")
+    rows = cut(labels.join(groups.select(F.col("node").alias("c"), F.col("component").alias("grp")), "c"), "members")
+    sizes = rows.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
+        F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    blocks_of = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    dealt = rows.join(sizes, "grp").select(
+        "id", "c", "grp", (F.col("c") != F.col("main")).alias("outside"), blocks_of(F.col("n")).alias("m_all"),
+        F.greatest(blocks_of(F.col("n") - F.col("n_main")), F.lit(1)).alias("s_all"),
+    ).join(signs, "id").join(sets, "id")
+    dealt = cut(dealt, "dealt")
+    number = F.xxhash64("id")
+    members = dealt.withColumn("m", F.pmod(number, "m_all").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("s_all") - 1)))
+    outsiders = dealt.where("outside").withColumn("s", F.pmod(number, "s_all").cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("m_all") - 1)))
+    keys, columns = ("grp", "s", "m"), ("grp", "s", "m", "id", "c", "outside", "sig", "shingles")
+    left, right = (side.select(*columns).toDF(*columns).groupBy(*keys) for side in (outsiders, members))
+    return left.cogroup(right).applyInArrow(_compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -151,32 +228,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    place = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place)["id"].alias("low"), F.max(place)["id"].alias("high")).where("n > 1")
-    buckets = cut(members.join(hubs.drop("n"), "key"), "buckets")
-
-    signs = cut(reps.select(F.col("doc_id").alias("id"), "sig").join(buckets.select("id").distinct(), "id", "left_semi"), "signs")
-    to_hubs = buckets.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v")).where("u <> v")
-    tried = cut(_likely(to_hubs.distinct(), signs), "tried")
-    links = cut(_confirmed(tried, docs), "links")
-    found = components(links)
-
-    placed = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("c")
-    )
-    counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1")
-    open_ = cut(placed.join(mixed.select("key", "main"), "key").join(signs, "id"), "open")
-    outside = open_.where("c <> main").select("key", F.col("id").alias("u"), F.col("c").alias("c_u"), F.col("sig").alias("g_u"))
-    others = open_.select("key", F.col("id").alias("v"), F.col("c").alias("c_v"), F.col("sig").alias("g_v"), (F.col("c") == F.col("main")).alias("in_main"))
-    met = outside.join(others, "key").where(
-        (F.col("c_u") != F.col("c_v")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & (estimate(F.col("g_u"), F.col("g_v")) >= LEAST_ESTIMATE)
-    ).select("u", "v").distinct()
-    known = tried.select("u", "v").unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    late = cut(met.join(known, ["u", "v"], "left_anti"), "late")
-    if not late.isEmpty():
-        more = _confirmed(late, docs)
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = cut(members.join(shared, "key"), "buckets")
+    # A text that others were made from agrees with each of them in more bands than they do
+    # among themselves: the fuller a class's buckets, the better a hub it is.
+    fullness = buckets.groupBy("id").agg(F.sum("n").alias("fullness"))
+    ranked = cut(buckets.select("key", "id").join(fullness, "id"), "ranked")
+    best = ranked.groupBy("key").agg(F.max(F.struct("fullness", F.xxhash64("id").alias("h"), "id")).alias("hub"))
+    met = cut(ranked.select("key", "id").join(best, "key"), "met")
+
+    signs = cut(reps.select(F.col("doc_id").alias("id"), "sig").join(fullness.select("id"), "id", "left_semi"), "signs")
+    sets = cut(full_sets(docs, signs.select("id")), "sets")
+
+    first = met.groupBy(F.col("id").alias("v")).agg(F.max("hub")["id"].alias("u")).select("u", "v").where("u <> v")
+    found = components(_confirmed(_likely(first, signs), sets))
+    here = _labelled(met.select("key", F.col("id").alias("v"), F.col("hub.id").alias("u")), found, "v")
+    apart = _labelled(here, found, "u").where("c_u <> c_v").select("u", "v").distinct()
+    found = _merged(found, _confirmed(cut(_likely(apart, signs), "likely"), sets))
+
+    placed = _labelled(met.select("key", F.col("id").alias("v")), found, "v")
+    counts = placed.groupBy("key", "c_v").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c_v", F.struct("n", "c_v")).alias("main")).where("parts > 1")
+    touching = counts.join(mixed.select("key", "main"), "key").where("c_v <> main").select(F.col("main").alias("u"), F.col("c_v").alias("v")).distinct()
+    found = _merged(found, _late_links(touching, found, signs, sets))
 
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id")
