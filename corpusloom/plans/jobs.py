@@ -45,12 +45,19 @@ def tokenize_corpus(
 
 
 def tokenize_stream(
-    docs: DataFrame, vocab: voc.Vocabulary, path: str, max_tokens: int = 0, order: str = "doc_id", force: bool = False
+    docs: DataFrame, vocab: voc.Vocabulary, path: str, max_tokens: int = 0, order: str = "doc_id", force: bool = False,
+    work: str | None = None,
 ) -> DataFrame:
-    """Encode a stream under a budget into one store; returns its report."""
+    """Encode a stream under a budget into one store; returns its report.
+
+    An existing store ends the job before any work. ``work`` keeps encoded batches and the
+    stream's checkpoint; a run that names the same folder resumes there.
+    """
     spark = docs.sparkSession
     ship(spark)
-    work = scratch_path(spark, "stream-encode")
+    if vocab_store.exists(spark, f"{path}/{token_store.MANIFEST}") and not force:
+        return token_store.report(spark, path, vocab.size).withColumn("action", F.lit("kept"))
+    work = work or scratch_path(spark, "stream-encode")
     stream_encoding.stream_encode(docs, vocab, work, f"{work}/checkpoint", max_tokens)
     return token_store.write(
         packing.stream_positions(stream_encoding.encoded(spark, work), order=order), path, vocab.size, force=force

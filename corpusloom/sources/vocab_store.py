@@ -58,6 +58,29 @@ def from_json(spark: SparkSession, path: str) -> Vocabulary:
     return vocab
 
 
+def to_json(spark: SparkSession, vocab: Vocabulary, path: str) -> None:
+    """Write one tokenizer JSON file, which ``from_json`` and tokenizer libraries read."""
+    tokens, hidden = vocab.tokens, len(vocab.specials)
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {t: i for i, t in enumerate(tokens)},
+        "merges": [[tokens[left], tokens[right]] for left, right, _ in vocab.merges],
+    }
+    text = json.dumps({
+        "version": "1.0", "truncation": None, "padding": None,
+        "added_tokens": [{"id": i, "content": tokens[i], **flags} for i in range(hidden)],
+        "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model,
+    }, ensure_ascii=False)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def special_ids(vocab: DataFrame) -> DataFrame:
     """Special tokens with their ids, and the vocabulary size."""
     size = vocab.agg(F.count(F.lit(1))).scalar()

@@ -154,3 +154,16 @@ def test_store_and_json(spark, trained, tmp_path):
     read = vocab_store.from_json(spark, f"{tmp_path}/tokenizer.json")
     assert (read.tokens, read.merges) == (ours.tokens, ours.merges)
     assert ours.special_id("<|BOT|>") == 2 and ours.special_id("<|NO|>") is None
+
+
+def test_written_json_loads_in_the_library(spark, tmp_path):
+    texts = ["low lower lowest slow", "the newest é ß widest", "a  b\n c 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = voc.train(voc.word_counts(docs), 80, min_frequency=1)
+    path = f"{tmp_path}/tokenizer.json"
+    vocab_store.to_json(spark, vocab, path)
+    again = vocab_store.from_json(spark, path)
+    assert (again.specials, again.alphabet, again.merges) == (vocab.specials, vocab.alphabet, vocab.merges)
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in encoding.encode_docs(docs, vocab).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
