@@ -23,6 +23,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every left end has one edge and is no right end: then stars are components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("centre"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+    return roles.where((F.col("child") > 1) | ((F.col("child") == 1) & (F.col("centre") == 1))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``links(u, v)`` that is not its own
     component's smallest node.
@@ -30,11 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     A hub is met through an aggregate and a join, so no task gathers its neighbours. The
     rounds end when the links are stars; they grow with the logarithm of the longest chain.
     """
-    edges = cut(links.where("u <> v").select("u", "v").distinct(), "links")
-    seen = None
-    while True:
+    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while not _are_stars(edges):
         edges = cut(_small_star(cut(_large_star(edges), "links")), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

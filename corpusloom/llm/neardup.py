@@ -147,11 +147,8 @@ def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.join(labels, name, "left").withColumn(f"c_{name}", F.coalesce("_c", name)).drop("_c")
 
 
-def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    links = cut(links, "links")
-    if links.isEmpty():
-        return found
-    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+def _as_labels(links: DataFrame) -> DataFrame:
+    return links.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
 def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -189,23 +186,18 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(columns[0], pa.int64()), "v": pa.array(columns[1], pa.int64())})
 
 
-def _late_links(touching: DataFrame, found: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that touch: ``touching(u, v)`` share a bucket.
+def _late_links(rows: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share a bucket.
 
-    Components that touch, directly or by others, form a group. The members outside a
-    group's largest component are its outsiders; they meet all members in blocks, as rows
-    of two block numbers, and only links come out.
+    ``rows(grp, id, c)`` are members of mixed buckets, each under the component that most
+    of the bucket is in. Those in other components are the group's outsiders; they meet
+    all its members in blocks, as rows of two block numbers, and only links come out.
     """
-    linked = components(touching)
-    groups = cut(linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct()), "groups")
-    labels = _labelled(signs.select("id"), found, "id").withColumnRenamed("c_id", "c")
-    rows = cut(labels.join(groups.select(F.col("node").alias("c"), F.col("component").alias("grp")), "c"), "members")
-    sizes = rows.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
-        F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") != F.col("grp")).alias("n_outside"))
     blocks_of = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
     dealt = rows.join(sizes, "grp").select(
-        "id", "c", "grp", (F.col("c") != F.col("main")).alias("outside"), blocks_of(F.col("n")).alias("m_all"),
-        F.greatest(blocks_of(F.col("n") - F.col("n_main")), F.lit(1)).alias("s_all"),
+        "id", "c", "grp", (F.col("c") != F.col("grp")).alias("outside"), blocks_of(F.col("n")).alias("m_all"),
+        F.greatest(blocks_of(F.col("n_outside")), F.lit(1)).alias("s_all"),
     ).join(signs, "id").join(sets, "id")
     dealt = cut(dealt, "dealt")
     number = F.xxhash64("id")
@@ -241,16 +233,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = cut(full_sets(docs, signs.select("id")), "sets")
 
     first = met.groupBy(F.col("id").alias("v")).agg(F.max("hub")["id"].alias("u")).select("u", "v").where("u <> v")
-    found = components(_confirmed(_likely(first, signs), sets))
-    here = _labelled(met.select("key", F.col("id").alias("v"), F.col("hub.id").alias("u")), found, "v")
-    apart = _labelled(here, found, "u").where("c_u <> c_v").select("u", "v").distinct()
-    found = _merged(found, _confirmed(cut(_likely(apart, signs), "likely"), sets))
+    stars = cut(_confirmed(_likely(first, signs), sets), "links")
+    # What hangs on one hub already needs no other hub of that star.
+    here = _labelled(met.select(F.col("id").alias("v"), F.col("hub.id").alias("u")).where("u <> v").distinct(), _as_labels(stars), "v")
+    apart = _labelled(here, _as_labels(stars), "u").where("c_u <> c_v").select("u", "v")
+    found = components(stars.unionByName(cut(_confirmed(_likely(apart, signs), sets), "links")))
 
     placed = _labelled(met.select("key", F.col("id").alias("v")), found, "v")
     counts = placed.groupBy("key", "c_v").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c_v", F.struct("n", "c_v")).alias("main")).where("parts > 1")
-    touching = counts.join(mixed.select("key", "main"), "key").where("c_v <> main").select(F.col("main").alias("u"), F.col("c_v").alias("v")).distinct()
-    found = _merged(found, _late_links(touching, found, signs, sets))
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c_v", F.struct("n", "c_v")).alias("grp")).where("parts > 1")
+    rows = cut(placed.join(mixed.select("key", "grp"), "key").select("grp", F.col("v").alias("id"), F.col("c_v").alias("c")).distinct(), "members")
+    late = cut(_late_links(rows, signs, sets), "links")
+    if not late.isEmpty():
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
 
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id")
