@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 #: Pieces and ids a worker remembers before it starts afresh. Only speed depends on it.
-MAX_PIECES = 1_000_000
-MAX_IDS = 8_000_000
+MAX_PIECES = 600_000
+MAX_IDS = 6_000_000
 #: Bytes of text that are taken together.
 BLOCK_BYTES = 4 << 20
 
@@ -28,7 +28,10 @@ class PieceCache:
         self.used = 0
 
     def _add(self, pieces: list) -> None:
-        found = self.encode(pieces)
+        found = self.encode(pieces)  # may learn parts of the pieces on the way
+        repeats = [p in self.rows for p in pieces]
+        if any(repeats):
+            pieces, found = zip(*((p, f) for p, f, r in zip(pieces, found, repeats) if not r)) if not all(repeats) else ((), ())
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total, at = int(sizes.sum()), len(self.rows)
         while self.used + total > len(self.ids):
@@ -42,6 +45,16 @@ class PieceCache:
         self.used += total
         self.rows.update(zip(pieces, range(at, at + len(pieces))))
 
+    def learn(self, pieces: list) -> None:
+        """Have ``encode`` find what is not known yet."""
+        new = list(dict.fromkeys(p for p in pieces if p not in self.rows))
+        if new:
+            self._add(new)
+
+    def ids_of(self, piece) -> list[int]:
+        row = self.rows.get(piece)
+        return [] if row is None else self.ids[self.first[row]:self.first[row] + self.count[row]].tolist()
+
     def gather(self, pieces: list, bounds: Sequence[int]) -> list[np.ndarray]:
         """Ids of each text; text ``i`` has the pieces ``bounds[i]:bounds[i + 1]``."""
         if len(self.rows) > MAX_PIECES or self.used > MAX_IDS:
@@ -58,11 +71,11 @@ class PieceCache:
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def blocks(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive rows of about ``BLOCK_BYTES``, one row at least."""
+def blocks(sizes: Sequence[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of at most ``most`` bytes, or one longer row."""
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > BLOCK_BYTES:
+        if i > start and total + size > most:
             yield start, i
             start, total = i, 0
         total += size

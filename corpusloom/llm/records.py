@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
 from corpusloom.functions.text import printable_byte
-from corpusloom.llm.piece_cache import MAX_PIECES, PieceCache, blocks
+from corpusloom.llm.piece_cache import PieceCache, blocks
 from corpusloom.llm.text import text_of
 from corpusloom.operators.positions import id_bucket, running_totals
 from corpusloom.session import ship
@@ -79,7 +79,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.stems: dict[bytes, list[int]] = {}
         self.cache = PieceCache(self._missing)
 
     def _library(self, words: list[bytes]) -> list[list[int]]:
@@ -99,11 +98,11 @@ class WordEncoder:
 
     def _missing(self, words: list[bytes]) -> list[list[int]]:
         split = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in END_MARKS and w[-2:-1].isalnum() else (w, b"") for w in words]
-        if len(self.stems) > MAX_PIECES:
-            self.stems.clear()
-        need = list(dict.fromkeys(p for pair in split for p in pair if p and p not in self.stems))
-        self.stems.update(zip(need, self._library(need)))
-        return [self.stems[stem] + self.stems[mark] if mark else self.stems[stem] for stem, mark in split]
+        self.cache.learn([p for stem, mark in split if mark for p in (stem, mark)])  # none of these is split again
+        whole = [stem for stem, mark in split if not mark and stem not in self.cache.rows]
+        found = dict(zip(whole, self._library(whole)))
+        ids = self.cache.ids_of
+        return [ids(stem) + ids(mark) if mark else found.get(stem) or ids(stem) for stem, mark in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words, bounds = [], [0]
