@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.positions import (
+    LEVELS,
     BUCKET,
     BUCKET_BEFORE,
     BUCKET_TOTAL,
@@ -21,7 +22,7 @@ def token_count(ids: str = "ids") -> Column:
 
 
 def stream_positions(
-    encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id", levels: int = 2
+    encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id", levels: int = LEVELS
 ) -> DataFrame:
     """Add ``start``, the position of a document's first token in its stream.
 

@@ -2,8 +2,9 @@
 
 Rows are grouped in buckets that follow the order (the leading bits of an integer key).
 Each bucket is summed, the small table of bucket totals is accumulated (again by
-buckets of buckets), and rows add their own running sum inside the bucket. A window
-therefore never sees more than one bucket, whatever the share of one key in the data.
+buckets of buckets, and so on), and rows add their own running sum inside the bucket. A
+window therefore never sees more than one bucket, whatever the share of one key in the
+data and however far apart its ids lie.
 Buckets come from the data, not from partition numbers, so a retried task cannot
 change a position.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 # Bucket sizes as powers of two.
 FANOUT_BITS = 16
 DOC_BITS = 10
+# Levels that take any 64-bit key, dense or hashed, down to a handful of rows.
+LEVELS = 4
 
 BUCKET = "_bucket"
 BUCKET_BEFORE = "_bucket_before"
@@ -61,7 +64,7 @@ def running_totals(
     bucket: Column,
     order: Sequence[str | Column],
     by: Sequence[str] = (),
-    levels: int = 2,
+    levels: int = LEVELS,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``values``: the sum over all earlier rows of the group.
@@ -100,7 +103,7 @@ def row_ranks(
     bucket: Column,
     order: Sequence[str | Column],
     by: Sequence[str] = (),
-    levels: int = 2,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Zero-based position of each row in its group."""
     return running_totals(df, {name: F.lit(1).cast("long")}, bucket=bucket, order=order, by=by, levels=levels)
@@ -116,7 +119,7 @@ def order_value_at(df: DataFrame, order: str, n: int, bits: int = FANOUT_BITS) -
         return None
     counts = df.groupBy(id_bucket(order, bits).alias(BUCKET)).agg(F.count(F.lit(1)).alias("k"))
     edge = (
-        _accumulate(counts, [], ["k"], 2)
+        _accumulate(counts, [], ["k"], LEVELS)
         .where(F.col("k_before") < n)
         .agg(F.max_by(F.struct(BUCKET, "k_before"), BUCKET).alias("e"))
         .first()["e"]

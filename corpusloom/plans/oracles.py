@@ -208,6 +208,8 @@ ORACLES: dict[str, str] = {
         where p.before < {int(fx.MAX_TOKENS * 1.2 / fx.FILE_WORKERS)}),
       placed as (select *, (sum(n) over (order by worker, file_rank, row rows unbounded preceding) - n)::bigint as start from kept)
       select doc_id, worker, start, least(n, {fx.MAX_TOKENS} - start)::bigint as n from placed where start < {fx.MAX_TOKENS}""",
+    "hashed_offsets": """with k as (select doc_id, ('0x' || md5(doc_id::varchar)[1:15])::bigint as k, octet_length(encode(text)) + 1 as n from documents)
+      select doc_id, (sum(n) over (order by k rows unbounded preceding) - n)::bigint as start, n::bigint as n from k""",
     "budget_cap_stream": f"""with sized as (select doc_id, octet_length(encode(text)) + 1 as n, doc_id // 50 as b from documents),
       prior as (select b, sum(t) over (order by b) - t as before from (select b, sum(n) t from sized group by b))
       select doc_id, n::bigint as n from sized join prior using (b) where before < {fx.MAX_TOKENS}""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width, ids_text
 from corpusloom.functions.text import pieces
-from corpusloom.operators import batching, budget, encoding, packing, recurrence, routing, scoring, training_log
+from corpusloom.operators import batching, budget, encoding, packing, positions, recurrence, routing, scoring, training_log
 from corpusloom.operators import rows as row_ops
 from corpusloom.operators import vocabulary as voc
 from corpusloom.plans import fixtures as fx
@@ -249,6 +249,14 @@ def global_offsets(spark, sf):
     return fx.byte_stream(spark, sf).select("doc_id", "start", packing.token_count().alias("n"))
 
 
+@query
+def hashed_offsets(spark, sf):
+    """Positions along a key that is spread over 60 bits."""
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    sizes = fx.docs(spark, sf).select("doc_id", key.alias("key"), (F.octet_length("text") + 1).cast("long").alias("n"))
+    return positions.running_totals(sizes, {"start": F.col("n")}, bucket=positions.id_bucket("key"), order=["key"]).select("doc_id", "start", "n")
+
+
 @query
 def pack_overlap(spark, sf):
     return as_text(packing.pack_overlapping(fx.shard_docs(spark, sf), fx.SEQ_LEN), "tokens")

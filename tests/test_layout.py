@@ -3,9 +3,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import batching, budget, packing
+from corpusloom.operators import batching, budget, packing, positions
 from corpusloom.operators.positions import id_bucket, order_value_at, row_ranks, running_totals
 
 
@@ -177,3 +178,25 @@ def test_budget_report_scales_steps(spark):
     one = spark.createDataFrame([(1_000,)], "tokens long")
     r = batching.budget_report(one, 8, 2, 4, 64, 3).first()
     assert (r.step_tokens, r.steps, r.training_tokens) == (4_096, 1, 4_096)
+
+
+def test_windows_stay_small_for_hashed_keys(spark, monkeypatch):
+    seen = []
+    inner = positions._accumulate
+
+    def counted(totals, by, names, levels):
+        if levels <= 1:
+            seen.append(totals.count())
+        else:
+            up = F.shiftright(positions.BUCKET, positions.FANOUT_BITS)
+            seen.append(totals.groupBy(*by, up.alias("u")).count().agg(F.max("count")).first()[0])
+        return inner(totals, by, names, levels)
+
+    monkeypatch.setattr(positions, "_accumulate", counted)
+    n = 70_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("key"))
+    got = positions.row_ranks(rows, bucket=positions.id_bucket("key"), order=["key"])
+    assert max(seen) <= 1 << positions.FANOUT_BITS and seen[-1] <= 256
+    w = Window.orderBy("key")
+    wrong = got.withColumn("want", F.row_number().over(w) - 1).where("rank <> want").count()
+    assert wrong == 0 and got.count() == n
