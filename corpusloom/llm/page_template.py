@@ -9,7 +9,8 @@ is itself part of the template, in an article or elsewhere, is not.
 
 Occurrence vectors never meet in one place: a vector is the combination of hashes of
 (page, count), built up by partial aggregates, and two tokens with one such fingerprint
-and number of pages share a class.
+and number of pages share a class. Pages are told apart by what they say: copies of a
+page weigh together as one, and pages without any token are none.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut, ship
 
-#: Pages a host needs before a template is deduced, share of them a class must reach, and
-#: tokens it must have.
+#: Different pages a host needs before a template is deduced, share of them a class must
+#: reach, and tokens it must have. A text run that so many pages repeat at one path is no
+#: coincidence, as tags may be; its class may be itself alone.
 MIN_PAGES = 8
 SUPPORT = 0.8
 MIN_CLASS = 3
-#: A text run is template only if each page of the host has it, and these are at least so many.
-MIN_TEXT_PAGES = 20
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,7 +193,7 @@ def main_text(page: str, classes: dict[int, int]) -> str:
     """Blocks of the article's slots in page order, joined by line ends.
 
     A page without an article element is taken whole, minus what is set aside. Template
-    text, which all of many pages of the host repeat, is left out; all other text is kept.
+    text, which most pages of the host repeat, is left out; all other text is kept.
     """
     parts = list(tokens(page))
     fixed = template_tokens([p[0] for p in parts], classes) if classes else set()
@@ -227,23 +227,34 @@ def host_classes(pages: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            rows = [(h, p, t, n, i, x_text) for h, p, x in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "_html"))) for t, (n, i, x_text) in counts(x).items()]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "token", "n", "first", "is_text"])
+            rows = []
+            for h, p, w, x in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "weight", "_html"))):
+                found = counts(x)
+                if found:  # token 0 counts the pages that have tokens
+                    rows.append((h, p, w, 0, 1, 0, False))
+                rows += [(h, p, w, t, n, i, is_text) for t, (n, i, is_text) in found.items()]
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "weight", "token", "n", "first", "is_text"])
 
     named = pages.where(F.col("host").isNotNull())
-    sizes = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    seen = named.select("host", "page", "_html").mapInArrow(count, "host string, page long, token long, n int, first int, is_text boolean")
+    # Written first, so that the join knows how few pages have copies and moves no page.
+    copies = cut(named.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    weighed = named.join(copies, ["host", "page"], "left").select("host", "page", (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"), "_html")
+    seen = weighed.mapInArrow(count, "host string, page long, weight double, token long, n int, first int, is_text boolean")
+    # Halves of a hash add up without overflow, and copies, unlike under exclusive or, stay in.
+    mark = F.xxhash64("page", "n")
     vectors = seen.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("in_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("first").alias("place"),
-        F.max("is_text").alias("is_text"),
+        F.round(F.sum("weight")).cast("long").alias("in_pages"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        F.sum(F.shiftrightunsigned(mark, 32)).alias("high"), F.avg("first").alias("place"), F.max("is_text").alias("is_text"),
     )
-    everywhere = (F.col("in_pages") == F.col("pages")) & (F.col("pages") >= MIN_TEXT_PAGES)
-    frequent = vectors.join(sizes, "host").where(F.when(F.col("is_text"), everywhere).otherwise(F.col("in_pages") >= SUPPORT * F.col("pages")))
+    sizes = vectors.where("token = 0").select("host", F.col("in_pages").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    frequent = vectors.where("token <> 0").join(sizes, "host").where(F.col("in_pages") >= SUPPORT * F.col("pages"))
     # From here on a host has no more tokens than a page and a quarter.
-    grouped = frequent.groupBy("host", "vector", "in_pages").agg(F.collect_list(F.struct("place", "token")).alias("members")).where(F.size("members") >= MIN_CLASS)
-    flat = grouped.select("host", F.explode("members").alias("m"), F.xxhash64("vector", "in_pages").alias("class"))
+    grouped = frequent.groupBy("host", "low", "high", "in_pages").agg(
+        F.collect_list(F.struct("place", "token")).alias("members"), F.max("is_text").alias("has_text")
+    ).where((F.size("members") >= MIN_CLASS) | F.col("has_text"))
+    flat = grouped.select("host", F.explode("members").alias("m"), F.xxhash64("low", "high", "in_pages").alias("class"))
     return flat.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("m.place", "m.token", "class"))).alias("m")).select(
         "host", F.col("m.token").alias("tokens"), F.col("m.class").alias("classes")
     )
@@ -253,11 +264,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``.
 
     Null pages are empty and give an empty text. Pages without a host, and hosts with
-    fewer than ``MIN_PAGES`` pages, have no template; their tags alone decide. Repeated
-    rows give repeated rows; an empty table gives none.
+    fewer than ``MIN_PAGES`` different pages that have tokens, have no template; their
+    tags alone decide. Repeated rows give repeated rows; an empty table gives none.
     """
     ship(pages.sparkSession)
-    page_key = F.xxhash64("page_id", "url", "html")
+    page_key = F.xxhash64(F.col("html").cast("string"))
     rows = pages.select(
         F.col("page_id").cast("long"), "url", host(F.col("url")).alias("host"), page_key.alias("page"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_html"),
