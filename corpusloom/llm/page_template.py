@@ -192,12 +192,15 @@ def template_tokens(page_tokens: list[int], classes: dict[int, int]) -> set[int]
 def main_text(page: str, classes: dict[int, int]) -> str:
     """Blocks of the article's slots in page order, joined by line ends.
 
-    A page without an article element is taken whole, minus what is set aside. Template
+    A page without an article element that holds text of its own, neither template nor set
+    aside (as teasers and comments are), is taken whole, minus what is set aside. Template
     text, which most pages of the host repeat, is left out; all other text is kept.
     """
     parts = list(tokens(page))
     fixed = template_tokens([p[0] for p in parts], classes) if classes else set()
-    in_article = any(p[4] for p in parts)
+    in_article = any(
+        article and not aside and text is not None and text != " " and token not in fixed for token, text, _, aside, article, _ in parts
+    )
     blocks: list[str] = []
     now: list[str] = []
 

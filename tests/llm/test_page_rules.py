@@ -36,3 +36,11 @@ def test_copies_of_a_page_are_no_template(spark):
     assert text[0] == "Title 1\nWords of page 1\nRead more on this site"
     assert text[100] == "Title 1\nWords of page 1"
     assert all(text[200 + i] == f"Title {200 + i}\nWords of page {200 + i}" for i in range(9))
+
+
+def test_articles_that_are_set_aside_do_not_hide_the_main_text():
+    teasers = "<aside><article><h2>Other story</h2></article></aside>"
+    comments = "<section class='comments'><article><p>first!</p></article></section>"
+    assert page_template.main_text(f"<body><main><p>The story</p></main>{teasers}{comments}</body>", {}) == "The story"
+    assert page_template.main_text(f"<body><div>The story</div><article> <img src=x> </article>{comments}</body>", {}) == "The story"
+    assert page_template.main_text(f"<body><p>outside</p><article>The story</article>{teasers}</body>", {}) == "The story"
