@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -49,6 +50,10 @@ ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
     r"notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])"
 )
+# Elements that hold the whole page, and names that tell what a page or post
+# has or is filed under, not what the element is.
+FRAME = frozenset("html body main".split())
+LAYOUT_NAME = re.compile(r"(?:has|with|without|no|category|tag|type|format|status|layout|theme)[_-]")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -83,6 +88,12 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
+@lru_cache(1 << 14)
+def _names_aside(value: str) -> bool:
+    """Whether any name in the value of a class, id or role sets its element aside."""
+    return any(ASIDE_WORDS.search(x) and not LAYOUT_NAME.match(x) for x in value.split())
+
+
 class Walker:
     """Follows the open elements; each has its path hash and whether it is set aside."""
 
@@ -107,9 +118,10 @@ class Walker:
                 if names[i] in SCOPE:
                     break
         _, path, aside, article = self.stack[-1]
-        labels = " ".join(f"{m[1].lower()}={(m[2] or m[3] or m[4] or '').lower()}" for m in NAMED.finditer(attrs)) if attrs else ""
-        values = " ".join(x.partition("=")[2] for x in labels.split(" ")) if labels else ""
-        aside = aside or name in ASIDE or name in RAW or (name == "header" and not article) or bool(values and ASIDE_WORDS.search(values))
+        named = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMED.finditer(attrs)] if attrs else []
+        labels = " ".join(f"{kind}={value}" for kind, value in named)
+        aside = aside or name in ASIDE or name in RAW or (name == "header" and not article)
+        aside = aside or (name not in FRAME and any(_names_aside(value) for _, value in named))
         token = _hash(path, name, labels)
         if name not in VOID and not attrs.endswith("/"):
             self.stack.append((name, token, aside, article or name == "article"))

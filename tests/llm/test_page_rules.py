@@ -44,3 +44,11 @@ def test_articles_that_are_set_aside_do_not_hide_the_main_text():
     assert page_template.main_text(f"<body><main><p>The story</p></main>{teasers}{comments}</body>", {}) == "The story"
     assert page_template.main_text(f"<body><div>The story</div><article> <img src=x> </article>{comments}</body>", {}) == "The story"
     assert page_template.main_text(f"<body><p>outside</p><article>The story</article>{teasers}</body>", {}) == "The story"
+
+
+def test_every_name_of_an_element_counts():
+    for names in ("post ad", "col sidebar", "col-4\n\tcookie-notice", "x y related"):
+        assert page_template.main_text(f"<article><p>The story</p><div class='{names}'>Buy now</div></article>", {}) == "The story"
+        assert page_template.main_text(f"<div><p>The story</p><div class=\"{names}\" id=d1>Buy now</div></div>", {}) == "The story"
+    assert page_template.main_text("<body class='single has-sidebar sidebar'><main class='col banner'><p>The story</p></main></body>", {}) == "The story"
+    assert page_template.main_text("<article class='post category-social no-sidebar'>The story</article>", {}) == "The story"
