@@ -3,8 +3,10 @@
 The statistics of a text become a short vector of logarithms and shares. For each
 language and source the minimum covariance determinant estimate of its distribution is
 found by concentration steps: rows are ranked by their distance from the current centre,
-the nearest ``SUPPORT`` of them give the next mean and covariance. A document is
-rejected when its squared Mahalanobis distance from the result is beyond ``CUTOFF``.
+the nearest ``SUPPORT`` of them give the next mean and covariance. Where a source is small
+its language is estimated, where that is small all documents are. A document is rejected
+when its squared Mahalanobis distance from the result is beyond the outer fence of the
+distances there.
 All of it is DataFrame code; a step is one aggregation over the narrow statistics.
 """
 
@@ -28,9 +30,12 @@ MIN_GROUP = 60
 ACCURACY = 2000
 #: Median of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN = 4.3515
-#: Squared distance beyond which a document is an outlier: ten times the median, about
-#: one clean document in 4e7 for a normal cloud. Text statistics have heavier tails.
-CUTOFF = 400.0
+#: Third quartile of that distribution as a multiple of the median; no cell counts as tighter.
+CHI2_SPREAD = 1.5227
+#: Tukey's outer fence on the distances: three times the interquartile range, here twice
+#: the upper half of it, above the third quartile. It follows tails that are heavier than
+#: those of a normal cloud.
+FENCE = 6
 FEATURES = ("f_size", "f_word", "f_symbol", "f_line", "f_repeat")
 #: Standard deviations below which a statistic counts as constant. Without them a source
 #: whose documents all lack symbols would reject a document with one.
@@ -96,17 +101,19 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds the cell of each row: language and source, or the language's small sources
-    together. ``_cell`` is null where even those are fewer than ``MIN_GROUP``."""
-    key = ["_lang", "_source"]
-    sizes = rows.where(~F.col("base_failed")).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.where(F.col("_n") < MIN_GROUP).groupBy("_lang").agg(F.sum("_n").alias("_n_small"))
-    cells = sizes.alias("s").join(small.alias("m"), F.col("s._lang").eqNullSafe(F.col("m._lang")), "left").select(
+    """Adds the cell that judges each row: language and source, or the language, or all
+    documents, the first with ``MIN_GROUP`` documents that pass the base rule; ``_cells``
+    has all three."""
+    sizes = rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n"))
+    langs = sizes.groupBy("_lang").agg(F.sum("_n").alias("_n_lang"))
+    own = F.to_json(F.struct(F.col("s._lang").alias("l"), F.col("s._source").alias("s"), F.lit(1).alias("own")))
+    lang = F.to_json(F.struct(F.col("s._lang").alias("l"), F.lit(0).alias("own")))
+    cells = sizes.alias("s").join(langs.alias("m"), F.col("s._lang").eqNullSafe(F.col("m._lang"))).select(
         F.col("s._lang").alias("_l"), F.col("s._source").alias("_o"),
-        F.when(F.col("_n") >= MIN_GROUP, F.to_json(F.struct(F.col("s._lang").alias("l"), F.col("s._source").alias("s"), F.lit(1).alias("own"))))
-        .when(F.col("_n_small") >= MIN_GROUP, F.to_json(F.struct(F.col("s._lang").alias("l"), F.lit(0).alias("own")))).alias("_cell"),
+        F.when(F.col("_n") >= MIN_GROUP, own).when(F.col("_n_lang") >= MIN_GROUP, lang).otherwise("all").alias("_cell"),
+        F.array(own, lang, F.lit("all")).alias("_cells"),
     )
-    return rows.join(cells, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_o")), "left").drop("_l", "_o")
+    return rows.join(cells, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_o"))).drop("_l", "_o")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -154,15 +161,19 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") ->
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Minimum covariance determinant estimate per cell, with its consistency ``scale``."""
+    """Minimum covariance determinant estimate per cell, with its consistency ``scale`` and
+    the ``cutoff`` of scaled distances."""
     current = cut(_start(rows), "centre")
     for _ in range(STEPS):
         ranked = _with_distance(rows, current)
         radius = ranked.groupBy("_cell").agg(F.percentile_approx("_d2", SUPPORT, ACCURACY).alias("_radius"))
         near = ranked.join(radius, "_cell").where(F.col("_d2") <= F.col("_radius"))
         current = cut(_moments(near), "centre")
-    middle = _with_distance(rows, current).groupBy("_cell").agg(F.percentile_approx("_d2", 0.5, ACCURACY).alias("_middle"))
-    return cut(current.join(middle.withColumn("scale", F.greatest(F.col("_middle") / CHI2_MEDIAN, F.lit(0.25))), "_cell"), "estimate")
+    quartiles = _with_distance(rows, current).groupBy("_cell").agg(F.percentile_approx("_d2", [0.5, 0.75], ACCURACY).alias("_q"))
+    scale = F.greatest(F.get("_q", F.lit(0)) / CHI2_MEDIAN, F.lit(0.25))
+    spread = F.greatest(F.get("_q", F.lit(1)) / (F.col("scale") * CHI2_MEDIAN), F.lit(CHI2_SPREAD))
+    fence = CHI2_MEDIAN * F.pow((1 + FENCE) * F.sqrt(spread) - FENCE, F.lit(2))
+    return cut(current.join(quartiles.withColumn("scale", scale).withColumn("cutoff", fence).drop("_q"), "_cell"), "estimate")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -170,13 +181,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and fail the base rule, as every text under 50 words does.
     Only documents that pass the base rule shape the estimate. Null languages and sources
-    are groups like any other. A group too small to estimate rejects nobody; repeated
-    rows are judged alike; an empty table gives no rows.
+    are groups like any other. Every document is judged, at the latest by the estimate of
+    all documents; repeated rows are judged alike; an empty table gives no rows.
     """
     rows = cut(_grouped(cut(measured(docs), "statistics")), "statistics")
-    estimate = _estimate(rows.where(~F.col("base_failed") & F.col("_cell").isNotNull()))
+    used = rows.select("_cell").distinct()
+    members = rows.where(~F.col("base_failed")).select(F.explode("_cells").alias("_cell"), *FEATURES).join(used, "_cell", "left_semi")
+    estimate = _estimate(cut(members, "members"))
     judged = _with_distance(rows, estimate, "left").withColumn("distance2", F.col("_d2") / F.col("scale"))
-    outlier = F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))
+    outlier = F.coalesce(F.col("distance2") > F.col("cutoff"), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~outlier).alias("kept"), "distance2",
