@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.llm import bpe, licenses, metric_tree, mixing, neardup, page_template, quality, records, secret_scan, suffixes
+from corpusloom.llm import bpe, codebooks, licenses, line_dedup, metric_tree, mixing, neardup, oracles, page_template, quality
+from corpusloom.llm import records, secret_scan, source_divergence, suffixes
 from corpusloom.llm.text import documents
 from corpusloom.session import cut, scratch_path
 
@@ -73,6 +74,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = codebooks.fit_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codebooks.with_label_errors(codes.rows).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", codebooks.codebooks_digest(codes.codebooks).alias("codebooks_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.without_repeated_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mtree_search": op1_mtree_search,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +101,9 @@ QUERIES = {
     "op8_robust_quality": op8_robust_quality,
     "op9_bpe_rank_array": op9_bpe_rank_array,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES = {
@@ -129,4 +149,7 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
             / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 """,
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op12_vector_codes": oracles.vector_codes(),
+    "op13_line_dedup": oracles.LINE_DEDUP,
 }

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.text import let, text_of
+from corpusloom.llm.text import let, row_key, text_of
 from corpusloom.session import cut
 
 # The base patterns.
@@ -159,11 +159,6 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), tested.alias("_r")).select("doc_id", "key", "_r.base", "_r.tokens")
 
 
-def row_key() -> Column:
-    """Hash of id and text, never null; with the id it tells rows apart."""
-    return F.xxhash64("doc_id", F.col("text").cast("string"))
-
-
 def dismissal_bins(tokens: DataFrame) -> dict[tuple[str, int], int]:
     """Smallest p-value bin that is dismissed, by alphabet and length class.
 
