@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.positions import row_ranks
+#: Rounds of the permutation, and walks out of its range that are followed. The range
+#: exceeds ``n`` by less than a square root of it: up to n = 1024 no walk can be longer,
+#: beyond that a longer one has a chance below 1e-40.
+ROUNDS = 6
+WALKS = 32
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """Sides of the smallest near-square grid of at least ``n`` cells."""
+    a = isqrt(max(n, 1) - 1) + 1
+    return a, -(-max(n, 1) // a)
+
+
+def permuted(index: Column, seed: Column, n: int, inverse: bool = False) -> Column:
+    """Image of ``index`` under a seeded permutation of ``0 .. n - 1``.
 
+    An index is a cell of a grid. Rounds move it along its row or its column by a hash of
+    the other coordinate, which can be undone round by round; an image beyond ``n`` is
+    moved again. Every place is computed by itself, in both directions: nothing is sorted
+    or exchanged, however many windows there are.
+    """
+    a, b = _sides(n)
+    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    long = lambda v: F.lit(v).cast("long")
+
+    def turn(acc: Column, k: Column) -> Column:
+        along = F.pmod(k, F.lit(2)) == 0
+        fixed, moved, side = (F.when(along, x).otherwise(y) for x, y in ((acc["r"], acc["l"]), (acc["l"], acc["r"]), (long(a), long(b))))
+        digest = F.md5(F.concat_ws(":", seed.cast("string"), k.cast("string"), fixed.cast("string")))
+        shift = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+        there = F.pmod(moved - shift if inverse else moved + shift, side)
+        return F.struct(F.when(along, there).otherwise(acc["l"]).alias("l"), F.when(along, acc["r"]).otherwise(there).alias("r"))
+
+    def step(x: Column) -> Column:
+        cell = F.struct(F.call_function("div", x, long(b)).alias("l"), F.pmod(x, long(b)).alias("r"))
+        return F.aggregate(rounds, cell, turn, lambda c: c["l"] * b + c["r"])
 
-def shuffle_key(seed: int, shard: str = "shard", window: str = "window") -> Column:
-    """Deterministic random key of a window; the seed differs per shard."""
-    return F.md5(F.concat_ws(":", (F.lit(seed) + F.col(shard)).cast("string"), F.col(window).cast("string")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(index.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
 
 
 def window_grid(spark: SparkSession, shards: int, n_windows: int) -> DataFrame:
@@ -22,15 +56,14 @@ def window_grid(spark: SparkSession, shards: int, n_windows: int) -> DataFrame:
     )
 
 
-def seeded_shuffle(windows: DataFrame, seed: int = 0) -> DataFrame:
-    """Add ``place``, the shuffled position of a window in its shard.
+def seeded_shuffle(windows: DataFrame, n_windows: int, seed: int = 0) -> DataFrame:
+    """Add ``place``, the shuffled position of each of a shard's ``n_windows`` windows; the seed differs per shard."""
+    return windows.withColumn("place", permuted(F.col("window"), F.lit(seed) + F.col("shard"), n_windows))
 
-    The leading digits of the key are the bucket, so buckets are even and a large shard
-    is ranked by many tasks.
-    """
-    keyed = windows.withColumn("_key", shuffle_key(seed))
-    bucket = F.conv(F.substring("_key", 1, 4), 16, 10).cast("long")
-    return row_ranks(keyed, "place", bucket=bucket, order=["_key", "window"], by=["shard"]).drop("_key")
+
+def window_at(places: DataFrame, n_windows: int, seed: int = 0) -> DataFrame:
+    """Add ``window``, the window of a shard that a ``place`` holds: the reverse of ``seeded_shuffle``."""
+    return places.withColumn("window", permuted(F.col("place"), F.lit(seed) + F.col("shard"), n_windows, inverse=True))
 
 
 def batches(placed: DataFrame, batch_size: int, workers: int) -> DataFrame:

@@ -7,14 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.positions import (
-    LEVELS,
-    BUCKET,
-    BUCKET_BEFORE,
-    BUCKET_TOTAL,
-    id_bucket,
-    running_totals,
-)
+from corpusloom.operators.positions import BUCKET, BUCKET_BEFORE, BUCKET_TOTAL, id_bucket, running_totals
 
 
 def token_count(ids: str = "ids") -> Column:
@@ -22,7 +15,7 @@ def token_count(ids: str = "ids") -> Column:
 
 
 def stream_positions(
-    encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id", levels: int = LEVELS
+    encoded: DataFrame, by: Sequence[str] = (), order: str = "doc_id"
 ) -> DataFrame:
     """Add ``start``, the position of a document's first token in its stream.
 
@@ -30,7 +23,7 @@ def stream_positions(
     """
     return running_totals(
         encoded, {"start": token_count()},
-        bucket=id_bucket(order), order=[order], by=by, levels=levels, keep_bucket=True,
+        bucket=id_bucket(order), order=[order], by=by, keep_bucket=True,
     )
 
 

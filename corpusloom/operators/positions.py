@@ -6,7 +6,8 @@ buckets of buckets, and so on), and rows add their own running sum inside the bu
 window therefore never sees more than one bucket, whatever the share of one key in the
 data and however far apart its ids lie.
 Buckets come from the data, not from partition numbers, so a retried task cannot
-change a position.
+change a position. How many levels of buckets there are follows from the bucket totals:
+few of them, as dense keys give, are accumulated at once, hashed keys take several levels.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 # Bucket sizes as powers of two.
 FANOUT_BITS = 16
 DOC_BITS = 10
-# Levels that take any 64-bit key, dense or hashed, down to a handful of rows.
-LEVELS = 4
+# Bucket totals that one window takes: small rows, whatever the size of the data.
+WINDOW_BITS = 20
 
 BUCKET = "_bucket"
 BUCKET_BEFORE = "_bucket_before"
@@ -33,6 +36,14 @@ def id_bucket(order: Column | str, bits: int = DOC_BITS) -> Column:
     return F.shiftright(key.cast("long"), bits)
 
 
+def bucket_levels(totals: DataFrame) -> int:
+    """Levels that keep every window over ``totals`` to ``2 ** WINDOW_BITS`` rows at most."""
+    lo, hi, n = totals.agg(F.min(BUCKET), F.max(BUCKET), F.count(F.lit(1))).first()
+    if n <= 1 << WINDOW_BITS:
+        return 1
+    return 1 + max(0, -(-((hi - lo).bit_length() + 1 - WINDOW_BITS) // FANOUT_BITS))
+
+
 def _accumulate(totals: DataFrame, by: list[str], names: list[str], levels: int) -> DataFrame:
     """Exclusive running sums of ``names`` over ``BUCKET`` inside each ``by`` group."""
     if levels <= 1:
@@ -64,11 +75,11 @@ def running_totals(
     bucket: Column,
     order: Sequence[str | Column],
     by: Sequence[str] = (),
-    levels: int = LEVELS,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``values``: the sum over all earlier rows of the group.
 
+    The bucket totals are written once, to see how many there are; rows stay pending.
     ``bucket`` must never decrease along ``order``. With ``keep_bucket`` the bucket id
     stays in the result, with the first value's total before and inside the bucket.
     """
@@ -76,8 +87,8 @@ def running_totals(
     names = list(values)
     parts = {n: f"_v_{n}" for n in names}
     rows = df.withColumns({BUCKET: bucket, **{parts[n]: values[n] for n in names}})
-    totals = rows.groupBy(*by, BUCKET).agg(*[F.sum(parts[n]).alias(parts[n]) for n in names])
-    before = _accumulate(totals, by, list(parts.values()), levels)
+    totals = cut(rows.groupBy(*by, BUCKET).agg(*[F.sum(parts[n]).alias(parts[n]) for n in names]), "totals")
+    before = _accumulate(totals, by, list(parts.values()), bucket_levels(totals))
     first = parts[names[0]]
     before = before.select(
         *by, BUCKET,
@@ -103,10 +114,9 @@ def row_ranks(
     bucket: Column,
     order: Sequence[str | Column],
     by: Sequence[str] = (),
-    levels: int = LEVELS,
 ) -> DataFrame:
     """Zero-based position of each row in its group."""
-    return running_totals(df, {name: F.lit(1).cast("long")}, bucket=bucket, order=order, by=by, levels=levels)
+    return running_totals(df, {name: F.lit(1).cast("long")}, bucket=bucket, order=order, by=by)
 
 
 def order_value_at(df: DataFrame, order: str, n: int, bits: int = FANOUT_BITS) -> int | None:
@@ -117,9 +127,9 @@ def order_value_at(df: DataFrame, order: str, n: int, bits: int = FANOUT_BITS) -
     """
     if n <= 0:
         return None
-    counts = df.groupBy(id_bucket(order, bits).alias(BUCKET)).agg(F.count(F.lit(1)).alias("k"))
+    counts = cut(df.groupBy(id_bucket(order, bits).alias(BUCKET)).agg(F.count(F.lit(1)).alias("k")), "counts")
     edge = (
-        _accumulate(counts, [], ["k"], LEVELS)
+        _accumulate(counts, [], ["k"], bucket_levels(counts))
         .where(F.col("k_before") < n)
         .agg(F.max_by(F.struct(BUCKET, "k_before"), BUCKET).alias("e"))
         .first()["e"]

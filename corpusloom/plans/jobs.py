@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import DEFAULT_SPECIALS
 from corpusloom.operators import batching, budget, encoding, packing, rows
 from corpusloom.operators import vocabulary as voc
-from corpusloom.session import cut, scratch_path, ship, spread
+from corpusloom.session import scratch_path, ship, spread
 from corpusloom.sources import corpus, token_store, vocab_store
 from corpusloom.streaming import encode as stream_encoding
 
@@ -39,8 +39,8 @@ def tokenize_corpus(
     if vocab_store.exists(spark, f"{path}/{token_store.MANIFEST}") and not force:
         return token_store.report(spark, path, vocab.size).withColumn("action", F.lit("kept"))
     files = rows.file_workers(corpus.select_files(spark, root, subset), workers)
-    coded = encoding.encode_docs(files, vocab, eot=True).select("worker", "file_rank", "row", "ids")
-    capped = budget.cap_by_worker(cut(coded, "encoded"), max_tokens, workers)
+    encode = lambda part: encoding.encode_docs(part, vocab, eot=True).select("worker", "file_rank", "row", "ids")
+    capped = budget.cap_by_worker(budget.encode_in_waves(files, encode, max_tokens, workers), max_tokens, workers)
     return token_store.write(capped, path, vocab.size, force=True)
 
 
@@ -81,8 +81,9 @@ def training_feed(
     end = packing.split_point(total, seq_len, batch_size, eval_steps)
     blocks = token_store.read(spark, path, vocab_size)
     shards = world * workers
-    grid = batching.window_grid(spark, shards, packing.shard_windows(end, shards, seq_len))
-    order = batching.batches(batching.seeded_shuffle(grid, seed), batch_size, workers)
+    n_windows = packing.shard_windows(end, shards, seq_len)
+    grid = batching.window_grid(spark, shards, n_windows)
+    order = batching.batches(batching.seeded_shuffle(grid, n_windows, seed), batch_size, workers)
     train = packing.contiguous_shards(blocks, seq_len, shards, 0, end).join(
         order.select("shard", "window", "rank", "feed", "slot"), ["shard", "window"]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.operators.batching import ROUNDS
 from corpusloom.plans import fixtures as fx
 
 S = fx.SEQ_LEN
@@ -53,8 +54,27 @@ places as (select pos // t as shard, (pos % t) // {W} as w, pos % t as spot, id
   where pos < t * {fx.SHARDS} and (pos % t) // {W} < t // {W}),
 wins as (select shard, w as "window", string_agg(id::varchar, ' ' order by spot) tokens from places group by all)"""
 
-BATCHES = f"""order_keys as (select shard, "window", row_number() over (partition by shard order by
-  md5(({fx.SEED} + shard)::varchar || ':' || "window"::varchar)) - 1 place from wins),
+
+
+def _permutation_step(x: str, source: str) -> str:
+    """One application of the seeded permutation to column ``x`` of rows with ``shard, window, n, a, b``."""
+    sql = f"select *, {x} // b as l, {x} % b as r from {source}"
+    for k in range(ROUNDS):
+        moved, fixed, side = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        shift = f"('0x' || md5(({fx.SEED} + shard)::varchar || ':{k}:' || {fixed}::varchar)[1:13])::bigint"
+        sql = f"select * replace (({moved} + {shift}) % {side} as {moved}) from ({sql})"
+    return f'select shard, "window", n, a, b, l * b + r as x from ({sql})'
+
+
+BATCHES = f"""counted as (select shard, "window", count(*) over (partition by shard) as n from wins),
+sides as (select shard, "window"::bigint as "window", n, ceil(sqrt(n))::bigint as a from counted),
+grid as materialized (select *, (n + a - 1) // a as b from sides),
+walk as (with recursive walked as (
+  {_permutation_step('"window"', 'grid')}
+  union all
+  {_permutation_step('x', '(select * from walked where x >= n)')}
+) select * from walked),
+order_keys as (select shard, "window", x as place from walk where x < n),
 fed as (select (shard // {fx.WORKERS})::int as rank, (shard % {fx.WORKERS})::int as worker, "window",
   place // {fx.BATCH} as batch, (place % {fx.BATCH})::int as slot from order_keys),
 turns as (select rank, worker, batch, row_number() over (partition by rank order by batch, worker) - 1 as feed,

@@ -277,7 +277,7 @@ def shift_targets(spark, sf):
 def budget_cap(spark, sf):
     ship(spark)
     dealt = row_ops.file_workers(fx.docs_files(spark, sf), fx.FILE_WORKERS)
-    coded = cut(fx.with_byte_ids(dealt), "coded")
+    coded = budget.encode_in_waves(dealt, fx.with_byte_ids, fx.MAX_TOKENS, fx.FILE_WORKERS, batch_rows=20)
     kept = budget.cap_by_worker(coded, fx.MAX_TOKENS, fx.FILE_WORKERS, batch_rows=20)
     return kept.select("doc_id", "worker", "start", packing.token_count().alias("n"))
 
@@ -310,7 +310,7 @@ def tail_split(spark, sf):
 def _train_order(spark, sf):
     end = packing.split_point(fx.byte_total(spark, sf), fx.SEQ_LEN, fx.BATCH, fx.EVAL_STEPS)
     n = packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
-    return batching.seeded_shuffle(batching.window_grid(spark, fx.SHARDS, n), fx.SEED)
+    return batching.seeded_shuffle(batching.window_grid(spark, fx.SHARDS, n), n, fx.SEED)
 
 
 def _eval_windows(spark, sf):

@@ -25,12 +25,12 @@ def stream_pack(docs: DataFrame, to_ids, path: str, checkpoint: str, seq_len: in
         spark = batch.sparkSession
         state = _state(spark, path, batch_id - 1, shards)
         seen = state.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("r")).first()["r"]
-        ranked = row_ranks(batch, "row", bucket=id_bucket("doc_id"), order=["doc_id"], levels=1)
+        ranked = row_ranks(batch, "row", bucket=id_bucket("doc_id"), order=["doc_id"])
         ranked = ranked.withColumn("shard", F.pmod(F.col("row") + seen, F.lit(shards)).cast("int"))
         fresh = cut(to_ids(ranked).select("shard", "doc_id", "ids"), "arrivals")
         held = state.select("shard", F.lit(-1).cast("long").alias("doc_id"), F.col("tail").alias("ids"))
         pending = held.unionByName(fresh)
-        positioned = stream_positions(pending, ["shard"], levels=1)
+        positioned = stream_positions(pending, ["shard"])
         lengths = pending.groupBy("shard").agg(F.sum(token_count()).alias("len"))
         new = F.greatest(F.floor((F.col("len") - 1) / seq_len), F.lit(0)).cast("long")
         lengths = state.select("shard", "windows").join(lengths, "shard", "left").select(

@@ -1,6 +1,7 @@
 """Positions, windows, budgets and batches against plain Python on small inputs."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -31,11 +32,12 @@ def overlapping(n, s):
     [5, 1, 9, 2_000, 3_000, 1 << 20, (1 << 40) + 7, (1 << 62)],
     [-3_000, -2, -1, 0, 1, 1_023, 1_024, 1_025],
 ])
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_running_totals_over_sparse_ids(spark, ids, levels):
+@pytest.mark.parametrize("window_bits", [0, 2, positions.WINDOW_BITS])
+def test_running_totals_over_sparse_ids(spark, monkeypatch, ids, window_bits):
+    monkeypatch.setattr(positions, "WINDOW_BITS", window_bits)
     rows = [(g, i, k + 1) for g in "ab" for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "g string, i long, v long")
-    got = running_totals(df, {"before": F.col("v")}, bucket=id_bucket("i"), order=["i"], by=["g"], levels=levels)
+    got = running_totals(df, {"before": F.col("v")}, bucket=id_bucket("i"), order=["i"], by=["g"])
     for g in "ab":
         total = 0
         for r in got.where(F.col("g") == g).orderBy("i").collect():
@@ -140,6 +142,42 @@ def test_budget_by_worker(spark, max_tokens):
     assert [(r.file_rank, r.row, r.start, len(r.ids)) for r in got] == batch_budget(files, max_tokens, 2, 2)
 
 
+def test_waves_encode_little_more_than_the_budget(spark, tmp_path):
+    rng = random.Random(5)
+    sizes = [140, 1, 460, 33, 0, 510]
+    seen = spark.sparkContext.accumulator(0)
+    for k, n in enumerate(sizes):
+        part = spark.createDataFrame([(f"{k}:{i}", rng.randint(0, 30)) for i in range(n)], "name string, n int").coalesce(1)
+        part.write.parquet(f"{tmp_path}/f{k:02d}")
+    files = None
+    for k in range(len(sizes)):
+        rows = spark.read.parquet(f"{tmp_path}/f{k:02d}").select("name", "n", F.col("_metadata.row_index").alias("row"), F.lit(k).alias("file_rank"))
+        files = rows if files is None else files.unionByName(rows)
+    files = files.withColumns({"worker": F.pmod("file_rank", F.lit(3)).cast("int"), "file_path": F.format_string("f%02d", "file_rank")})
+
+    def encode(part):
+        @F.udf("array<int>")
+        def ids(n):
+            seen.add(1)
+            return list(range(n))
+
+        return part.select("worker", "file_rank", "row", "name", ids("n").alias("ids"))
+
+    whole = [tuple(r) for r in encode(files).collect()]
+    total = sum(len(r[-1]) for r in whole)
+    for cap in (7, total // 100, total // 2, 3 * total, 0):
+        seen.value = 0
+        coded = budget.encode_in_waves(files, encode, cap, 3, batch_rows=5)
+        encoded = seen.value
+        assert encoded == coded.count()
+        got = budget.cap_by_worker(coded, cap, 3, batch_rows=5).select("name", "start", "ids").orderBy("start", "name").collect()
+        want = budget.cap_by_worker(spark.createDataFrame(whole, coded.schema), cap, 3, batch_rows=5).select("name", "start", "ids").orderBy("start", "name").collect()
+        assert got == want
+        if cap == total // 100:
+            assert encoded <= 0.05 * len(whole)
+    assert budget.encode_in_waves(files.where("false"), encode, 10, 3).count() == 0
+
+
 @pytest.mark.parametrize("cap,kept", [(0, 6), (1, 2), (7, 2), (8, 4), (21, 6), (99, 6)])
 def test_budget_by_stream(spark, cap, kept):
     df = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate([3, 4, 5, 6, 1, 2])], "row long, ids array<int>")
@@ -147,15 +185,45 @@ def test_budget_by_stream(spark, cap, kept):
 
 
 def test_shuffle_is_a_seeded_permutation(spark):
-    df = spark.range(3).withColumnRenamed("id", "shard").withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(99))))
     orders = {}
-    for seed, parts in ((0, 4), (0, 1), (1, 4)):
-        rows = batching.seeded_shuffle(df.repartition(parts), seed).orderBy("shard", "place").collect()
-        for shard in range(3):
-            orders[seed, parts, shard] = [r.window for r in rows if r.shard == shard]
-            digest = [hashlib.md5(f"{seed + shard}:{i}".encode()).hexdigest() for i in range(100)]
-            assert orders[seed, parts, shard] == sorted(range(100), key=digest.__getitem__)
-    assert orders[1, 4, 0] == orders[0, 1, 1] != orders[0, 1, 0]
+    for n in (1, 2, 3, 5, 16, 17, 97, 100, 1_030):
+        grid = batching.window_grid(spark, 3, n)
+        for seed in (0, 1):
+            placed = batching.seeded_shuffle(grid, n, seed)
+            assert "Exchange" not in placed._jdf.queryExecution().toString()
+            back = batching.window_at(placed.select("shard", "place", F.col("window").alias("was")), n, seed)
+            rows = back.orderBy("shard", "place").collect()
+            assert all(r.window == r.was for r in rows)
+            for shard in range(3):
+                orders[n, seed, shard] = [r.window for r in rows if r.shard == shard]
+                assert [r.place for r in rows if r.shard == shard] == list(range(n)) and sorted(orders[n, seed, shard]) == list(range(n))
+    assert orders[100, 1, 0] == orders[100, 0, 1] != orders[100, 0, 0]
+    moved = [abs(w - p) for p, w in enumerate(orders[1_030, 0, 0])]
+    assert 250 < sum(moved) / 1_030 < 440  # a third of n for random orders
+    together = sum(abs(a - b) == 1 for a, b in zip(orders[1_030, 0, 0], orders[1_030, 0, 0][1:]))
+    assert together < 15
+
+
+def test_shuffle_by_hand(spark):
+    """The permutation of ten windows, worked out step by step."""
+    a, b, n, seed = 4, 3, 10, 7
+    shift = lambda k, fixed: int(hashlib.md5(f"{seed}:{k}:{fixed}".encode()).hexdigest()[:13], 16)
+    assert batching._sides(n) == (a, b)
+    out = []
+    for x in range(n):
+        while True:
+            left, right = divmod(x, b)
+            for k in range(batching.ROUNDS):
+                if k % 2:
+                    right = (right + shift(k, left)) % b
+                else:
+                    left = (left + shift(k, right)) % a
+            x = left * b + right
+            if x < n:
+                break
+        out.append(x)
+    got = spark.range(n).select(batching.permuted(F.col("id"), F.lit(seed), n)).orderBy("id").collect()
+    assert [r[0] for r in got] == out and sorted(out) == list(range(n))
 
 
 def test_uneven_workers_take_turns(spark):
@@ -193,10 +261,14 @@ def test_windows_stay_small_for_hashed_keys(spark, monkeypatch):
         return inner(totals, by, names, levels)
 
     monkeypatch.setattr(positions, "_accumulate", counted)
+    monkeypatch.setattr(positions, "WINDOW_BITS", 8)
     n = 70_000
     rows = spark.range(n).select(F.xxhash64("id").alias("key"))
     got = positions.row_ranks(rows, bucket=positions.id_bucket("key"), order=["key"])
-    assert max(seen) <= 1 << positions.FANOUT_BITS and seen[-1] <= 256
+    assert len(seen) == 4 and max(seen) <= 1 << positions.FANOUT_BITS and seen[-1] <= 256
+    seen.clear()
+    dense = positions.row_ranks(spark.range(n), bucket=positions.id_bucket("id"), order=["id"])
+    assert len(seen) == 1 and dense.where("rank <> id").isEmpty()
     w = Window.orderBy("key")
     wrong = got.withColumn("want", F.row_number().over(w) - 1).where("rank <> want").count()
     assert wrong == 0 and got.count() == n

@@ -86,7 +86,24 @@ def test_small_corpora_rich_in_ties(spark, seed):
     rng = random.Random(seed)
     letters = "abcde"[: rng.randint(2, 5)]
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(12)) for _ in range(6)]
-    assert voc.train(voc.word_counts(texts_frame(spark, texts)), 40).tokens == names(library(texts, 40))
+    words, want = voc.word_counts(texts_frame(spark, texts)), names(library(texts, 40))
+    assert voc.train(words, 40).tokens == want
+    # Few candidates: pairs are counted anew again and again, ties at the bar included.
+    assert voc.train(words, 40, candidates=1, most_merges=1).tokens == want
+    assert voc.train(words, 40, candidates=4, most_merges=3, rebase=5).tokens == want
+
+
+def test_changes_are_the_difference_of_two_counts(spark):
+    texts = ["aaaa aaab abab abc bca " * 3, "aabb bbaa ccc aaaaa"]
+    words = voc.word_lines(voc.symbol_words(voc.word_counts(texts_frame(spark, texts)), list(b"abc "), 0), rows_each=3)
+    counts = lambda merges: {r["pair"]: r.n for r in voc.line_pair_counts(words, merges).collect()}
+    pending, taken = [(0, 1, 4)], [(0, 0, 5), (2, 2, 6)]
+    old, new = counts(pending), counts(pending + taken)
+    want = {p: new.get(p, 0) - old.get(p, 0) for p in old.keys() | new.keys()}
+    got = {r["pair"]: r.n for r in voc.pair_changes(words, taken, pending).collect()}
+    assert got == {p: d for p, d in want.items() if d}
+    plain = voc.pair_counts(voc.symbol_words(voc.word_counts(texts_frame(spark, texts)), list(b"abc "), 0))
+    assert counts([]) == {voc.pair_code(*map(voc.symbol_id, r["pair"])): r.cnt for r in plain.collect()}
 
 
 def test_rebase_and_frequency_limit(spark):
