@@ -25,9 +25,11 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
-#: Rows searched together, coefficients added before entries are dropped one by one.
-BLOCK_ROWS = 512
-DENSE = 4
+#: Rows searched together, coefficients added between two eliminations, and the share of
+#: entries left from which on they are picked out one by one.
+BLOCK_ROWS = 256
+STEP = 4
+FEW = 1 / 16
 
 
 @dataclass(frozen=True)
@@ -76,34 +78,46 @@ def transform(rows: np.ndarray) -> np.ndarray:
 def nearest(rows: np.ndarray, entries: np.ndarray, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest entry of each row, the lowest of equals, and its squared distance.
 
-    ``rows`` and ``entries`` are transformed. The entry that is best after a few
-    coefficients is summed to the end; others leave as soon as they exceed that sum.
+    ``rows`` and ``entries`` are transformed. Whatever is best after some coefficients is
+    summed to the end; entries whose sum exceeds that leave. While many are left, sums of
+    all entries go on together, which costs less than picking out the others.
     """
     n, width = rows.shape
     best, error = np.empty(n, np.int64), np.empty(n, np.int64)
+    columns = np.ascontiguousarray(entries.T)
+    held = np.empty((2, BLOCK_ROWS, len(entries)), np.int64)
     for a in range(0, n, BLOCK_ROWS):
         part = rows[a:a + BLOCK_ROWS]
-        sums = np.zeros((len(part), len(entries)), np.int64)
-        for c in range(min(DENSE, width)):
-            gap = part[:, c, None] - entries[None, :, c]
-            sums += gap * gap
-        guess = entries[sums.argmin(axis=1)]
-        bound = ((part - guess) ** 2).sum(axis=1)
-        row, entry = np.nonzero(sums <= bound[:, None])
+        sums, gap = held[:, :len(part)]
+        sums[:] = 0
+        bound = np.full(len(part), np.iinfo(np.int64).max)
+        c, alive = 0, np.ones(sums.shape, bool)
+        while c < width and np.count_nonzero(alive) > FEW * alive.size:
+            for c in range(c, min(c + STEP, width)):
+                np.subtract(part[:, c, None], columns[c], out=gap)
+                np.multiply(gap, gap, out=gap)
+                np.add(sums, gap, out=sums)
+            c += 1
+            bound = np.minimum(bound, ((part - entries[sums.argmin(axis=1)]) ** 2).sum(axis=1))
+            np.less_equal(sums, bound[:, None], out=alive)
+        row, entry = np.nonzero(alive)
         left = sums[row, entry]
-        for c in range(DENSE, width):
-            gap = part[row, c] - entries[entry, c]
-            left = left + gap * gap
+        if stats is not None:
+            stats["terms"] = stats.get("terms", 0) + c * sums.size
+        while c < width:
+            more = part[row, c:c + STEP] - entries[entry, c:c + STEP]
+            left = left + (more * more).sum(axis=1)
             if stats is not None:
-                stats["terms"] = stats.get("terms", 0) + len(row)
-            alive = left <= bound[row]
-            if not alive.all():
-                row, entry, left = row[alive], entry[alive], left[alive]
-        # Pairs are in order of row, then entry: a stable sort by distance leaves ties to the lower entry.
-        order = np.lexsort((entry, left, row))
-        row, entry, left = row[order], entry[order], left[order]
+                stats["terms"] += more.size
+            c += STEP
+            stays = left <= bound[row]
+            row, entry, left = row[stays], entry[stays], left[stays]
+        # Pairs are in order of row, then entry, and every row has one: its bound's.
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        best[a:a + len(part)], error[a:a + len(part)] = entry[first], left[first] // width
+        least = np.minimum.reduceat(left, first)
+        nearest_ones = np.flatnonzero(left == np.repeat(least, np.diff(np.append(first, len(left)))))
+        lowest = nearest_ones[np.flatnonzero(np.diff(row[nearest_ones], prepend=-1))]
+        best[a:a + len(part)], error[a:a + len(part)] = entry[lowest], least // width
     return best, error
 
 
