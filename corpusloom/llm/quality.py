@@ -2,22 +2,28 @@
 
 The statistics of a text become a short vector of logarithms and shares. For each
 language and source the minimum covariance determinant estimate of its distribution is
-found by concentration steps: rows are ranked by their distance from the current centre,
-the nearest ``SUPPORT`` of them give the next mean and covariance. Where a source is small
-its language is estimated, where that is small all documents are. A document is rejected
-when its squared Mahalanobis distance from the result is beyond the outer fence of the
-distances there.
-All of it is DataFrame code; a step is one aggregation over the narrow statistics.
+searched from several starts: the medians, and means of a few rows drawn by hash. A
+concentration step ranks rows by their distance from the current centre and takes mean and
+covariance of the nearest ``SUPPORT`` of them, which never raises the determinant. After a
+few steps the starts with the smallest determinants go on until theirs no longer fall, and
+the smallest is the estimate. Where a source is small its language is estimated, where
+that is small all documents are. A document is rejected when its squared Mahalanobis
+distance from the estimate is beyond the outer fence of the distances there.
+
+All of it is DataFrame code over narrow rows. Quantiles are taken from counts in fixed
+bins, so they do not depend on how rows are partitioned.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.text import SPACE_CHARS, let, text_of, words
+from corpusloom.llm.skew import join_weighted
+from corpusloom.llm.text import SPACE_CHARS, let, row_key, text_of, words
 from corpusloom.session import cut
 
 SYMBOLS = "#*$%&|<>"
@@ -25,21 +31,34 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 SUPPORT = 0.75
-STEPS = 3
+#: Starts besides the medians, rows a start is drawn from, steps before all but the best
+#: starts are left, starts that go on, and most steps after that.
+DRAWN_STARTS = 4
+DRAWN_ROWS = 6
+FIRST_STEPS = 2
+BEST_STARTS = 2
+MOST_STEPS = 12
+#: A determinant that falls by less than this share has converged.
+FALL = 1e-6
 MIN_GROUP = 60
-ACCURACY = 2000
+#: Cells whose estimates are sent to all tasks; more of them are joined by shuffle.
+BROADCAST_CELLS = 20_000
+#: Bins of squared distances, in units of ``log1p(16 * d2)``, and of statistics, in units of their floors.
+DISTANCE_BINS = 64
+STATISTIC_BINS = 8
 #: Median of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN = 4.3515
 #: Third quartile of that distribution as a multiple of the median; no cell counts as tighter.
 CHI2_SPREAD = 1.5227
-#: Tukey's outer fence on the distances: three times the interquartile range, here twice
-#: the upper half of it, above the third quartile. It follows tails that are heavier than
-#: those of a normal cloud.
-FENCE = 6
+#: Fence on the distances, as a multiple of the upper half of their interquartile range
+#: above the third quartile; it follows tails that are heavier than those of a normal cloud.
+#: In one of those the fence lies at 42, the quantile that one document in 17 million exceeds.
+FENCE = 8
 FEATURES = ("f_size", "f_word", "f_symbol", "f_line", "f_repeat")
 #: Standard deviations below which a statistic counts as constant. Without them a source
-#: whose documents all lack symbols would reject a document with one.
-FLOORS = (0.25, 0.05, 0.10, 0.05, 0.05)
+#: whose documents all lack symbols would reject a document with one. Lengths of sound texts
+#: differ by orders of magnitude, so a few texts of one length do not make others outliers.
+FLOORS = (1.0, 0.05, 0.10, 0.05, 0.05)
 
 
 def repeated_words(w: Column) -> Column:
@@ -86,9 +105,9 @@ def base_failed() -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id``, language, source, the counts and the transformed vector of each document."""
     stats = docs.select(
-        "doc_id", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"),
+        "doc_id", row_key().alias("_row"), F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"),
         statistics(text_of()).alias("_s"),
-    ).select("doc_id", "_lang", "_source", "_s.*")
+    ).select("doc_id", "_row", "_lang", "_source", "_s.*")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return stats.withColumns({
         "base_failed": base_failed(),
@@ -104,76 +123,164 @@ def _grouped(rows: DataFrame) -> DataFrame:
     """Adds the cell that judges each row: language and source, or the language, or all
     documents, the first with ``MIN_GROUP`` documents that pass the base rule; ``_cells``
     has all three."""
-    sizes = rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n"))
+    sizes = rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n"), F.count(F.lit(1)).alias("_total"))
     langs = sizes.groupBy("_lang").agg(F.sum("_n").alias("_n_lang"))
     own = F.to_json(F.struct(F.col("s._lang").alias("l"), F.col("s._source").alias("s"), F.lit(1).alias("own")))
     lang = F.to_json(F.struct(F.col("s._lang").alias("l"), F.lit(0).alias("own")))
     cells = sizes.alias("s").join(langs.alias("m"), F.col("s._lang").eqNullSafe(F.col("m._lang"))).select(
         F.col("s._lang").alias("_l"), F.col("s._source").alias("_o"),
         F.when(F.col("_n") >= MIN_GROUP, own).when(F.col("_n_lang") >= MIN_GROUP, lang).otherwise("all").alias("_cell"),
-        F.array(own, lang, F.lit("all")).alias("_cells"),
+        F.array(own, lang, F.lit("all")).alias("_cells"), own.alias("_key"), "s._total",
     )
-    return rows.join(cells, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_o"))).drop("_l", "_o")
+    keyed = rows.withColumn("_key", F.to_json(F.struct(F.col("_lang").alias("l"), F.col("_source").alias("s"), F.lit(1).alias("own"))))
+    cells = cut(cells, "cells")
+    return _by_key(keyed, cells, "_key", "_total", Weights.of(cells, "_total")).drop("_key", "_total")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and covariance per cell, as the inverse Cholesky rows that distances need."""
-    d = range(len(FEATURES))
+@dataclass(frozen=True)
+class Weights:
+    """Rows per key, ``table(key, weight)``, with the number of keys and of rows."""
+
+    table: DataFrame
+    keys: int
+    rows: int
+
+    @classmethod
+    def of(cls, table: DataFrame, weight: str) -> Weights:
+        total, n = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count(F.lit(1))).first()
+        return cls(table, n, total)
+
+
+def _by_key(rows: DataFrame, table: DataFrame, key: str, weight: str, weights: Weights) -> DataFrame:
+    """Inner join with a table of one row a key. It is sent to all tasks if it has few
+    keys; otherwise only the heaviest are."""
+    return rows.join(F.broadcast(table), key) if weights.keys <= BROADCAST_CELLS else join_weighted(rows, table, key, F.col(weight), weights.rows)
+
+
+DIMENSIONS = range(len(FEATURES))
+CENTRE = [f"m{i}" for i in DIMENSIONS]
+FACTOR = [f"l{i}{j}" for i in DIMENSIONS for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Mean, Cholesky factor of the covariance and its determinant per key."""
     centre = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    cov = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1)]
-    sums = rows.groupBy("_cell").agg(*centre, *cov)
-    floored = sums.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2) for i in d})
-    return _factor(floored)
+    cov = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in DIMENSIONS for j in range(i + 1)]
+    sums = rows.groupBy(*keys).agg(*centre, *cov)
+    return _factor(sums.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2) for i in DIMENSIONS}), *keys)
 
 
-def _factor(cov: DataFrame) -> DataFrame:
+def _factor(cov: DataFrame, *keys: str) -> DataFrame:
     """Cholesky factor ``l{i}{j}`` of ``c{i}{j}``. The floors on the diagonal keep it regular."""
-    for i in range(len(FEATURES)):
+    for i in DIMENSIONS:
         for j in range(i + 1):
             dot = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
             value = F.sqrt(F.greatest(dot, F.lit(FLOORS[i] ** 2 / 4))) if i == j else dot / F.col(f"l{j}{j}")
             cov = cov.withColumn(f"l{i}{j}", value)
-    return cov.select("_cell", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+    det = reduce(lambda a, i: a * F.col(f"l{i}{i}") ** 2, DIMENSIONS, F.lit(1.0))
+    return cov.select(*keys, *CENTRE, *FACTOR, det.alias("det"))
+
+
+def _quantile_bins(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """First bin at which each share of a key's rows is reached, from ``counts(*keys, bin, n)``."""
+    up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+    of_all = F.sum("n").over(Window.partitionBy(*keys))
+    reached = counts.withColumns({"_up": up_to, "_all": of_all})
+    return reached.groupBy(*keys).agg(*[F.min(F.when(F.col("_up") >= F.col("_all") * share, F.col("bin"))).alias(f"q{k}") for k, share in enumerate(shares)])
+
+
+def _medians(members: DataFrame) -> DataFrame:
+    """Coordinate-wise medians and median absolute deviations, in bins, as a first estimate."""
+    unit = F.element_at(F.array(*[F.lit(f / STATISTIC_BINS) for f in FLOORS]), F.col("i") + 1)
+    values = members.select("_cell", F.posexplode(F.array(*FEATURES)).alias("i", "x")).withColumn("bin", F.floor(F.col("x") / unit))
+    counts = cut(values.groupBy("_cell", "i", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
+    middle = _quantile_bins(counts, ["_cell", "i"], [0.5]).withColumnRenamed("q0", "m")
+    off = counts.join(middle, ["_cell", "i"]).groupBy("_cell", "i", "m", F.abs(F.col("bin") - F.col("m")).alias("bin")).agg(F.sum("n").alias("n"))
+    both = _quantile_bins(off, ["_cell", "i", "m"], [0.5])
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    step = [f / STATISTIC_BINS for f in FLOORS]
+    spread = lambda i: F.sqrt((1.4826 * step[i] * at("q0", i)) ** 2 + FLOORS[i] ** 2)
+    return both.groupBy("_cell").agg(
+        *[((at("m", i) + 0.5) * step[i]).alias(f"m{i}") for i in DIMENSIONS],
+        *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIMENSIONS for j in range(i + 1)],
+    ).select("_cell", F.lit(0).alias("start"), *CENTRE, *FACTOR, F.lit(float("inf")).alias("det"))
+
+
+def _drawn(members: DataFrame) -> DataFrame:
+    """Moments of a few rows of each cell for every drawn start; the draw depends on the rows only."""
+    each = members.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(DRAWN_STARTS))))
+    order = Window.partitionBy("_cell", "start").orderBy(F.xxhash64("start", *FEATURES), *FEATURES)
+    few = each.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= DRAWN_ROWS)
+    return _moments(few, "_cell", "start").withColumn("det", F.lit(float("inf")))
+
+
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Adds the squared Mahalanobis distance ``_d2`` to rows with their estimate, by forward substitution."""
+    out = rows
+    for i, f in enumerate(FEATURES):
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(f) - F.col(f"m{i}"))
+        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
+    d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in DIMENSIONS])
+    return out.withColumn("_d2", d2).drop(*[f"z{i}" for i in DIMENSIONS], *CENTRE, *FACTOR)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and median absolute deviations as the first estimate."""
-    medians = rows.groupBy("_cell").agg(*[F.percentile_approx(f, 0.5, ACCURACY).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    spread = rows.join(medians, "_cell").groupBy("_cell").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))],
-        *[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, ACCURACY)).alias(f"s{i}") for i, f in enumerate(FEATURES)],
-    )
-    return spread.select(
-        "_cell", *[f"m{i}" for i in range(len(FEATURES))],
-        *[(F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(FEATURES)) for j in range(i + 1)],
-    )
+def _bin(d2: Column) -> Column:
+    return F.floor(F.log1p(16 * d2) * DISTANCE_BINS)
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds the squared Mahalanobis distance ``_d2``, by forward substitution."""
-    out = rows.join(estimate, "_cell", how)
-    for i, f in enumerate(FEATURES):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(f) - F.col(f"m{i}"))
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(len(FEATURES))])
-    drop = [f"z{i}" for i in range(len(FEATURES))] + [c for c in estimate.columns if c[0] in "ml" and c[1:].isdigit()]
-    return out.withColumn("_d2", d2).drop(*drop)
+def _edge(bin_: Column) -> Column:
+    """Upper edge of a bin of squared distances."""
+    return F.expm1((bin_ + 1) / DISTANCE_BINS) / 16
+
+
+def _measured_from(members: DataFrame, estimates: DataFrame, sizes: Weights) -> DataFrame:
+    """Members with their distance from each estimate of their cell, whose estimates travel as one row."""
+    lists = estimates.groupBy("_cell").agg(F.collect_list(F.struct(*[c for c in estimates.columns if c != "_cell"])).alias("_e")).join(sizes.table, "_cell")
+    met = _by_key(members, lists, "_cell", "_n", sizes).select("_cell", *FEATURES, F.explode("_e").alias("_e")).select("_cell", *FEATURES, "_e.*")
+    return _with_distance(met).withColumn("bin", _bin(F.col("_d2")))
+
+
+def _concentrated(members: DataFrame, estimates: DataFrame, sizes: Weights) -> DataFrame:
+    """One concentration step of every start; ``fell`` tells whether the determinant still does."""
+    keys = ["_cell", "start"]
+    far = _measured_from(members, estimates, sizes)
+    radius = _quantile_bins(far.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")), keys, [SUPPORT])
+    within = estimates.join(radius, keys).withColumnRenamed("q0", "radius")
+    near = _measured_from(members, within, sizes).where(F.col("bin") <= F.col("radius"))
+    old = estimates.select(*keys, F.col("det").alias("det_before"))
+    fresh = _moments(near, *keys).join(old, keys)
+    return cut(fresh.withColumn("fell", F.col("det") < F.col("det_before") * (1 - FALL)).drop("det_before"), "centre")
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+def _estimate(members: DataFrame) -> DataFrame:
     """Minimum covariance determinant estimate per cell, with its consistency ``scale`` and
     the ``cutoff`` of scaled distances."""
-    current = cut(_start(rows), "centre")
-    for _ in range(STEPS):
-        ranked = _with_distance(rows, current)
-        radius = ranked.groupBy("_cell").agg(F.percentile_approx("_d2", SUPPORT, ACCURACY).alias("_radius"))
-        near = ranked.join(radius, "_cell").where(F.col("_d2") <= F.col("_radius"))
-        current = cut(_moments(near), "centre")
-    quartiles = _with_distance(rows, current).groupBy("_cell").agg(F.percentile_approx("_d2", [0.5, 0.75], ACCURACY).alias("_q"))
-    scale = F.greatest(F.get("_q", F.lit(0)) / CHI2_MEDIAN, F.lit(0.25))
-    spread = F.greatest(F.get("_q", F.lit(1)) / (F.col("scale") * CHI2_MEDIAN), F.lit(CHI2_SPREAD))
+    sizes = Weights.of(cut(members.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), "sizes"), "_n")
+    current = cut(_medians(members).unionByName(_drawn(members)), "centre")
+    state = lambda df: df.select("_cell", "start", *CENTRE, *FACTOR, "det")
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("det", "start"))
+    for _ in range(FIRST_STEPS):
+        current = _concentrated(members, state(current), sizes)
+    current = cut(current.withColumn("_rank", rank).where(F.col("_rank") <= BEST_STARTS).drop("_rank"), "centre")
+    done = []
+    for _ in range(MOST_STEPS):
+        moving = current.where("fell")
+        done.append(state(current.where("not fell")))
+        if moving.isEmpty():
+            break
+        current = _concentrated(members, state(moving), sizes)
+    else:
+        done.append(state(current.where("fell")))
+    best = cut(reduce(DataFrame.unionByName, done).withColumn("_rank", rank).where("_rank = 1").drop("_rank"), "best")
+    counts = _measured_from(members, best, sizes).groupBy("_cell", "bin").agg(F.count(F.lit(1)).alias("n"))
+    quartiles = _quantile_bins(counts, ["_cell"], [0.5, 0.75])
+    # Trimming shrinks a covariance, so its correction only makes distances smaller; where
+    # the floors rule, distances are below those of a normal cloud and stay what they are.
+    scale = F.greatest(_edge(F.col("q0")) / CHI2_MEDIAN, F.lit(1.0))
+    spread = F.greatest(_edge(F.col("q1")) / (F.col("scale") * CHI2_MEDIAN), F.lit(CHI2_SPREAD))
     fence = CHI2_MEDIAN * F.pow((1 + FENCE) * F.sqrt(spread) - FENCE, F.lit(2))
-    return cut(current.join(quartiles.withColumn("scale", scale).withColumn("cutoff", fence).drop("_q"), "_cell"), "estimate")
+    fitted = quartiles.withColumn("scale", scale).withColumn("cutoff", fence).select("_cell", "scale", "cutoff")
+    return cut(best.drop("start", "det").join(fitted, "_cell").join(sizes.table, "_cell"), "estimate")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -188,9 +295,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     used = rows.select("_cell").distinct()
     members = rows.where(~F.col("base_failed")).select(F.explode("_cells").alias("_cell"), *FEATURES).join(used, "_cell", "left_semi")
     estimate = _estimate(cut(members, "members"))
-    judged = _with_distance(rows, estimate, "left").withColumn("distance2", F.col("_d2") / F.col("scale"))
+    known = Weights.of(estimate, "_n")
+    if known.keys:
+        measured_rows = _with_distance(_by_key(rows, estimate, "_cell", "_n", known))
+    else:  # no document passes the base rule
+        measured_rows = rows.withColumns({"_d2": F.lit(None).cast("double"), "scale": F.lit(1.0), "cutoff": F.lit(1.0)})
+    judged = measured_rows.withColumn("distance2", F.col("_d2") / F.col("scale"))
     outlier = F.coalesce(F.col("distance2") > F.col("cutoff"), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~outlier).alias("kept"), "distance2",
+        (~F.col("base_failed") & ~outlier).alias("kept"), "distance2", F.col("_row").alias("row"),
     )
