@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
 from corpusloom.llm.piece_cache import blocks
 from corpusloom.llm.shingles import mix, odd_constants, shingle_sets
-from corpusloom.llm.text import text_of
+from corpusloom.llm.text import row_key, text_of
 from corpusloom.session import cut, ship
 
 SIMILAR_PERCENT = 75
@@ -39,7 +39,7 @@ BLOCK_ROWS = 512
 FACTORS = odd_constants(HASHES, 11)
 SHIFTS = odd_constants(HASHES, 12)
 BAND_FACTORS = odd_constants(ROWS, 13)
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>"
+SKETCH = "doc_id long, row long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>"
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,7 +70,7 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(values.view(np.int64).ravel()))
 
 
-def _sketch_block(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+def _sketch_block(keys: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
     sets = shingle_sets(texts)
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
@@ -84,8 +84,8 @@ def _sketch_block(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
         for k in (0, 1):
             marks[k, full] = np.add.reduceat(mix(flat ^ FACTORS[k]), at)
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(sizes), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), _lists(sig), _lists(bands)],
-        ["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"],
+        [*keys, pa.array(sizes), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), _lists(sig), _lists(bands)],
+        ["doc_id", "row", "n_shingles", "set_a", "set_b", "sig", "bands"],
     )
 
 
@@ -97,13 +97,13 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
             for a, b in blocks([len(t) for t in texts]):
-                yield _sketch_block(batch.column("doc_id").slice(a, b - a), texts[a:b])
+                yield _sketch_block([batch.column(c).slice(a, b - a) for c in ("doc_id", "row")], texts[a:b])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), text_of().alias("_text")).mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, shingles)`` of the documents named in ``ids(id)``."""
+    """``(id, shingles)`` of the rows named in ``ids(id, doc_id, row)``; ``id`` may be any number of ours."""
 
     def run(batches):
         for batch in batches:
@@ -114,9 +114,10 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), values], ["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("_text"))
-    # The same join at every size: both sides are dealt by id, no side is sent to all tasks.
-    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), text_of().alias("_text"))
+    # The same join at every size: both sides are dealt by row, no side is sent to all tasks.
+    named = texts.join(ids.select("id", "doc_id", "row").hint("merge"), ["doc_id", "row"])
+    return named.select("id", "_text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -211,15 +212,20 @@ def _late_links(rows: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
-    Null, empty and blank texts have no shingles and are alone. Rows that repeat an id
-    are one document. A null id has a null component and is kept. An empty table gives
-    no rows.
+    Null, empty and blank texts have no shingles and are alone. Every row is a document:
+    rows that repeat an id with different texts have links of their own, rows alike in id
+    and text are linked with each other. A null id has a null component and is kept. An
+    empty table gives no rows. ``row`` tells rows of one id apart.
     """
     marks = cut(sketches(docs), "sketches")
     named = marks.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = cut(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    kinds = ["set_a", "set_b", "n_shingles"]
+    firsts = named.groupBy(*kinds).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(*kinds, "first.*")
+    # A class goes by its smallest id; classes that would share one, by a hash of their sets.
+    shared_id = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > 1
+    classes = cut(firsts.withColumn("id", F.when(shared_id, F.xxhash64(*kinds)).otherwise(F.col("doc_id"))), "classes")
+    reps = named.join(classes, [*kinds, "doc_id", "row"]).dropDuplicates(["id"])
+    members = reps.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(members.join(shared, "key"), "buckets")
     # A text that others were made from agrees with each of them in more bands than they do
@@ -229,8 +235,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = ranked.groupBy("key").agg(F.max(F.struct("fullness", F.xxhash64("id").alias("h"), "id")).alias("hub"))
     met = cut(ranked.select("key", "id").join(best, "key"), "met")
 
-    signs = cut(reps.select(F.col("doc_id").alias("id"), "sig").join(fullness.select("id"), "id", "left_semi"), "signs")
-    sets = cut(full_sets(docs, signs.select("id")), "sets")
+    signs = cut(reps.select("id", "doc_id", "row", "sig").join(fullness.select("id"), "id", "left_semi"), "signs")
+    sets = cut(full_sets(docs, signs), "sets")
+    signs = signs.select("id", "sig")
 
     first = met.groupBy(F.col("id").alias("v")).agg(F.max("hub")["id"].alias("u")).select("u", "v").where("u <> v")
     stars = cut(_confirmed(_likely(first, signs), sets), "links")
@@ -247,11 +254,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
 
-    by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id")
-    )
-    plain = marks.select("doc_id", "n_shingles", "set_a", "set_b")
-    joined = plain.join(by_class, ["set_a", "set_b", "n_shingles"], "left").withColumn(
+    labelled = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = labelled.join(least, "component").select(*kinds, "component_id")
+    plain = marks.select("doc_id", "row", *kinds)
+    joined = plain.join(by_class, kinds, "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     )
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return joined.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.piece_cache import blocks
 from corpusloom.llm.shingles import BASE, INVERSE, mix
-from corpusloom.llm.text import text_of
+from corpusloom.llm.text import row_key, text_of
 from corpusloom.session import cut, ship
 
 WINDOW = 100
@@ -96,27 +96,27 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"row": row_of[first], "start": a - begins[row_of[first]], "size": b - a, "gram": grams[at].view(np.int64), "mark": mark.view(np.int64)}
 
 
-def _scan_block(ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+def _scan_block(ids: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
     """Segments of a block of documents; repeats inside the block are settled here."""
     found = segments(texts)
-    doc = ids[found["row"]]
-    order = np.lexsort((found["start"], doc, found["mark"], found["gram"]))
+    doc, key = ids[found["row"]], keys[found["row"]]
+    order = np.lexsort((found["start"], key, doc, found["mark"], found["gram"]))
     same = np.zeros(len(order), bool)
     if len(order):
         g, m = found["gram"][order], found["mark"][order]
         same[1:] = (g[1:] == g[:-1]) & (m[1:] == m[:-1])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        d, s = doc[order], found["start"][order]
-        same &= (d != d[head]) | (s != s[head])  # a repeated row is no earlier place
+        d, k, s = doc[order], key[order], found["start"][order]
+        same &= (d != d[head]) | (k != k[head]) | (s != s[head])  # a repeated row is no earlier place
     done = np.zeros(len(order), bool)
     done[order] = same
-    lone = mix((doc * np.int64(31) + found["start"]).view(np.uint64)).view(np.int64)
+    lone = mix((key * np.int64(31) + found["start"]).view(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.where(done, lone, found["gram"])), pa.array(np.where(done, lone, found["mark"])), pa.array(doc),
+            pa.array(np.where(done, lone, found["gram"])), pa.array(np.where(done, lone, found["mark"])), pa.array(doc), pa.array(key),
             pa.array(found["start"]), pa.array(found["size"].astype(np.int32)), pa.array(done),
         ],
-        ["gram", "mark", "doc", "start", "size", "done"],
+        ["gram", "mark", "doc", "row", "start", "size", "done"],
     )
 
 
@@ -160,7 +160,7 @@ def suffix_order(text: np.ndarray, reach: int = 1, need: int = WINDOW) -> np.nda
     return out
 
 
-def first_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_windows(pieces: list[bytes], docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of the pieces: piece, start in it, and whether none equal lies before.
 
     Pieces are put one after the other with a mark between them that is in no text.
@@ -185,12 +185,12 @@ def first_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
         if not equal.any():
             break
     run = np.concatenate([[0], np.cumsum(~equal)]) if len(where) else np.empty(0, np.int64)
-    doc, start = docs[owner][sorted_windows], (starts[owner] + inside)[sorted_windows]
-    by_place = np.lexsort((start, doc, run))
+    doc, key, start = docs[owner][sorted_windows], keys[owner][sorted_windows], (starts[owner] + inside)[sorted_windows]
+    by_place = np.lexsort((start, key, doc, run))
     head = np.concatenate([[True], run[by_place][1:] != run[by_place][:-1]]) if len(run) else np.empty(0, bool)
     lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(run) else np.empty(0, np.int64)
-    d, s = doc[by_place], start[by_place]
-    is_first = (d == d[lead]) & (s == s[lead])
+    d, k, s = doc[by_place], key[by_place], start[by_place]
+    is_first = (d == d[lead]) & (k == k[lead]) & (s == s[lead])
     first = np.empty(len(owner), bool)
     first[sorted_windows[by_place]] = is_first
     return owner, inside, first
@@ -199,10 +199,9 @@ def first_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
 def _sort_block(rows: list[tuple]) -> pa.RecordBatch:
     """Spans of windows that lie earlier in the block, and the first windows of anchors
     that are spread over blocks, with their hashes."""
-    pieces = [r[3] for r in rows]
-    docs, starts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    spread = np.array([r[4] for r in rows], bool)
-    owner, inside, first = first_windows(pieces, docs, starts)
+    docs, keys, starts, pieces, spread = zip(*rows)
+    docs, keys, starts, spread = np.array(docs, np.int64), np.array(keys, np.int64), np.array(starts, np.int64), np.array(spread, bool)
+    owner, inside, first = first_windows(pieces, docs, keys, starts)
     late = np.flatnonzero(~first)
     breaks = np.flatnonzero((np.diff(late) != 1) | (np.diff(owner[late]) != 0)) if len(late) else np.empty(0, np.int64)
     lo, hi = (late[np.concatenate([[0], breaks + 1])], late[np.concatenate([breaks, [len(late) - 1]])]) if len(late) else (late, late)
@@ -219,10 +218,10 @@ def _sort_block(rows: list[tuple]) -> pa.RecordBatch:
     none = pa.nulls(len(lo), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(docs[owner[both]]), pa.array(begin), pa.array(end),
+            pa.array(docs[owner[both]]), pa.array(keys[owner[both]]), pa.array(begin), pa.array(end),
             *[pa.concat_arrays([none, pa.array(m.view(np.int64))]) for m in marks],
         ],
-        ["doc", "start", "end", "mark_a", "mark_b"],
+        ["doc", "row", "start", "end", "mark_a", "mark_b"],
     )
 
 
@@ -232,73 +231,76 @@ def _order_key() -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``(doc, start, end)``: stretches of documents covered by windows that start earlier.
+    """``(doc, row, start, end)``: stretches of documents covered by windows that start earlier.
 
-    ``doc`` is the id, or the smallest long for a null one. Stretches may overlap.
+    ``doc`` is the id, or the smallest long for a null one, ``row`` the hash of id and
+    text that tells rows of one id apart. Stretches may overlap.
     """
     ship(docs.sparkSession)
-    source = docs.select(_order_key().alias("doc"), text_of().alias("_text"))
+    source = docs.select(_order_key().alias("doc"), row_key().alias("row"), text_of().alias("_text"))
 
     def scan(batches):
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, keys = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
             for a, b in blocks([len(t) for t in texts], SCAN_BYTES):
-                yield _scan_block(ids[a:b], texts[a:b])
+                yield _scan_block(ids[a:b], keys[a:b], texts[a:b])
 
-    found = source.mapInArrow(scan, "gram long, mark long, doc long, start long, size int, done boolean")
+    found = source.mapInArrow(scan, "gram long, mark long, doc long, row long, start long, size int, done boolean")
     kind, anchor = Window.partitionBy("gram", "mark"), Window.partitionBy("gram")
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "row", "start")
     met = found.repartition("gram").withColumns({"first": F.min(place).over(kind)}).withColumns({
         "kinds": F.min("mark").over(anchor) != F.max("mark").over(anchor), "n": F.count(F.lit(1)).over(anchor),
     })
     earlier = F.col("done") | (place != F.col("first"))
     left = cut(
-        met.select("gram", "doc", "start", "size", earlier.alias("earlier"), "kinds", "n").where(F.col("earlier") | F.col("kinds")), "segments"
+        met.select("gram", "doc", "row", "start", "size", earlier.alias("earlier"), "kinds", "n").where(F.col("earlier") | F.col("kinds")), "segments"
     )
-    settled = left.where("earlier").select("doc", "start", (F.col("start") + F.col("size")).alias("end"))
+    settled = left.where("earlier").select("doc", "row", "start", (F.col("start") + F.col("size")).alias("end"))
 
     salts = F.ceil(F.col("n") / GROUP)
     edges = left.where(~F.col("earlier")).select(
-        "doc", F.struct("start", "size", "gram", F.pmod(F.xxhash64("doc", "start"), salts).cast("int").alias("salt"), (salts > 1).alias("spread")).alias("s")
+        "doc", "row", F.struct("start", "size", "gram", F.pmod(F.xxhash64("row", "start"), salts).cast("int").alias("salt"), (salts > 1).alias("spread")).alias("s")
     )
 
     def slice_text(batches):
         for batch in batches:
             rows = []
-            for doc, text, segs in zip(batch.column("doc").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("segs").to_pylist()):
-                rows += [(s["gram"], s["salt"], doc, s["start"], text[s["start"]:s["start"] + s["size"]], s["spread"]) for s in segs]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "salt", "doc", "start", "piece", "spread"])
-
-    pieces = source.join(edges.groupBy("doc").agg(F.collect_list("s").alias("segs")), "doc").mapInArrow(
-        slice_text, "gram long, salt int, doc long, start long, piece binary, spread boolean"
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            for doc, key, text, segs in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), texts, batch.column("segs").to_pylist()):
+                rows += [(s["gram"], s["salt"], doc, key, s["start"], text[s["start"]:s["start"] + s["size"]], s["spread"]) for s in segs]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "salt", "doc", "row", "start", "piece", "spread"])
+
+    listed = edges.groupBy("doc", "row").agg(F.collect_set("s").alias("segs"))
+    pieces = source.join(listed, ["doc", "row"]).mapInArrow(
+        slice_text, "gram long, salt int, doc long, row long, start long, piece binary, spread boolean"
     )
 
     def sort(batches):
         held: list[tuple] = []
         size, key = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "doc", "start", "piece", "spread"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "doc", "row", "start", "piece", "spread"))):
                 if row[:2] != key:  # groups stay whole; their size is bounded by the salts
                     if size >= SORT_BYTES:
                         yield _sort_block(held)
                         held, size = [], 0
                     key = row[:2]
-                held.append((row[0], row[2], row[3], row[4], row[5]))
-                size += len(row[4])
+                held.append(row[2:])
+                size += len(row[5])
         if held:
             yield _sort_block(held)
 
     sorted_ = cut(
         pieces.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-        .mapInArrow(sort, "doc long, start long, end long, mark_a long, mark_b long"), "sorted",
+        .mapInArrow(sort, "doc long, row long, start long, end long, mark_a long, mark_b long"), "sorted",
     )
-    inside = sorted_.where(F.col("mark_a").isNull()).select("doc", "start", "end")
+    inside = sorted_.where(F.col("mark_a").isNull()).select("doc", "row", "start", "end")
     across = sorted_.where(F.col("mark_a").isNotNull())
     firsts = across.groupBy("mark_a", "mark_b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = across.join(firsts, ["mark_a", "mark_b"]).where(place != F.col("first")).select("doc", "start", "end")
+    later = across.join(firsts, ["mark_a", "mark_b"]).where(place != F.col("first")).select("doc", "row", "start", "end")
     return settled.unionByName(inside).unionByName(later)
 
 
@@ -316,13 +318,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes``, ``spans`` (start, end in bytes,
     maximal and ascending), and ``kept``, the remaining bytes.
 
-    Null texts are empty; texts shorter than a window lose nothing. Rows that repeat an id
-    are one document and lose the same; rows without an id come before all others. An
-    empty table gives no rows.
+    Null texts are empty; texts shorter than a window lose nothing. Rows alike in
+    id and text are one document and lose the same. Rows without an id come before all
+    others; rows of one id with different texts come in the order of a hash of the text.
+    An empty table gives no rows.
     """
     spans = repeated_spans(docs)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    source = docs.select(F.col("doc_id").cast("long"), _order_key().alias("doc"), text_of().alias("_text"))
+    by_doc = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    source = docs.select(F.col("doc_id").cast("long"), _order_key().alias("doc"), row_key().alias("row"), text_of().alias("_text"))
 
     def remove(batches):
         for batch in batches:
@@ -341,5 +344,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    joined = source.join(by_doc, "doc", "left").select("doc_id", "_text", "found")
+    joined = source.join(by_doc, ["doc", "row"], "left").select("doc_id", "_text", "found")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

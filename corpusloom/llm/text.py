@@ -38,10 +38,12 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
-def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose key is not in ``ids``; rows with a null key stay.
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` that are not in ``gone(doc_id, row)``, ``row`` being the ``row_key``.
 
-    Nearly all keys in ``ids`` are distinct by construction, so the join needs no more
-    than one row a key on that side, and adaptive planning picks its form by real size.
+    Of rows that repeat an id only those with the text named go; a null id matches a null id.
+    The join is left to adaptive planning, which knows the real size of ``gone``.
     """
-    return df.join(ids.select(F.col(key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
+    named = gone.select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    same = (row_key() == F.col("_gone_row")) & df["doc_id"].eqNullSafe(F.col("_gone"))
+    return df.join(named, same, "left_anti")

@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import WORD, edge_texts, frame, prose
+from pyspark.sql import functions as F
 
 from corpusloom.llm import graph, neardup, queries, shingles, suffixes
+from corpusloom.llm.text import row_key
 
 
 def sets_of(text):
@@ -17,21 +19,22 @@ def sets_of(text):
 
 
 def brute_components(texts):
-    named = sorted((i, sets_of(t)) for i, t in dict(texts).items() if i is not None)
-    parent = {i: i for i, _ in named}
+    """Smallest id by text and id; rows with an id are nodes of their own."""
+    named = [(i, t, sets_of(t)) for i, t in sorted({(i, t or "") for i, t in texts if i is not None})]
+    parent = list(range(len(named)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for k, (i, a) in enumerate(named):
-        for j, b in named[:k]:
+    for k, (i, _, a) in enumerate(named):
+        for j, (_, _, b) in enumerate(named[:k]):
             both = len(a & b)
             if both and 100 * both >= 75 * (len(a) + len(b) - both):
-                lo, hi = sorted((find(i), find(j)))
+                lo, hi = sorted((find(k), find(j)))
                 parent[hi] = lo
-    return {i: find(i) for i in parent}
+    return {(i, t): named[find(k)][0] for k, (i, t, _) in enumerate(named)}
 
 
 def edited(words, rng, n):
@@ -55,25 +58,39 @@ def copies():
     return texts + [(7000 + k, prose(100 + k, 60)) for k in range(60)] + [(i, t) for i, t in edge_texts() if t is not None]
 
 
-def test_near_duplicates(spark, copies):
-    got = neardup.near_duplicates(frame(spark, copies)).collect()
-    want = brute_components(copies)
+def found_components(spark, texts):
+    docs = frame(spark, texts)
+    keyed = docs.select("doc_id", row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(texts)
+    text_at = {(r.doc_id, r["row"]): r.text for r in keyed.collect()}
     for r in got:
-        if r.doc_id is not None:
-            assert (r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id)
-            assert r.n_shingles == len(sets_of(dict(copies)[r.doc_id]))
-        else:
+        if r.doc_id is None:
             assert r.component_id is None and r.kept
-    assert len(got) == len(copies)
+        else:
+            assert r.n_shingles == len(sets_of(text_at[r.doc_id, r["row"]])) and r.kept == (r.component_id == r.doc_id)
+    return {(r.doc_id, text_at[r.doc_id, r["row"]]): r.component_id for r in got if r.doc_id is not None}
+
+
+def test_near_duplicates(spark, copies):
+    assert found_components(spark, copies) == brute_components(copies)
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert [r.n_shingles for r in neardup.near_duplicates(frame(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
 
 
 def test_outsiders_meet_members_in_blocks(spark, copies, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, copies)).collect()}
-    want = brute_components(copies)
-    assert all(got[i] == want[i] for i in want)
+    assert found_components(spark, copies) == brute_components(copies)
+
+
+def test_rows_of_one_id_have_links_of_their_own(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(600 + k, 90).split() for k in range(3))
+    texts = [(1, " ".join(a)), (1, " ".join(b)), (2, edited(a, rng, 1)), (0, edited(b, rng, 1)), (3, edited(c, rng, 2)), (1, " ".join(c)), (3, " ".join(c))]
+    texts += [(None, " ".join(a)), (None, prose(1, 70)), (4, "x y"), (4, "x y"), (4, None)]
+    got = found_components(spark, texts)
+    assert got == brute_components(texts)
+    assert got[2, texts[2][1]] == 1 and got[1, texts[1][1]] == 0 and got[3, texts[4][1]] == 1
 
 
 def test_estimates_come_near(spark):
@@ -109,17 +126,19 @@ def test_suffix_order():
         assert suffixes.suffix_order(text, 1, 10**9).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
-def brute_removal(texts):
+def brute_removal(spark, texts):
+    """Rows in order of id, then of their row key; rows alike are one document."""
+    keyed = frame(spark, texts).select("doc_id", row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = sorted(((-1 << 63) if r.doc_id is None else r.doc_id, r["row"], r.text.encode()) for r in keyed.collect())
     first = {}
-    rows = sorted(((-1 << 63) if i is None else i, (t or "").encode()) for i, t in texts)
-    for d, t in rows:
+    for d, k, t in rows:
         for i in range(len(t) - 99):
-            first[t[i:i + 100]] = min(first.get(t[i:i + 100], (d, i)), (d, i))
+            first[t[i:i + 100]] = min(first.get(t[i:i + 100], (d, k, i)), (d, k, i))
     out = Counter()
-    for d, t in rows:
+    for d, k, t in rows:
         gone = np.zeros(len(t) + 1, bool)
         for i in range(len(t) - 99):
-            if first[t[i:i + 100]] < (d, i):
+            if first[t[i:i + 100]] < (d, k, i):
                 gone[i:i + 100] = True
         runs = int((np.diff(np.concatenate([[False], gone])[:-1].astype(int)) == 1).sum()) if len(t) else 0
         kept = bytes(b for b, g in zip(t, gone) if not g)
@@ -140,11 +159,12 @@ def test_repeated_passages(spark, monkeypatch, group, size):
             a = rng.randint(0, 900)
             parts += [source[a:a + rng.randint(50, 400)], "".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 40)))]
         texts.append((rng.choice([d, 3 * d + 1000]), "".join(parts)))
-    texts = list({i: (i, t) for i, t in texts}.values()) + [(900, "ab" * 400), (901, "a" * 350), (902, source + source), (903, None), (904, ""), (None, source[50:400])]
+    texts += [(None, source[200:900]), (None, prose(41, 60)), (None, source[100:160] + source[700:900]), texts[3], texts[3]]  # ids repeat with other texts
+    texts += [(900, "ab" * 400), (901, "a" * 350), (902, source + source), (903, None), (904, ""), (None, source[50:400])]
     documents = frame(spark, texts)
     monkeypatch.setattr(queries, "documents", lambda s, d: documents)
     got = queries.op6_suffix_dedup(spark, "").collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(texts)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(spark, texts)
 
 
 def test_no_documents(spark):

@@ -95,12 +95,61 @@ def test_patience_keeps_order():
     assert licenses.patience(words, words) == [(i, i) for i in range(30)]
 
 
+LINES = {
+    "Released under the BSD License.": {"BSD-line"}, "Educational Community License, Version 2.0": set(), "Licensed under the Educational Community License, Version 2.0.": {"ECL-2.0-line"},
+    "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0-line"}, "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0-line"},
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": {"LGPL-2.1-line"}, "This work is licensed under the GNU General Public License, version 2.0.": {"GPL-2.0-line"},
+    "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0-line"}, "This work is licensed under the GNU Affero General Public License, version 3": {"AGPL-3.0-line"},
+    "Licensed under CC BY-ND 4.0.": {"CC-BY-ND-4.0-line"}, "Licensed under CC BY 4.0.": {"CC-BY-4.0-line"}, "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-line"},
+    "Licensed under CC BY-NC-SA 3.0": {"CC-BY-NC-SA-3.0-line"}, "Licensed under CC BY-NC-SA 2.0": set(), "Released under the MIT License.": {"MIT-line"}, "Released under the Foo License.": set(),
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": {"CC-BY-ND-4.0-notice"}, "Licensed under the Apache License, Version 1.1.": set(),
+}
+
+
+def test_lines_name_their_license_and_no_other():
+    tools = [licenses.Template(n, t) for n, t in licenses.TEMPLATES.items()]
+    for line, want in LINES.items():
+        for text in (line, f"{prose(1, 30)}\n{line}\n{prose(2, 30)}", line.upper()):
+            assert {f[0] for f in licenses.scan(text, tools)} == want, line
+    for name, template in licenses.TEMPLATES.items():  # every template finds itself
+        plain = template.replace("[[", "").replace("]]", "")
+        assert (name, 1.0) in {(f[0], f[4]) for f in licenses.scan(f"{prose(3, 20)} {plain} {prose(4, 20)}", tools)}, name
+
+
+def test_scan_equals_alignment_everywhere():
+    """Worn copies: what alignment at every place of a text finds, windows find too."""
+    rng = random.Random(12)
+    names = ["MIT", "ISC", "GPL-3.0-notice", "MPL-2.0-notice", "Apache-2.0-line", "CC-BY-4.0-line", "Zlib"]
+    tools = [licenses.Template(n, licenses.TEMPLATES[n]) for n in names]
+    found = missed = 0
+    for k in range(60):
+        name = rng.choice(names)
+        words = re.findall(r"[^\W_]+", licenses.TEMPLATES[name].lower())
+        wear = rng.choice([0, 0.05, 0.1, 0.15, 0.25, 0.4])
+        worn = [w for w in words if rng.random() > wear / 2]
+        worn = [x for w in worn for x in ([w] if rng.random() > wear / 2 else [w, "extra"])]
+        words_of = (prose(k, 15).split() + worn + prose(k + 99, 15).split())
+        got = {f[0] for f in licenses.scan(" ".join(words_of), tools)}
+        want = set()
+        for t in tools:
+            n = len(t.words)
+            for start in range(-n, len(words_of)):
+                for slack in (3 + n // 4, 3 + n):
+                    if t.find(words_of[max(0, start - slack):max(0, start + n + slack)], licenses.LEAST_COVERAGE):
+                        want.add(t.name)
+        assert got <= want
+        found, missed = found + len(want), missed + len(want - got)
+    assert found > 30 and missed == 0
+    assert {f[0] for f in licenses.scan(licenses.TEMPLATES["MIT"].replace("copyright", ""), tools)} == {"MIT"}
+
+
 def test_licenses(spark):
-    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-notice"]
+    plain = {n: t.replace("[[", "").replace("]]", "") for n, t in licenses.TEMPLATES.items()}
+    mit, apache = plain["MIT"], plain["Apache-2.0-notice"]
     worn = " ".join(w for i, w in enumerate(mit.split()) if i % 12)
     texts = edge_texts() + [
         (40, f"{prose(5, 300)}\n{mit}\n{prose(6, 40)}"), (41, prose(7, 30) + " " + worn), (42, apache.upper() + " " + prose(1, 10) + " " + apache),
-        (43, "the license of the software is a license"), (44, "İ " + licenses.TEMPLATES["GPL-3.0-line"]), (45, " ".join(mit.split()[:40])), (46, "license " * 3000),
+        (43, "the license of the software is a license"), (44, "İ " + plain["GPL-3.0-line"]), (45, " ".join(mit.split()[:40])), (46, "license " * 3000),
     ]
     got = {r.doc_id: r for r in licenses.license_scan(frame(spark, texts)).collect()}
     assert (got[40].license, got[40].coverage) == ("MIT", 1.0)
@@ -161,3 +210,20 @@ def test_pipeline(spark):
     assert seen["encoding"].count() == seen["mixing"].count() > 0
     assert entry.queries()["pipeline"](spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "encoding"]
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    good, other, bad = prose(5, 200), prose(6, 150), "spam " * 80
+    sound = [(100 + k, prose(200 + k, 90 + k % 40)) for k in range(70)]
+    texts = sound + [(7, good), (7, bad), (None, bad), (None, other), (8, other + " end"), (7, None), (9, good), (9, prose(8, 120))]
+    docs = frame(spark, texts)
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((r.doc_id is not None, r.doc_id, r.text) for r in df.collect())
+    kept = cut(stages["quality"](spark, docs, SF), "quality")
+    assert rows(kept) == sorted((i is not None, i, t) for i, t in texts if t not in (None, bad))
+    unique = cut(stages["near_duplicates"](spark, kept, SF), "unique")
+    # The repeat of good under id 9 goes, the other text of id 9 stays; rows without an id are in no group.
+    assert rows(unique) == sorted((i is not None, i, t) for i, t in texts if t not in (None, bad) and (i, t) != (9, good))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, frame(spark, []), SF)
+        assert empty.count() == 0
