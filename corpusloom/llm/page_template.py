@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,12 +45,19 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html option td th tr tbody thead tfoot".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl".split())
-# Elements, and words of class, id and role, that hold no article text.
+# Elements, and words of class, id and role, that hold no article text; words
+# that only say that a thing is a container; and elements that hold running text.
 ASIDE = frozenset("nav footer aside form button select input label dialog menu head".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
-    r"notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])"
+ASIDE_WORD = re.compile(
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|cmts?|comments?|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|"
+    r"notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)\Z"
 )
+HOLDER = re.compile(
+    r"(?:area|articles?|bar|block|body|box|buttons?|col|column|container|content|form|frame|group|holder|icons?|inner|items?|left|list|links?|"
+    r"main|message|module|outer|panel|posts?|right|row|section|slot|thread|top|bottom|unit|wrap|wrapper|zone|\d+)\Z"
+)
+#: Blocks in a row that hold nothing but links make a menu on a page without an article.
+MENU_BLOCKS = 3
 # Elements that hold the whole page, and names that tell what a page or post
 # has or is filed under, not what the element is.
 FRAME = frozenset("html body main".split())
@@ -82,82 +90,130 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, m[3] or ""
-        if name in RAW and not (m[3] or "").endswith("/"):
+        if name in RAW and not _is_whole(m[3] or ""):
             end = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield "close", name, ""
 
 
+def _is_whole(attrs: str) -> bool:
+    """Whether a tag ends itself; a slash at the end of an unquoted value is part of that."""
+    return attrs.endswith("/") and (attrs == "/" or attrs[-2] in " \t\n\r\f\"'")
+
+
 @lru_cache(1 << 14)
 def _names_aside(value: str) -> bool:
-    """Whether any name in the value of a class, id or role sets its element aside."""
-    return any(ASIDE_WORDS.search(x) and not LAYOUT_NAME.match(x) for x in value.split())
+    """Whether any name in the value of a class, id or role sets its element aside.
+
+    What a compound names is its last word that is no mere container: a ``cookie-notice``
+    and a ``share-buttons`` are set aside, a ``notice-period`` or ``share-prices`` is not.
+    """
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        while len(words) > 1 and HOLDER.match(words[-1]):
+            words.pop()
+        if words and ASIDE_WORD.match(words[-1]) and not LAYOUT_NAME.match(name):
+            return True
+    return False
+
+
+@lru_cache(1 << 14)
+def _named(attrs: str) -> tuple[tuple[str, str], ...]:
+    """Class, id and role of a tag, in order."""
+    return tuple((m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMED.finditer(attrs))
+
+
+@lru_cache(1 << 16)
+def _opened(path: int, aside: bool, article: bool, name: str, named: tuple[tuple[str, str], ...]) -> tuple[int, bool, bool]:
+    """Token of a tag below ``path``, and whether it is set aside or in an article."""
+    labels = " ".join(f"{kind}={value}" for kind, value in named)
+    aside = aside or name in ASIDE or name in RAW or (name == "header" and not article)
+    aside = aside or (name not in FRAME and any(_names_aside(value) for _, value in named))
+    return _hash(path, name, labels), aside, article or name == "article"
+
+
+@lru_cache(1 << 16)
+def _closed(path: int) -> int:
+    return _hash(path, "/")
 
 
 class Walker:
-    """Follows the open elements; each has its path hash and whether it is set aside."""
+    """Follows the open elements; each has its path hash and whether it is set aside.
+
+    A tag looks back no further than what it closes or the scope it ends at, so a page
+    takes time in proportion to its length, however deep it nests.
+    """
 
     def __init__(self):
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.held: dict[str, int] = {}
 
     def _pop_to(self, depth: int) -> None:
+        for name, *_ in self.stack[depth:]:
+            self.held[name] -= 1
         del self.stack[depth:]
 
+    def _ends(self, closed: tuple[str, ...]) -> None:
+        """Close the innermost of the named elements and all in it, unless a scope lies between."""
+        if any(self.held.get(n) for n in closed):
+            for i in range(len(self.stack) - 1, 0, -1):
+                name = self.stack[i][0]
+                if name in closed:
+                    self._pop_to(i)
+                    return
+                if name in SCOPE:
+                    return
+
     def open(self, name: str, attrs: str) -> tuple[int, bool]:
         """Token of the tag and whether it starts a block."""
-        names = [e[0] for e in self.stack]
-        if name in CLOSES_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not any(n in SCOPE for n in names[i + 1:]):
-                self._pop_to(i)
+        if name in CLOSES_P and self.held.get("p"):
+            self._ends(("p",))
         elif name in SELF_CLOSING:
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in SELF_CLOSING[name]:
-                    self._pop_to(i)
-                    break
-                if names[i] in SCOPE:
-                    break
+            self._ends(SELF_CLOSING[name])
         _, path, aside, article = self.stack[-1]
-        named = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMED.finditer(attrs)] if attrs else []
-        labels = " ".join(f"{kind}={value}" for kind, value in named)
-        aside = aside or name in ASIDE or name in RAW or (name == "header" and not article)
-        aside = aside or (name not in FRAME and any(_names_aside(value) for _, value in named))
-        token = _hash(path, name, labels)
-        if name not in VOID and not attrs.endswith("/"):
-            self.stack.append((name, token, aside, article or name == "article"))
+        token, aside, article = _opened(path, aside, article, name, _named(attrs) if attrs else ())
+        if name not in VOID and not _is_whole(attrs):
+            self.stack.append((name, token, aside, article))
+            self.held[name] = self.held.get(name, 0) + 1
         return token, name in BLOCK
 
     def close(self, name: str) -> tuple[int, bool] | None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                token = _hash(self.stack[i][1], "/")
-                self._pop_to(i)
-                return token, name in BLOCK
-        return None
+        if not self.held.get(name):
+            return None
+        i = len(self.stack) - 1
+        while self.stack[i][0] != name:
+            i -= 1
+        token = _closed(self.stack[i][1])
+        self._pop_to(i)
+        return token, name in BLOCK
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.held.get("a"))
 
     @property
     def top(self) -> tuple[str, int, bool, bool]:
         return self.stack[-1]
 
 
-def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool, bool, str]]:
-    """``(token, text or None, block edge, set aside, in article, element)`` in page order."""
+def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool, bool, bool]]:
+    """``(token, text or None, block edge, set aside, in article, in a link)`` in page order."""
     walk = Walker()
     for kind, name, attrs in events(page):
         if kind == "text":
             text = " ".join(html.unescape(name).split()) if name.strip() else ""
-            element, path, aside, article = walk.top
+            _, path, aside, article = walk.top
             if text:
                 # Text keeps the white space at its ends, which separates it from its neighbours.
                 lead, trail = name[:1].isspace() * " ", name[-1:].isspace() * " "
-                yield _hash(path, "text", text), lead + text + trail, False, aside, article, element
+                yield _hash(path, "text", text), lead + text + trail, False, aside, article, walk.linked
             elif name:
-                yield 0, " ", False, aside, article, element
+                yield 0, " ", False, aside, article, walk.linked
             continue
         found = walk.open(name, attrs) if kind == "open" else walk.close(name)
         if found is not None:
-            element, _, aside, article = walk.top
-            yield found[0], " " if name == "br" else None, found[1], aside, article, element
+            _, _, aside, article = walk.top
+            yield found[0], " " if name == "br" else None, found[1], aside, article, walk.linked
 
 
 def counts(page: str) -> dict[int, tuple[int, int, bool]]:
@@ -205,7 +261,8 @@ def main_text(page: str, classes: dict[int, int]) -> str:
     """Blocks of the article's slots in page order, joined by line ends.
 
     A page without an article element that holds text of its own, neither template nor set
-    aside (as teasers and comments are), is taken whole, minus what is set aside. Template
+    aside (as teasers and comments are), is taken whole, minus what is set aside and runs
+    of blocks that are links and nothing else. Template
     text, which most pages of the host repeat, is left out; all other text is kept.
     """
     parts = list(tokens(page))
@@ -213,22 +270,32 @@ def main_text(page: str, classes: dict[int, int]) -> str:
     in_article = any(
         article and not aside and text is not None and text != " " and token not in fixed for token, text, _, aside, article, _ in parts
     )
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool]] = []
     now: list[str] = []
+    plain = False
 
     def flush() -> None:
         line = " ".join("".join(now).split())
         if line:
-            blocks.append(line)
+            blocks.append((line, not plain))
         now.clear()
 
-    for token, text, edge, aside, article, _ in parts:
+    for token, text, edge, aside, article, linked in parts:
         if edge:
             flush()
+            plain = False
         if text is not None and not aside and (article or not in_article) and not (text != " " and token in fixed):
             now.append(text)
+            plain = plain or (not linked and text != " ")
     flush()
-    return "\n".join(blocks)
+    if in_article:
+        return "\n".join(line for line, _ in blocks)
+    kept: list[str] = []
+    for links_only, run in groupby(blocks, key=lambda b: b[1]):
+        run = list(run)
+        if not (links_only and len(run) >= MENU_BLOCKS):
+            kept += [line for line, _ in run]
+    return "\n".join(kept)
 
 
 def host(url):

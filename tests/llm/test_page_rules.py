@@ -1,5 +1,7 @@
 """Templates on small and odd hosts, articles that are set aside, elements with several names."""
 
+import time
+
 from corpusloom.llm import page_template
 
 SCHEMA = "page_id long, url string, html string"
@@ -52,3 +54,29 @@ def test_every_name_of_an_element_counts():
         assert page_template.main_text(f"<div><p>The story</p><div class=\"{names}\" id=d1>Buy now</div></div>", {}) == "The story"
     assert page_template.main_text("<body class='single has-sidebar sidebar'><main class='col banner'><p>The story</p></main></body>", {}) == "The story"
     assert page_template.main_text("<article class='post category-social no-sidebar'>The story</article>", {}) == "The story"
+
+
+def test_compounds_are_what_their_head_says():
+    for names in ("class='ad-free-reading'", "class='notice-period'", "id='share-prices'", "class='header-bidding-explained'", "class=comment-culture"):
+        assert page_template.main_text(f"<article><p>The story</p><div {names}>goes on</div></article>", {}) == "The story\ngoes on", names
+    for names in ("class='ad-slot'", "class='share-buttons'", "id=related-posts", "class='cmt'", "class='comment-list-2'", "class='site-header'", "id=cookie_consent"):
+        assert page_template.main_text(f"<article><p>The story</p><div {names}>Buy now</div></article>", {}) == "The story", names
+
+
+def test_link_lists_are_no_text_where_there_is_no_article():
+    menu = "<ul class='top-links'><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul>"
+    story = "<p>The story by <a href=/b>B</a></p><p><a href=/x>one link</a></p><p>ends</p>"
+    assert page_template.main_text(f"<body>{menu}<div>{story}</div><div class='cmt'>first!</div>{menu}</body>", {}) == "The story by B\none link\nends"
+    inside = page_template.main_text(f"<body>{menu}<article>{story}{menu}</article></body>", {})
+    assert inside == "The story by B\none link\nends\nHome\nNews\nSport"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    def seconds(page):
+        begin = time.perf_counter()
+        page_template.main_text(page, {})
+        return time.perf_counter() - begin
+
+    for unit in ("<div>", "<b>", "<b></i>", "<p><b>", "<li><b>", "<td><i><b>", "<p>x<div></p>"):
+        seconds(unit * 1000)
+        assert seconds(unit * 40_000 + "end") < 40 * max(seconds(unit * 4_000 + "end"), 0.01), unit
