@@ -23,6 +23,7 @@ SHARDS = RANKS * WORKERS
 EVAL_STEPS = 2
 SEED = 0
 GRAD_ACCUM = 2
+RESUME_STEPS = 40
 VOCAB_SIZE = 400
 BYTE_VOCAB = 259
 FILES = 10

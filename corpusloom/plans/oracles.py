@@ -181,6 +181,8 @@ ORACLES: dict[str, str] = {
       bases as (select worker, sum(t) over (order by worker) - t as base from (select worker, sum(n_tokens) t from parts group by worker))
       select worker, (lo + base)::bigint as start, n_tokens, 2 * n_tokens as bytes from parts join bases using (worker)""",
     "token_source": f'{CHUNKS} select "window", tokens from wins',
+    "stream_sink": f'{CHUNKS} select "window", tokens from wins',
+    "stream_source": f'{CHUNKS} select "window", tokens from wins',
     "file_inventory": f"with {BYTE_TOKENS}, {STORE_PARTS} select start, 2 * n_tokens as length, {SIZE_LABEL.format(b='(2 * n_tokens)')} as size from parts",
     "write_mode": f"""with {BYTE_TOKENS}, sums as (select sum(n)::bigint tokens, (2 * sum(n))::bigint bytes from starts)
       select tokens, bytes, {SIZE_LABEL.format(b='bytes')} as size, 2 as bytes_per_token, action, attempt
@@ -252,6 +254,14 @@ ORACLES: dict[str, str] = {
       n as (select unnest(range({3_000 * fx.GRAD_ACCUM})) as i)
       select i // {fx.GRAD_ACCUM} as step, rank, (i % {fx.GRAD_ACCUM})::int as micro, i // rank_batches as epoch, feed, worker, batch
       from n join turns on turns.feed = i % turns.rank_batches""",
+    "feed_resume": f"""with {BYTE_TOKENS}, {REGION}, {TRAIN_WINDOWS}, {BATCHES},
+      begin as (select greatest(0, max(rank_batches) // {fx.GRAD_ACCUM} - {fx.RESUME_STEPS // 2}) as s from turns where rank = 0),
+      n as (select unnest(range(s * {fx.GRAD_ACCUM}, (s + {fx.RESUME_STEPS}) * {fx.GRAD_ACCUM})) as i from begin),
+      due as (select i // {fx.GRAD_ACCUM} as step, rank, (i % {fx.GRAD_ACCUM})::int as micro, i // rank_batches as epoch, feed, worker, batch
+        from n join turns on turns.feed = i % turns.rank_batches)
+      select step, rank, micro, epoch, feed, slot, tokens from due join fed using (rank, worker, batch)
+      join wins on wins.shard = due.rank * {fx.WORKERS} + due.worker and wins."window" = fed."window"
+      """,
     "budget_report": f"""with t as (select sum(octet_length(encode(text)) + 1)::bigint n from documents), c as (select {fx.BATCH * fx.GRAD_ACCUM * fx.RANKS * S}::bigint st)
       select st as step_tokens, (20000 // {fx.RANKS})::bigint as steps, (20000 // {fx.RANKS}) * st as training_tokens, n as corpus_tokens,
         round((20000 // {fx.RANKS}) * st / n, 6) as epochs from t, c""",

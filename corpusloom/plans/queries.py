@@ -14,13 +14,15 @@ from corpusloom.operators import rows as row_ops
 from corpusloom.operators import vocabulary as voc
 from corpusloom.plans import fixtures as fx
 from corpusloom.session import cut, scratch_path, ship, spread
-from corpusloom.sources import corpus, inventory, token_store, vocab_store
+from corpusloom.sources import corpus, feed_store, inventory, token_store, token_stream, vocab_store
 from corpusloom.streaming import encode as stream_encoding
 from corpusloom.streaming import keyed
 from corpusloom.streaming import pack as stream_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Rows of a file of an arriving micro-batch.
+ARRIVAL_ROWS = 10_000
 
 
 def query(fn: Query) -> Query:
@@ -361,6 +363,20 @@ def training_feed(spark, sf):
     return as_text(fed.select("rank", "feed", "slot", "x", "y"), "x", "y")
 
 
+@query
+def feed_resume(spark, sf):
+    """The feed as files, opened in the middle: steps across the end of an epoch."""
+    ship(spark)
+    positioned, _, end = _regions(spark, sf)
+    windows = packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
+    path = scratch_path(spark, "feed")
+    index = feed_store.write(windows, _train_batches(spark, sf), path, fx.SEQ_LEN, fx.BYTE_VOCAB, fx.PART_TOKENS)
+    batches_of = index.where("rank = 0").count()
+    from_step = max(0, batches_of // fx.GRAD_ACCUM - fx.RESUME_STEPS // 2)
+    steps = feed_store.read_steps(spark, path, fx.SEQ_LEN, fx.BYTE_VOCAB, from_step, fx.RESUME_STEPS, fx.GRAD_ACCUM)
+    return as_text(steps, "tokens")
+
+
 # Training log and routing log
 
 
@@ -490,22 +506,43 @@ def stream_encode_capped(spark, sf):
     return stream_encoding.encoded(spark, path).select("doc_id", F.size("ids").cast("long").alias("n"))
 
 
-def _ordered_files(spark, df: DataFrame, order: str, n: int) -> str:
-    """Rows in ``n`` files whose arrival order is the row order."""
+@query
+def stream_sink(spark, sf):
+    """Documents stream into a token store in one step, which is then read in windows."""
+    ship(spark)
+    path = scratch_path(spark, "sink")
+    docs = corpus.stream(spark, sf, fx.docs(spark, sf).schema, glob="documents.parquet")
+    token_stream.write_stream(fx.with_byte_ids(docs), f"{path}/store", f"{path}/checkpoint", fx.BYTE_VOCAB)
+    blocks = token_store.read(spark, f"{path}/store", fx.BYTE_VOCAB)
+    return as_text(packing.cut_windows(blocks, fx.SEQ_LEN, fx.SEQ_LEN + 1), "tokens")
+
+
+@query
+def stream_source(spark, sf):
+    """A token store read as a stream of blocks, cut into windows."""
+    path = scratch_path(spark, "source")
+    blocks = token_stream.read_stream(spark, _store(spark, sf), fx.BYTE_VOCAB, fx.PART_TOKENS // 4)
+    corpus.drain(blocks, f"{path}/blocks", f"{path}/checkpoint")
+    return as_text(packing.cut_windows(spark.read.parquet(f"{path}/blocks"), fx.SEQ_LEN, fx.SEQ_LEN + 1), "tokens")
+
+
+def _ordered_files(spark, df: DataFrame, order: str, n: int) -> tuple[str, int]:
+    """Rows as ``n`` arrivals in row order, and how many files an arrival has: they grow with the rows."""
     path = scratch_path(spark, "arrivals")
-    top = df.agg(F.max(order)).first()[0] + 1
-    part = F.floor(F.col(order) * n / top).cast("int")
+    rows, top = df.agg(F.count(F.lit(1)), F.max(order)).first()
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (n * ARRIVAL_ROWS)))
     for i in range(n):
-        df.where(part == i).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return path
+        arriving = df.where(F.floor(F.col(order) * n / (top + 1)) == i)
+        arriving.repartitionById(files, F.pmod(order, F.lit(files)).cast("int")).write.mode("append").parquet(path)
+    return path, files
 
 
 @query
 def stream_pack(spark, sf):
     ship(spark)
     dirty = fx.docs_dirty(spark, sf)
-    source, path = _ordered_files(spark, dirty, "doc_id", 4), scratch_path(spark, "packed")
-    arriving = corpus.stream(spark, source, dirty.schema, max_files=1)
+    (source, files), path = _ordered_files(spark, dirty, "doc_id", 4), scratch_path(spark, "packed")
+    arriving = corpus.stream(spark, source, dirty.schema, max_files=files)
     stream_packing.stream_pack(
         arriving, lambda d: fx.with_byte_ids(row_ops.drop_blank(d)), path, f"{path}/checkpoint", fx.SEQ_LEN, fx.SHARDS
     )
@@ -514,8 +551,8 @@ def stream_pack(spark, sf):
 
 def _run_keyed(spark, source: DataFrame, build) -> DataFrame:
     path = scratch_path(spark, "keyed")
-    files = _ordered_files(spark, source, "event_id", 3)
-    out = build(corpus.stream(spark, files, source.schema, max_files=1))
+    arrivals, files = _ordered_files(spark, source, "event_id", 3)
+    out = build(corpus.stream(spark, arrivals, source.schema, max_files=files))
     corpus.drain(out, f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
@@ -524,8 +561,8 @@ def _run_keyed(spark, source: DataFrame, build) -> DataFrame:
 def stream_interval(spark, sf):
     ship(spark)
     log = fx.events(spark, sf).select("event_id", F.col("event_id").alias("step"), F.col("value").alias("loss"))
-    path, files = scratch_path(spark, "intervals"), _ordered_files(spark, log, "event_id", 3)
-    keyed.stream_interval(corpus.stream(spark, files, log.schema, max_files=1), fx.LOG_EVERY, f"{path}/out", f"{path}/checkpoint")
+    path, (arrivals, files) = scratch_path(spark, "intervals"), _ordered_files(spark, log, "event_id", 3)
+    keyed.stream_interval(corpus.stream(spark, arrivals, log.schema, max_files=files), fx.LOG_EVERY, f"{path}/out", f"{path}/checkpoint")
     return keyed.intervals(spark, f"{path}/out").withColumn("loss", r6("loss"))
 
 

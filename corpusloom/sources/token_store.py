@@ -7,6 +7,7 @@ manifest order are one flat stream; nothing copies them into a single file.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -140,11 +141,20 @@ def _own_parts(files: fs.FileSystem, root: str) -> set[str]:
     return {n for n, info in zip(own, found) if info.type == fs.FileType.File}
 
 
+def _located(root: str, part: str) -> str:
+    """A part's path; parts of a merged store are named from its folder, or by a full path."""
+    if part.startswith("/") or "://" in part:
+        return part
+    while part.startswith("../"):
+        root, part = root.rstrip("/").rpartition("/")[0], part[3:]
+    return f"{root}/{part}"
+
+
 class StoreReader(DataSourceReader):
     """Byte ranges of the parts; a path to a single headerless file works as well."""
 
-    def __init__(self, path: str, width: int, range_tokens: int):
-        self.path, self.width, self.range_tokens = path, width, range_tokens
+    def __init__(self, path: str, width: int, range_tokens: int, ranges: list[tuple[int, int]] | None = None):
+        self.path, self.width, self.range_tokens, self.ranges = path, width, range_tokens, ranges
 
     def partitions(self) -> list[ByteRange]:
         files, root = _filesystem(self.path)
@@ -155,14 +165,17 @@ class StoreReader(DataSourceReader):
             rows = pq.read_table(f"{root}/{MANIFEST}", filesystem=files).to_pylist()
             if any(r["bytes"] != r["n_tokens"] * self.width for r in rows):
                 raise ValueError(f"the store's ids are not {self.width} bytes wide")
-            parts = [(r["part"] if "/" in r["part"] else f"{root}/{r['part']}", r["start"], r["n_tokens"]) for r in rows]
-        return [
-            ByteRange(file, at * self.width, start + at, min(self.range_tokens, n - at))
-            for file, start, n in parts
-            for at in range(0, n, self.range_tokens)
-        ]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+            parts = [(_located(root, r["part"]), r["start"], r["n_tokens"]) for r in rows]
+        out = []
+        for file, start, n in parts:
+            for low, high in self.ranges if self.ranges is not None else [(start, start + n)]:
+                a, b = max(low - start, 0), min(high - start, n)
+                out += [ByteRange(file, at * self.width, start + at, min(self.range_tokens, b - at)) for at in range(a, b, self.range_tokens)]
+        return out
+
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing to read at all
+            return
         files, _ = _filesystem(self.path)
         with files.open_input_file(partition.file) as f:
             for at in range(0, partition.tokens, BLOCK_TOKENS):
@@ -187,7 +200,7 @@ class TokenStore(DataSource):
     def reader(self, schema) -> StoreReader:
         return StoreReader(
             self.options["path"], id_width(int(self.options["vocab_size"])),
-            int(self.options.get("range_tokens", PART_TOKENS)),
+            int(self.options.get("range_tokens", PART_TOKENS)), json.loads(self.options.get("ranges", "null")),
         )
 
     def writer(self, schema, overwrite: bool) -> StoreWriter:
@@ -231,21 +244,26 @@ def report(spark: SparkSession, path: str, vocab_size: int) -> DataFrame:
     ).select("tokens", "bytes", size_label(F.col("bytes")).alias("size"), F.lit(id_width(vocab_size)).alias("bytes_per_token"))
 
 
-def read(spark: SparkSession, path: str, vocab_size: int, range_tokens: int = PART_TOKENS) -> DataFrame:
-    """Blocks ``(start, ids)`` of a store or of one flat file."""
+def read(
+    spark: SparkSession, path: str, vocab_size: int, range_tokens: int = PART_TOKENS, ranges: list[tuple[int, int]] | None = None
+) -> DataFrame:
+    """Blocks ``(start, ids)`` of a store or of one flat file; with ``ranges`` of token
+    positions, which do not overlap, only their bytes."""
     ship(spark)
     spark.dataSource.register(TokenStore)
-    return (
-        spark.read.format("tokenstore").option("vocab_size", vocab_size).option("range_tokens", range_tokens).load(path)
-    )
+    reader = spark.read.format("tokenstore").option("vocab_size", vocab_size).option("range_tokens", range_tokens)
+    return (reader if ranges is None else reader.option("ranges", json.dumps(ranges))).load(path)
 
 
 def merge(spark: SparkSession, stores: list[str], path: str) -> DataFrame:
     """One stream out of the stores of several workers, in the given order.
 
-    Only a manifest is written: the parts stay where they are and get new offsets.
+    Only a manifest is written: the parts stay where they are and get new offsets. Stores
+    beside the merged one are named from its folder, so all of them can move together.
     """
-    tagged = [manifest(spark, s).withColumns({"worker": F.lit(i), "part": F.concat(F.lit(f"{s}/"), "part")}) for i, s in enumerate(stores)]
+    beside = f"{path.rstrip('/').rpartition('/')[0]}/"
+    named = lambda s: f"../{s.removeprefix(beside)}/" if s.startswith(beside) else f"{s}/"
+    tagged = [manifest(spark, s).withColumns({"worker": F.lit(i), "part": F.concat(F.lit(named(s.rstrip("/"))), "part")}) for i, s in enumerate(stores)]
     rows = reduce(DataFrame.unionByName, tagged)
     sums = rows.groupBy("worker").agg(F.sum("n_tokens").alias("t"))
     base = running_totals(sums, {"base": F.col("t")}, bucket=F.col("worker").cast("long"), order=["worker"])

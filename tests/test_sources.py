@@ -1,14 +1,19 @@
 """Scans, file choice, token stores and streams."""
 
+import shutil
+import time
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import id_width
-from corpusloom.operators import packing, training_log
+from corpusloom.operators import batching, packing, training_log
 from corpusloom.operators import rows as row_ops
 from corpusloom.operators import vocabulary as voc
-from corpusloom.sources import corpus, inventory, token_store
+from corpusloom.sources import corpus, feed_store, inventory, token_store, token_stream
 from corpusloom.streaming import encode, keyed, pack
 
 
@@ -197,3 +202,101 @@ def test_a_forced_write_leaves_no_old_parts(spark, tmp_path):
         assert inventory.list_files(spark, root, "tokens-").count() == len(named)
     with pytest.raises(Exception, match="bytes wide"):
         token_store.read(spark, path, 70_000).collect()
+
+
+def test_feed_resumes_at_any_step(spark, tmp_path):
+    seq, batch, workers, ranks, accum = 3, 2, 2, 2, 3
+    given = [5, 0, 4, 3]  # windows of each shard
+    rows = [(s, w, [100 * s + 10 * w + i for i in range(seq + 1)]) for s, n in enumerate(given) for w in range(n)]
+    windows = spark.createDataFrame(rows, "shard long, window long, tokens array<int>")
+    places = spark.createDataFrame([(s, w, n - 1 - w) for s, n in enumerate(given) for w in range(n)], "shard long, window long, place long")
+    order = batching.batches(places, batch, workers)
+    path = f"{tmp_path}/feed"
+    index = feed_store.write(windows, order, path, seq, 1_000, part_tokens=10)
+    placed = {(r["rank"], r.feed, r.slot): r.shard * 100 + r.window * 10 for r in order.collect()}
+    feeds = {r: 1 + max(f for k, f, _ in placed if k == r) for r in range(ranks)}
+    assert {(r["rank"], r.feed): r.n_windows for r in index.collect()} == Counter((r, f) for r, f, _ in placed)
+    for first, steps in ((0, 1), (1, 2), (2, 30), (500, 1)):
+        want = set()
+        for i in range(first * accum, (first + steps) * accum):
+            for r in range(ranks):
+                for (k, f, s), token in placed.items():
+                    if k == r and f == i % feeds[r]:
+                        want.add((i // accum, r, i % accum, i // feeds[r], f, s, tuple(range(token, token + seq + 1))))
+        got = feed_store.read_steps(spark, path, seq, 1_000, first, steps, accum).collect()
+        assert len(got) == len(want) and {(*r[:6], tuple(r.tokens)) for r in got} == want
+    # A step's bytes are read, not the store.
+    blocks = token_store.read(spark, f"{path}/windows", 1_000, ranges=[[4, 9], [16, 20]]).collect()
+    assert sorted(p for b in blocks for p in range(b.start, b.start + len(b.ids))) == [4, 5, 6, 7, 8, 16, 17, 18, 19]
+    again = feed_store.write(windows.where("false"), order, path, seq, 1_000)
+    assert again.count() == index.count()
+    none = feed_store.write(windows.where("false"), order.where("false"), f"{tmp_path}/none", seq, 1_000)
+    assert none.count() == 0 and feed_store.read_steps(spark, f"{tmp_path}/none", seq, 1_000, 0, 3).count() == 0
+
+
+def test_merged_store_moves_with_its_parts(spark, tmp_path):
+    for w in range(2):
+        rows = spark.createDataFrame([(i * 3, [w, i, 7]) for i in range(4)], "start long, ids array<int>")
+        token_store.write(rows, f"{tmp_path}/a/{w}", 100, part_tokens=6)
+    token_store.merge(spark, [f"{tmp_path}/a/{w}" for w in range(2)], f"{tmp_path}/a/merged")
+    shutil.copytree(f"{tmp_path}/a", f"{tmp_path}/b/c")
+    stream = lambda path: [t for r in token_store.read(spark, path, 100).orderBy("start").collect() for t in r.ids]
+    assert stream(f"{tmp_path}/b/c/merged") == stream(f"{tmp_path}/a/merged") == [x for w in range(2) for i in range(4) for x in (w, i, 7)]
+    assert not [r.part for r in token_store.manifest(spark, f"{tmp_path}/b/c/merged").collect() if str(tmp_path) in r.part]
+
+
+def arrivals(spark, path, counts):
+    """One file per micro-batch; row ``i`` has ``i % 5`` tokens, all of them ``i``."""
+    at = 0
+    for k, n in enumerate(counts):
+        rows = [(i, [i] * (i % 5)) for i in range(at, at + n)]
+        spark.createDataFrame(rows, "i long, ids array<int>").coalesce(1).sortWithinPartitions("i").write.mode("append").parquet(path)
+        at += n
+        time.sleep(1.1)  # files arrive in order of their time
+
+
+def test_stream_to_store_and_back(spark, tmp_path):
+    store, ck = f"{tmp_path}/store", f"{tmp_path}/ck"
+    stream = lambda most=1: corpus.stream(spark, f"{tmp_path}/in", "i long, ids array<int>", max_files=most)
+    want = [i for i in range(17) for _ in range(i % 5)]
+    arrivals(spark, f"{tmp_path}/in", [7, 0, 5])
+    token_stream.write_stream(stream(), store, ck, 300)
+    held = flat(token_store.read(spark, store, 300))
+    assert held == want[:len(held)] and len(held) == sum(i % 5 for i in range(12))
+
+    drained, rck = f"{tmp_path}/drained", f"{tmp_path}/rck"
+    corpus.drain(token_stream.read_stream(spark, store, 300, range_tokens=3), drained, rck)
+    assert flat(spark.read.parquet(drained)) == held
+    # More input: the sink goes on, and so does the source from its checkpoint.
+    spark.createDataFrame([(i, [i] * (i % 5)) for i in range(12, 17)], "i long, ids array<int>").coalesce(1).sortWithinPartitions("i").write.mode("append").parquet(f"{tmp_path}/in")
+    token_stream.write_stream(stream(), store, ck, 300)
+    assert flat(token_store.read(spark, store, 300)) == want
+    corpus.drain(token_stream.read_stream(spark, store, 300), drained, rck)
+    assert flat(spark.read.parquet(drained)) == want
+
+
+def test_a_micro_batch_is_in_the_store_once(tmp_path):
+    sink = token_stream.StreamSink(f"{tmp_path}/s", 2, 0, 4)
+    batch = lambda *rows: pa.RecordBatch.from_pydict({"ids": pa.array(rows, pa.list_(pa.int32()))})
+    read = lambda: [(r["part"], r["start"], r["n_tokens"]) for r in token_stream._committed(*token_stream._filesystem(f"{tmp_path}/s"))]
+    sink.commit([sink.write(iter([batch([1, 2], [3])])), None, sink.write(iter([batch(None, [4])]))], 0)
+    first = read()
+    assert [r[1:] for r in first] == [(0, 3), (3, 1)]
+    sink.commit([sink.write(iter([batch([1, 2], [3])]))], 0)  # the same micro-batch again, after a failure
+    lost = sink.write(iter([batch([9])]))
+    sink.abort([lost, None], 1)
+    sink.commit([sink.write(iter([batch([5])]))], 1)
+    assert read()[:2] == first and read()[2][1:] == (4, 1)
+    assert len([f for f in (tmp_path / "s").iterdir() if f.is_file()]) == 3
+    with pytest.raises(ValueError):
+        sink.write(iter([batch([1 << 16])]))
+
+
+@pytest.mark.parametrize("cap, rows", [(0, 20), (1, 4), (7, 4), (8, 4), (9, 8), (21, 12), (24, 12), (99, 20)])
+def test_budget_of_the_sink(tmp_path, cap, rows):
+    """Rows of two tokens, looked at every four, in parts of three, over two micro-batches."""
+    sink = token_stream.StreamSink(f"{tmp_path}/s", 2, cap, 4)
+    part = lambda: sink.write(iter([pa.RecordBatch.from_pydict({"ids": pa.array([[1, 2]] * 2, pa.list_(pa.int32()))})]))
+    sink.commit([part() for _ in range(5)], 0)
+    sink.commit([part() for _ in range(5)], 1)
+    assert token_stream.stored_tokens(f"{tmp_path}/s") == 2 * rows
