@@ -158,27 +158,65 @@ def _by_key(rows: DataFrame, table: DataFrame, key: str, weight: str, weights: W
 
 
 DIMENSIONS = range(len(FEATURES))
-CENTRE = [f"m{i}" for i in DIMENSIONS]
-FACTOR = [f"l{i}{j}" for i in DIMENSIONS for j in range(i + 1)]
+#: Lower triangle of a matrix over the statistics, row by row, as it lies in an array.
+PLACES = [(i, j) for i in DIMENSIONS for j in range(i + 1)]
+#: What an estimate consists of: ``m`` is the centre, ``w`` the inverse Cholesky factor of
+#: the covariance, whose determinant is ``det``.
+ESTIMATE = ("m", "w", "det")
 
 
-def _moments(rows: DataFrame, *keys: str) -> DataFrame:
-    """Mean, Cholesky factor of the covariance and its determinant per key."""
-    centre = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    cov = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in DIMENSIONS for j in range(i + 1)]
-    sums = rows.groupBy(*keys).agg(*centre, *cov)
-    return _factor(sums.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2) for i in DIMENSIONS}), *keys)
+def _sum(values: Column, term) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, t: s + term(t))
+
+
+def _triangle(entry) -> Column:
+    """Array of the lower triangle; ``entry(so far, k, i, j)`` is the k-th, at row i and column j."""
+    rows, columns = (F.array(*[F.lit(p[side]) for p in PLACES]) for side in (0, 1))
+    none = F.array().cast("array<double>")
+    step = lambda acc, k: F.concat(acc, F.array(entry(acc, k, F.get(rows, k), F.get(columns, k))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(PLACES) - 1)), none, step)
+
+
+def _at(i: Column, j: Column) -> Column:
+    """Place of row i, column j in a lower triangle."""
+    return (i * (i + 1) / 2 + j).cast("int")
+
+
+def _cholesky(cov: Column) -> Column:
+    """Factor of a covariance; the floors on its diagonal keep it regular."""
+    least = F.array(*[F.lit(f**2 / 4) for f in FLOORS])
+    before = lambda j: F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES))), lambda t: t < j)
+
+    def entry(acc, k, i, j):
+        rest = F.get(cov, k) - _sum(before(j), lambda t: F.get(acc, _at(i, t)) * F.get(acc, _at(j, t)))
+        return F.when(i == j, F.sqrt(F.greatest(rest, F.get(least, i)))).otherwise(rest / F.get(acc, _at(j, j)))
 
+    return _triangle(entry)
 
-def _factor(cov: DataFrame, *keys: str) -> DataFrame:
-    """Cholesky factor ``l{i}{j}`` of ``c{i}{j}``. The floors on the diagonal keep it regular."""
-    for i in DIMENSIONS:
-        for j in range(i + 1):
-            dot = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
-            value = F.sqrt(F.greatest(dot, F.lit(FLOORS[i] ** 2 / 4))) if i == j else dot / F.col(f"l{j}{j}")
-            cov = cov.withColumn(f"l{i}{j}", value)
-    det = reduce(lambda a, i: a * F.col(f"l{i}{i}") ** 2, DIMENSIONS, F.lit(1.0))
-    return cov.select(*keys, *CENTRE, *FACTOR, det.alias("det"))
+
+def _inverse(low: Column) -> Column:
+    """Inverse of a lower triangle."""
+    between = lambda i, j: F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES))), lambda t: (t >= j) & (t < i))
+
+    def entry(acc, k, i, j):
+        below = _sum(between(i, j), lambda t: F.get(low, _at(i, t)) * F.get(acc, _at(t, j)))
+        return F.when(i == j, 1 / F.get(low, k)).otherwise(-below / F.get(low, _at(i, i)))
+
+    return _triangle(entry)
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Mean, inverse factor of the covariance and its determinant per key."""
+    n = F.count(F.lit(1))
+    sums = rows.groupBy(*keys).agg(
+        F.array(*[F.sum(f) / n for f in FEATURES]).alias("m"), F.array(*[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) / n for i, j in PLACES]).alias("e")
+    )
+    mean = lambda i: F.get("m", F.lit(i))
+    floor = lambda i, j: FLOORS[i] ** 2 if i == j else 0.0
+    cov = F.array(*[F.get("e", F.lit(k)) - mean(i) * mean(j) + floor(i, j) for k, (i, j) in enumerate(PLACES)])
+    factor = sums.select(*keys, "m", cov.alias("c")).select(*keys, "m", _cholesky(F.col("c")).alias("l"))
+    diagonal = [F.get("l", F.lit(k)) for k, (i, j) in enumerate(PLACES) if i == j]
+    return factor.select(*keys, "m", _inverse(F.col("l")).alias("w"), reduce(lambda a, b: a * b, [d * d for d in diagonal]).alias("det"))
 
 
 def _quantile_bins(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
@@ -201,9 +239,9 @@ def _medians(members: DataFrame) -> DataFrame:
     step = [f / STATISTIC_BINS for f in FLOORS]
     spread = lambda i: F.sqrt((1.4826 * step[i] * at("q0", i)) ** 2 + FLOORS[i] ** 2)
     return both.groupBy("_cell").agg(
-        *[((at("m", i) + 0.5) * step[i]).alias(f"m{i}") for i in DIMENSIONS],
-        *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIMENSIONS for j in range(i + 1)],
-    ).select("_cell", F.lit(0).alias("start"), *CENTRE, *FACTOR, F.lit(float("inf")).alias("det"))
+        F.array(*[(at("m", i) + 0.5) * step[i] for i in DIMENSIONS]).alias("m"),
+        F.array(*[1 / spread(i) if i == j else F.lit(0.0) for i, j in PLACES]).alias("w"),
+    ).select("_cell", F.lit(0).alias("start"), "m", "w", F.lit(float("inf")).alias("det"))
 
 
 def _drawn(members: DataFrame) -> DataFrame:
@@ -215,13 +253,10 @@ def _drawn(members: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance ``_d2`` to rows with their estimate, by forward substitution."""
-    out = rows
-    for i, f in enumerate(FEATURES):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(f) - F.col(f"m{i}"))
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in DIMENSIONS])
-    return out.withColumn("_d2", d2).drop(*[f"z{i}" for i in DIMENSIONS], *CENTRE, *FACTOR)
+    """Adds the squared Mahalanobis distance ``_d2`` to rows with their estimate."""
+    off = [F.col(f) - F.get("m", F.lit(i)) for i, f in enumerate(FEATURES)]
+    row = lambda i: reduce(lambda a, b: a + b, [F.get("w", F.lit(k)) * off[q] for k, (p, q) in enumerate(PLACES) if p == i])
+    return rows.withColumn("_d2", reduce(lambda a, b: a + b, [F.pow(row(i), F.lit(2)) for i in DIMENSIONS])).drop(*ESTIMATE)
 
 
 def _bin(d2: Column) -> Column:
@@ -257,7 +292,7 @@ def _estimate(members: DataFrame) -> DataFrame:
     the ``cutoff`` of scaled distances."""
     sizes = Weights.of(cut(members.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), "sizes"), "_n")
     current = cut(_medians(members).unionByName(_drawn(members)), "centre")
-    state = lambda df: df.select("_cell", "start", *CENTRE, *FACTOR, "det")
+    state = lambda df: df.select("_cell", "start", *ESTIMATE)
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("det", "start"))
     for _ in range(FIRST_STEPS):
         current = _concentrated(members, state(current), sizes)
@@ -280,7 +315,7 @@ def _estimate(members: DataFrame) -> DataFrame:
     spread = F.greatest(_edge(F.col("q1")) / (F.col("scale") * CHI2_MEDIAN), F.lit(CHI2_SPREAD))
     fence = CHI2_MEDIAN * F.pow((1 + FENCE) * F.sqrt(spread) - FENCE, F.lit(2))
     fitted = quartiles.withColumn("scale", scale).withColumn("cutoff", fence).select("_cell", "scale", "cutoff")
-    return cut(best.drop("start", "det").join(fitted, "_cell").join(sizes.table, "_cell"), "estimate")
+    return cut(best.drop("start").join(fitted, "_cell").join(sizes.table, "_cell"), "estimate")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
