@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,5 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while not _are_stars(edges):
-        edges = cut(_small_star(cut(_large_star(edges), "links")), "links")
+        large = cut(_large_star(edges), "links")
+        old, edges = edges, cut(_small_star(large), "links")
+        release(old)
+        release(large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from corpusloom.operators.positions import FANOUT_BITS, id_bucket, running_totals
+from corpusloom.session import ship
 
 # Scores that are held at once for a batch of rows.
 BLOCK_CELLS = 4 << 20
@@ -68,6 +69,77 @@ def topk_routing(
     return vectors.select(*kept, F.explode(route(F.col(vector))).alias("_r")).select(*kept, "_r.*")
 
 
+def topk_routing_blocks(
+    vectors: DataFrame, gate: DataFrame, k: int = 2, vector: str = "embedding", eps: float = 1e-6, block_groups: int = 1 << 15
+) -> DataFrame:
+    """``topk_routing`` for gates of any size: ``gate(grp, centroid, bias)`` stays a table.
+
+    Groups are dealt to blocks. A task has one block, which comes first in its partition,
+    and a part of the rows, which pass it by; it gives each its best ``k`` groups of the
+    block. The short lists of a row are merged and weighted at the end. A row moves once
+    for each block, a block once for each part. Rows are told apart by their other columns.
+    """
+    ship(vectors.sparkSession)
+    kept = [c for c in vectors.columns if c != vector]
+    blocks = max(1, -(-gate.count() // block_groups))
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = F.struct(*kept)
+    place = [F.col("block"), F.col("part")]
+    passing = vectors.select(
+        each(blocks).alias("block"), F.pmod(F.xxhash64(*kept), F.lit(parts)).cast("int").alias("part"), row.alias("row"),
+        F.transform(vector, lambda x: x.cast("double")).alias("v"), F.lit(None).cast("int").alias("grp"), F.lit(None).cast("double").alias("bias"),
+    )
+    held = gate.select(
+        F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"), F.lit(None).cast(passing.schema["row"].dataType).alias("row"),
+        F.transform("centroid", lambda x: x.cast("double")).alias("v"), F.col("grp").cast("int").alias("grp"), F.col("bias").cast("double").alias("bias"),
+    )
+    dealt = passing.unionByName(held).repartition(*place).sortWithinPartitions(*place, F.col("grp").isNull(), "grp")
+
+    def score(batches):
+        now, names, rows_of, bias, matrix = None, [], [], [], None
+        for batch in batches:
+            spots = list(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()))
+            groups = batch.column("grp").to_pylist()
+            edges = [0, *[i for i in range(1, len(spots)) if spots[i] != spots[i - 1] or (groups[i] is None) != (groups[i - 1] is None)], len(spots)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if spots[a] != now:
+                    now, names, rows_of, bias, matrix = spots[a], [], [], [], None
+                values = batch.column("v").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+                if groups[a] is not None:
+                    names += groups[a:b]
+                    rows_of.append(values)
+                    bias += batch.column("bias").slice(a, b - a).to_pylist()
+                    continue
+                if not names:
+                    continue
+                if matrix is None:
+                    matrix, offsets, numbers = np.concatenate(rows_of), np.array(bias), np.array(names, np.int32)
+                    rows_of.clear()
+                step = max(1, BLOCK_CELLS // len(numbers))
+                for lo in range(0, b - a, step):
+                    some = values[lo:lo + step]
+                    found = (some / np.sqrt((some**2).mean(axis=1, keepdims=True) + eps)) @ matrix.T
+                    best = np.argsort(-(found + offsets), axis=1, kind="stable")[:, :k]  # groups ascend, so ties go to the smaller
+                    chosen, width = np.take_along_axis(found, best, axis=1), best.shape[1]
+                    lists = pa.StructArray.from_arrays(
+                        [pa.array(-(chosen + offsets[best]).ravel()), pa.array(numbers[best].ravel()), pa.array(chosen.ravel())], ["order", "grp", "score"]
+                    )
+                    sizes = pa.array(np.arange(0, len(some) * width + 1, width, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(a + lo, len(some)), pa.ListArray.from_arrays(sizes, lists)], ["row", "best"])
+
+    partial = dealt.mapInArrow(score, f"row {passing.schema['row'].dataType.simpleString()}, best array<struct<order:double,grp:int,score:double>>")
+    merged = partial.groupBy("row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    top = F.array_max(F.transform("best", lambda b: b["score"]))
+    parts_of = merged.withColumn("best", F.transform("best", lambda b: F.struct(b["grp"].alias("grp"), F.exp(b["score"] - top).alias("e"))))
+    total = F.aggregate("best", F.lit(0.0), lambda s, b: s + b["e"])
+    return parts_of.select("row.*", total.alias("_t"), F.posexplode("best").alias("place", "_b")).select(
+        *kept, F.col("place").cast("int").alias("place"), "_b.grp", (F.col("_b.e") / F.col("_t")).alias("weight")
+    )
+
+
 def weighted_combine(assigned: DataFrame, group_values: DataFrame, shared: Column, row: str = "vec_id") -> DataFrame:
     """Sum of the weighted values of a row's groups, plus a term every row gets.
 

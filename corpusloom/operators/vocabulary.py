@@ -29,7 +29,7 @@ from corpusloom.functions.text import (
     printable_byte,
     text_or_empty,
 )
-from corpusloom.session import cut, ship
+from corpusloom.session import cut, release, ship
 
 SYMBOL_BASE = 256
 _SURROGATES = (0xD800, 0xE000)
@@ -348,7 +348,7 @@ def train(
     while len(raw) < vocab_size:
         if len(pending) >= rebase:
             fresh = cut(_replayed(current, pending), "symbols").persist()
-            current.unpersist()
+            release(current.unpersist())
             current, pending = fresh, []
         if not best.counts:
             best.refill(line_pair_counts(current, pending))
@@ -363,7 +363,8 @@ def train(
         elif len(raw) < vocab_size:
             best.update(pair_changes(current, accepted, pending).collect(), set(range(size, len(raw))))
         pending += accepted
-    current.unpersist()
+    release(current.unpersist())
+    release(words)
     return vocab
 
 

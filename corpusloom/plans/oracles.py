@@ -285,6 +285,7 @@ ORACLES: dict[str, str] = {
         cross join {EXPERT_ROWS} x left join counts using (step, layer, expert))
       select step, layer, expert, n, round(-0.001::double * sum(sign(n - total / {len(fx.EXPERTS)})) over (partition by layer, expert order by step), 6) as bias from grid""",
     "topk_routing": f"with {ROUTED} select vec_id, place, grp, round(weight, 6) as weight from routed",
+    "topk_routing_blocks": f"with {ROUTED} select vec_id, place, grp, round(weight, 6) as weight from routed",
     "weighted_combine": f"""with {ROUTED}, vals as (select label::int as grp, avg(vec_id) as value from embeddings group by label)
       select vec_id, round(sum(weight * value) + first(vec_id) * 0.5::double, 6) as combined from routed join vals using (grp) group by vec_id""",
     "heldout_ce": f"""with {BYTE_TOKENS}, {REGION},

@@ -443,6 +443,14 @@ def topk_routing(spark, sf):
     return _routed(spark, sf).select("vec_id", "place", "grp", r6("weight").alias("weight"))
 
 
+@query
+def topk_routing_blocks(spark, sf):
+    """The same with a gate that stays a table, in blocks of a few groups."""
+    gate = routing.label_centroids(fx.embeddings(spark, sf)).select(F.col("label").alias("grp"), "centroid", (0.1 * (F.col("label") % 3)).alias("bias"))
+    routed = routing.topk_routing_blocks(fx.embeddings(spark, sf).select("vec_id", "embedding"), gate, block_groups=4)
+    return routed.select("vec_id", "place", "grp", r6("weight").alias("weight"))
+
+
 @query
 def weighted_combine(spark, sf):
     values = fx.embeddings(spark, sf).groupBy(F.col("label").alias("grp")).agg(F.avg("vec_id").alias("value"))

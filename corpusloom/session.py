@@ -39,7 +39,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing reads any more, as a loop leaves them behind.
+
+    What was made from it must be written by then: a lost executor could not read it again.
+    """
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

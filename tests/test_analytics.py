@@ -130,3 +130,19 @@ def test_decayed_state_with_a_hot_key(spark, parts):
     got = recurrence.decayed_state(df, "user", ["t"], partitions=parts).collect()
     assert {r.t: r.h for r in got} == pytest.approx(want)
     assert all(r.readout == 2 * r.h for r in got)
+
+
+def test_a_gate_in_blocks_equals_the_whole_gate(spark):
+    rng = np.random.default_rng(7)
+    gate, bias = rng.normal(size=(60, 4)), [0.1 * (g % 3) for g in range(60)]
+    gate[40] = gate[3]
+    gate[41] = gate[3]
+    rows = [(i, "x", rng.normal(size=4).tolist()) for i in range(300)] + [(900, "x", [0.0] * 4)]
+    vecs = spark.createDataFrame(rows, "vec_id long, grp string, embedding array<float>")
+    table = spark.createDataFrame([(g, gate[g].tolist(), bias[g]) for g in range(60)], "grp int, centroid array<double>, bias double")
+    want = routing.topk_routing(vecs.drop("grp"), list(range(60)), gate, bias, 3).orderBy("vec_id", "place").collect()
+    for block in (7, 1 << 15):
+        got = routing.topk_routing_blocks(vecs.drop("grp"), table, 3, block_groups=block).orderBy("vec_id", "place").collect()
+        assert [(r.vec_id, r.place, r.grp) for r in got] == [(r.vec_id, r.place, r.grp) for r in want]
+        assert np.allclose([r.weight for r in got], [r.weight for r in want])
+    assert routing.topk_routing_blocks(vecs.drop("grp"), table.where("false")).count() == 0

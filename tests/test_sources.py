@@ -245,7 +245,7 @@ def test_merged_store_moves_with_its_parts(spark, tmp_path):
     assert not [r.part for r in token_store.manifest(spark, f"{tmp_path}/b/c/merged").collect() if str(tmp_path) in r.part]
 
 
-def arrivals(spark, path, counts):
+def token_arrivals(spark, path, counts):
     """One file per micro-batch; row ``i`` has ``i % 5`` tokens, all of them ``i``."""
     at = 0
     for k, n in enumerate(counts):
@@ -259,7 +259,7 @@ def test_stream_to_store_and_back(spark, tmp_path):
     store, ck = f"{tmp_path}/store", f"{tmp_path}/ck"
     stream = lambda most=1: corpus.stream(spark, f"{tmp_path}/in", "i long, ids array<int>", max_files=most)
     want = [i for i in range(17) for _ in range(i % 5)]
-    arrivals(spark, f"{tmp_path}/in", [7, 0, 5])
+    token_arrivals(spark, f"{tmp_path}/in", [7, 0, 5])
     token_stream.write_stream(stream(), store, ck, 300)
     held = flat(token_store.read(spark, store, 300))
     assert held == want[:len(held)] and len(held) == sum(i % 5 for i in range(12))
