@@ -44,6 +44,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.scan(spark, f"{sf}/documents.parquet", "doc_id", "text")
 
 
+def arriving_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as a stream."""
+    return corpus.stream_table(spark, f"{sf}/documents.parquet", docs(spark, sf).schema)
+
+
 def docs_dirty(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with missing texts, blank texts and special tokens inside texts."""
     text = (

@@ -56,9 +56,9 @@ def file_select(spark, sf):
 @query
 def corpus_stream(spark, sf):
     path = scratch_path(spark, "stream")
-    schema = fx.docs(spark, sf).schema
-    corpus.drain(corpus.stream(spark, sf, schema, glob="documents.parquet"), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    docs = fx.arriving_docs(spark, sf)
+    corpus.drain(docs, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(docs.schema).parquet(f"{path}/out")
 
 
 @query
@@ -500,7 +500,7 @@ def decayed_state(spark, sf):
 @query
 def stream_encode(spark, sf):
     vocab, path = fx.vocabulary(spark, sf), scratch_path(spark, "encoded")
-    docs = corpus.stream(spark, sf, fx.docs(spark, sf).schema, glob="documents.parquet")
+    docs = fx.arriving_docs(spark, sf)
     stream_encoding.stream_encode(docs, vocab, path, f"{path}/checkpoint")
     return as_text(stream_encoding.encoded(spark, path).select("doc_id", "ids"), "ids")
 
@@ -509,7 +509,7 @@ def stream_encode(spark, sf):
 def stream_encode_capped(spark, sf):
     """All documents arrive in one micro-batch; the budget counts batches of rows inside it."""
     vocab, path = fx.vocabulary(spark, sf), scratch_path(spark, "capped")
-    docs = corpus.stream(spark, sf, fx.docs(spark, sf).schema, glob="documents.parquet")
+    docs = fx.arriving_docs(spark, sf)
     stream_encoding.stream_encode(docs, vocab, path, f"{path}/checkpoint", max_tokens=fx.STREAM_TOKENS, batch_rows=fx.STREAM_ROWS)
     return stream_encoding.encoded(spark, path).select("doc_id", F.size("ids").cast("long").alias("n"))
 
@@ -519,8 +519,8 @@ def stream_sink(spark, sf):
     """Documents stream into a token store in one step, which is then read in windows."""
     ship(spark)
     path = scratch_path(spark, "sink")
-    docs = corpus.stream(spark, sf, fx.docs(spark, sf).schema, glob="documents.parquet")
-    token_stream.write_stream(fx.with_byte_ids(docs), f"{path}/store", f"{path}/checkpoint", fx.BYTE_VOCAB)
+    docs = fx.arriving_docs(spark, sf)
+    token_stream.write_stream(docs, f"{path}/store", f"{path}/checkpoint", fx.BYTE_VOCAB, order="doc_id", to_ids=fx.with_byte_ids)
     blocks = token_store.read(spark, f"{path}/store", fx.BYTE_VOCAB)
     return as_text(packing.cut_windows(blocks, fx.SEQ_LEN, fx.SEQ_LEN + 1), "tokens")
 

@@ -57,6 +57,15 @@ def stream(
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType | str, **limits) -> DataFrame:
+    """A table as a stream, be it one Parquet file or a folder of them.
+
+    A stream takes a plain path for a folder, and a name filter looks at the files inside;
+    a pattern that only the path itself matches takes both.
+    """
+    return stream(spark, re.sub(r"([^/])/*$", r"[\1]", path), schema, **limits)
+
+
 def drain(stream_df: DataFrame, path: str, checkpoint: str) -> None:
     """Write everything a stream holds now to a Parquet folder, then stop."""
     (

@@ -3,7 +3,8 @@
 As a sink, every task of a micro-batch writes its rows, as they arrive, into a part of its
 own; committing the micro-batch adds one file to the store's manifest. The file is named
 by the micro-batch, so one that runs again after a failure is in the store once, whichever
-attempt was committed. The stream's order is that of micro-batches, partitions and rows.
+attempt was committed. The stream's order is that of micro-batches, partitions and rows;
+inside a micro-batch it can be that of a column, for input that comes in several files.
 
 As a source, the offset is a token position. Parts that were added since are read once,
 and a query that restarts goes on where its checkpoint says.
@@ -12,15 +13,16 @@ and a query that restarts goes on where its checkpoint says.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, DataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, DataSourceStreamReader, WriterCommitMessage
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.functions.ids import id_width
@@ -120,6 +122,22 @@ class StreamSink(DataSourceStreamArrowWriter):
                     files.delete_file(f"{root}/{part.name}.{kind}")
 
 
+class SortedSink(DataSourceArrowWriter):
+    """A micro-batch that was sorted, which Spark does in a batch only; else the same sink."""
+
+    def __init__(self, sink: StreamSink, epoch: int):
+        self.sink, self.epoch = sink, epoch
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskPart:
+        return self.sink.write(iterator)
+
+    def commit(self, messages) -> None:
+        self.sink.commit(messages, self.epoch)
+
+    def abort(self, messages) -> None:
+        self.sink.abort(messages, self.epoch)
+
+
 class StreamSource(DataSourceStreamReader):
     """Offsets are token positions. A micro-batch takes all that was added since the last
     one, in ranges of bounded size, one a task."""
@@ -158,16 +176,32 @@ class TokenStream(DataSource):
             self.options["path"], id_width(int(self.options["vocab_size"])), int(self.options.get("max_tokens", 0)), int(self.options.get("batch_rows", 2_000))
         )
 
+    def writer(self, schema, overwrite: bool) -> SortedSink:
+        return SortedSink(self.streamWriter(schema, overwrite), int(self.options["epoch"]))
 
-def write_stream(encoded: DataFrame, path: str, checkpoint: str, vocab_size: int, max_tokens: int = 0, batch_rows: int = 2_000) -> None:
-    """Write a stream of ``ids`` to a store until its input or the budget ends.
+
+class BudgetReached(Exception):
+    """Ends the query before a micro-batch that is past the budget is committed."""
+
+
+def write_stream(
+    encoded: DataFrame, path: str, checkpoint: str, vocab_size: int, max_tokens: int = 0, batch_rows: int = 2_000,
+    order: str | None = None, to_ids: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
+    """Write a stream of ``ids``, or of rows that ``to_ids`` gives them, to a store until its
+    input or the budget ends.
 
     The budget is looked at every ``batch_rows`` rows of the stream; what follows the batch
-    that reaches it is not kept, and the query stops.
+    that reaches it is not kept, and the query stops. With ``order`` rows lie in order of
+    that column inside a micro-batch, sorted before ``to_ids``, whatever files they came in.
     """
     spark = encoded.sparkSession
     ship(spark)
     spark.dataSource.register(TokenStream)
+    if order:
+        _write_sorted(encoded, path, checkpoint, vocab_size, max_tokens, batch_rows, order, to_ids)
+        return
+    encoded = to_ids(encoded)
     sink = encoded.select("ids").writeStream.format("tokenstream").option("vocab_size", vocab_size).option("path", path)
     run = sink.option("max_tokens", max_tokens).option("batch_rows", batch_rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     while not run.awaitTermination(2):
@@ -175,6 +209,23 @@ def write_stream(encoded: DataFrame, path: str, checkpoint: str, vocab_size: int
             _stop(run)
 
 
+def _write_sorted(rows: DataFrame, path: str, checkpoint: str, vocab_size: int, max_tokens: int, batch_rows: int, order: str, to_ids) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if max_tokens and stored_tokens(path) >= max_tokens:
+            raise BudgetReached
+        batch.sparkSession.dataSource.register(TokenStream)
+        ids = to_ids(batch.repartitionByRange(order).sortWithinPartitions(order)).select("ids")
+        sink = ids.write.format("tokenstream").option("vocab_size", vocab_size).option("max_tokens", max_tokens)
+        sink.option("batch_rows", batch_rows).option("epoch", batch_id).mode("append").save(path)
+
+    run = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        run.awaitTermination()
+    except StreamingQueryException as error:
+        if BudgetReached.__name__ not in str(error):
+            raise
+
+
 def _stop(run: StreamingQuery) -> None:
     run.stop()
     run.awaitTermination()
