@@ -31,10 +31,10 @@ def byte_ids(text: Column, offset: int = 3) -> Column:
 
     @arrow_udf("array<int>")
     def to_ids(texts: pa.Array) -> pa.Array:
-        raw = texts.cast(pa.binary())
-        sizes = np.asarray(pa.compute.binary_length(raw).fill_null(0), dtype=np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        data = np.frombuffer(b"".join(b or b"" for b in raw.to_pylist()), dtype=np.uint8)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(data.astype(np.int32) + offset))
+        raw = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset:raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+        values = np.add(data, offset, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(values))
 
     return to_ids(text)

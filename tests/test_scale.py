@@ -46,3 +46,19 @@ def test_sorted_sink_stops_at_its_budget(spark, tmp_path):
         token_stream.write_stream(docs, f"{tmp_path}/s{cap}", f"{tmp_path}/ck{cap}", 300, max_tokens=cap, batch_rows=4, order="i")
         blocks = token_store.read(spark, f"{tmp_path}/s{cap}", 300).orderBy("start").collect()
         assert [t for b in blocks for t in b.ids] == [i for i in range(n) for _ in range(2)]
+
+
+def test_python_gets_batches_of_bounded_bytes(spark):
+    ship(spark)
+
+    @arrow_udf("long")
+    def size(batch: pa.Array) -> pa.Array:
+        return pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    long_texts = spark.range(600, numPartitions=1).select(F.repeat(F.lit("0123456789"), 5_000).alias("t"))
+    assert long_texts.select(size("t").alias("n")).agg(F.max("n")).first()[0] < 8 << 20
+
+
+def test_byte_ids_of_nulls_and_empty_texts(spark):
+    df = spark.createDataFrame([(0, "aé"), (1, None), (2, ""), (3, "b")], DOCS).coalesce(1)
+    assert [r[0] for r in df.orderBy("doc_id").select(byte_ids(F.col("text"))).collect()] == [[100, 198, 172], [], [], [101]]
