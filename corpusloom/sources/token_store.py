@@ -36,6 +36,10 @@ from corpusloom.sources.vocab_store import exists
 MANIFEST = "manifest.parquet"
 PART_TOKENS = 64 << 20
 BLOCK_TOKENS = 1 << 16
+#: Small ranges are put together to so many tokens a task, and to more in a store that has
+#: so many tasks by then.
+TASK_TOKENS = 1 << 20
+TASKS = 256
 SCHEMA = "start long, ids array<int>"
 
 
@@ -59,13 +63,20 @@ class PartsWritten(WriterCommitMessage):
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     file: str
     offset: int
     start: int
     tokens: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What a task reads: ranges that follow each other, in one part or in several."""
+
+    ranges: list[ByteRange]
+
+
 class StoreWriter(DataSourceArrowWriter):
     def __init__(self, path: str, width: int, part_tokens: int):
         self.path, self.width, self.part_tokens = path, width, part_tokens
@@ -156,7 +167,22 @@ class StoreReader(DataSourceReader):
     def __init__(self, path: str, width: int, range_tokens: int, ranges: list[tuple[int, int]] | None = None):
         self.path, self.width, self.range_tokens, self.ranges = path, width, range_tokens, ranges
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
+        """Ranges of at most ``range_tokens``, as many of them a task as make it worth while:
+        tasks grow with the tokens of a store, not with the number of its parts."""
+        ranges = self._ranges()
+        most = max(TASK_TOKENS, min(PART_TOKENS, sum(r.tokens for r in ranges) // TASKS))
+        tasks, held = [], 0
+        for r in ranges:
+            if tasks and held + r.tokens <= most:
+                tasks[-1].ranges.append(r)
+            else:
+                tasks.append(ByteRanges([r]))
+                held = 0
+            held += r.tokens
+        return tasks
+
+    def _ranges(self) -> list[ByteRange]:
         files, root = _filesystem(self.path)
         info = files.get_file_info(root)
         if info.type == fs.FileType.File:
@@ -173,20 +199,19 @@ class StoreReader(DataSourceReader):
                 out += [ByteRange(file, at * self.width, start + at, min(self.range_tokens, b - at)) for at in range(a, b, self.range_tokens)]
         return out
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing to read at all
-            return
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
         files, _ = _filesystem(self.path)
-        with files.open_input_file(partition.file) as f:
-            for at in range(0, partition.tokens, BLOCK_TOKENS):
-                n = min(BLOCK_TOKENS, partition.tokens - at)
-                raw = f.read_at(n * self.width, partition.offset + at * self.width)
-                values = np.frombuffer(raw, dtype=_dtype(self.width)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.start + at], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))],
-                    names=["start", "ids"],
-                )
+        for part in partition.ranges if partition else ():  # None: nothing to read at all
+            with files.open_input_file(part.file) as f:
+                for at in range(0, part.tokens, BLOCK_TOKENS):
+                    n = min(BLOCK_TOKENS, part.tokens - at)
+                    raw = f.read_at(n * self.width, part.offset + at * self.width)
+                    values = np.frombuffer(raw, dtype=_dtype(self.width)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.start + at], pa.int64()),
+                         pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))],
+                        names=["start", "ids"],
+                    )
 
 
 class TokenStore(DataSource):

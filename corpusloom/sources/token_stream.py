@@ -27,7 +27,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.functions.ids import id_width
 from corpusloom.session import ship
-from corpusloom.sources.token_store import MANIFEST, PART_TOKENS, SCHEMA, ByteRange, StoreReader, _dtype, _filesystem
+from corpusloom.sources.token_store import MANIFEST, PART_TOKENS, SCHEMA, ByteRanges, StoreReader, _dtype, _filesystem
 
 #: What a manifest file of a micro-batch holds; ``rows`` counts documents, for the budget.
 EPOCH = pa.schema([("part", pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("rows", pa.int64()), ("epoch", pa.int64())])
@@ -151,12 +151,12 @@ class StreamSource(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"tokens": stored_tokens(self.path)}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[ByteRanges]:
         if start["tokens"] >= end["tokens"]:
             return []
         return StoreReader(self.path, self.width, self.range_tokens, [(start["tokens"], end["tokens"])]).partitions()
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         return StoreReader(self.path, self.width, self.range_tokens).read(partition)
 
 

@@ -62,3 +62,14 @@ def test_python_gets_batches_of_bounded_bytes(spark):
 def test_byte_ids_of_nulls_and_empty_texts(spark):
     df = spark.createDataFrame([(0, "aé"), (1, None), (2, ""), (3, "b")], DOCS).coalesce(1)
     assert [r[0] for r in df.orderBy("doc_id").select(byte_ids(F.col("text"))).collect()] == [[100, 198, 172], [], [], [101]]
+
+
+def test_read_tasks_follow_tokens_not_parts(tmp_path):
+    writer = token_store.StoreWriter(f"{tmp_path}/s", 2, 100)
+    rows = pa.RecordBatch.from_pydict({"start": pa.array(range(0, 50_000, 100), pa.int64()), "ids": pa.array([[i % 300] * 100 for i in range(500)], pa.list_(pa.int32()))})
+    writer.commit([writer.write(iter([rows]))])
+    reader = token_store.StoreReader(f"{tmp_path}/s", 2, 50)
+    tasks = reader.partitions()
+    assert len(tasks) == 1 and len(tasks[0].ranges) == 1_000
+    blocks = sorted((b["start"][0].as_py(), b["ids"][0].as_py()) for t in tasks for b in reader.read(t))
+    assert [t for _, ids in blocks for t in ids] == [i % 300 for i in range(500) for _ in range(100)]
