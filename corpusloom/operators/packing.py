@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.positions import BUCKET, BUCKET_BEFORE, BUCKET_TOTAL, id_bucket, running_totals
+from corpusloom.operators.positions import id_bucket, running_totals
 
 
 def token_count(ids: str = "ids") -> Column:
@@ -22,8 +22,7 @@ def stream_positions(
     ``encoded`` is read twice, so it should be a stored table rather than pending work.
     """
     return running_totals(
-        encoded, {"start": token_count()},
-        bucket=id_bucket(order), order=[order], by=by, keep_bucket=True,
+        encoded, {"start": token_count()}, bucket=id_bucket(order), order=[order], by=by,
     )
 
 
@@ -41,18 +40,16 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
 
     Optional columns: ``origin`` moves window 0 of a group, ``n_windows`` bounds them.
 
-    A window whose tokens all lie in one position bucket is put together where the
-    bucket already is; just the few that span buckets are shuffled again. Rows without
-    buckets, such as stored blocks, are taken as long runs: a window inside one row is a
-    plain slice of it. No group is larger than one window.
+    A window whose tokens all lie in one row is a plain slice of it. Of the others, which
+    span rows, only the pieces are shuffled and put together. No group is larger than one
+    window.
     """
-    bucketed = BUCKET in positioned.columns
     by = list(by)
     size = seq_len + 1
     start, end = F.col("start"), F.col("start") + token_count()
     origin = F.col("origin") if "origin" in positioned.columns else F.lit(0).cast("long")
     rows = positioned.select(
-        *by, *([BUCKET, BUCKET_BEFORE, BUCKET_TOTAL] if bucketed else []), "start", "ids",
+        *by, "start", "ids",
         origin.alias("_o"), end.alias("_end"),
         F.greatest(F.floor((start - origin - size) / stride) + 1, F.lit(0)).cast("long").alias("_first"),
         F.least(
@@ -66,20 +63,12 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
     lo = F.greatest("_w", "start")
     piece = _clip(lo, F.least(F.col("_w") + size, F.col("_end")))
 
-    def assemble(part: DataFrame, keys: list[str]) -> DataFrame:
-        # The piece is cut before grouping, so no copy of a whole document per window.
-        pieces = part.select(*keys, F.struct(lo.alias("at"), piece.alias("ids")).alias("piece"))
-        grouped = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list("piece")).alias("p"))
-        return grouped.select(*by, "window", F.flatten("p.ids").alias("tokens")).where(F.size("tokens") == size)
-
-    if bucketed:
-        first, last = F.col(BUCKET_BEFORE), F.col(BUCKET_BEFORE) + F.col(BUCKET_TOTAL)
-    else:
-        first, last = F.col("start"), F.col("_end")
-    inside = (F.col("_w") >= first) & (F.col("_w") + size <= last)
-    near = rows.where(inside)
-    near = assemble(near, [*by, BUCKET, "window"]) if bucketed else near.select(*by, "window", piece.alias("tokens"))
-    return near.unionByName(assemble(rows.where(~inside), [*by, "window"]))
+    inside = (F.col("_w") >= F.col("start")) & (F.col("_w") + size <= F.col("_end"))
+    whole = rows.where(inside).select(*by, "window", piece.alias("tokens"))
+    # The piece is cut before grouping, so no copy of a whole document per window.
+    pieces = rows.where(~inside).select(*by, "window", F.struct(lo.alias("at"), piece.alias("ids")).alias("piece"))
+    spanning = pieces.groupBy(*by, "window").agg(F.flatten(F.sort_array(F.collect_list("piece"))["ids"]).alias("tokens"))
+    return whole.unionByName(spanning.where(F.size("tokens") == size))
 
 
 def pack_overlapping(encoded: DataFrame, seq_len: int, by: Sequence[str] = ("shard",), order: str = "doc_id") -> DataFrame:

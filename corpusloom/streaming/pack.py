@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.packing import cut_windows, stream_positions, token_count
-from corpusloom.operators.positions import id_bucket, row_ranks
+from corpusloom.operators.positions import id_bucket, row_ranks, running_totals
 from corpusloom.session import cut
 
 STATE = "shard int, windows long, rows long, tail array<int>"
@@ -27,23 +27,26 @@ def stream_pack(docs: DataFrame, to_ids, path: str, checkpoint: str, seq_len: in
         seen = state.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("r")).first()["r"]
         ranked = row_ranks(batch, "row", bucket=id_bucket("doc_id"), order=["doc_id"])
         ranked = ranked.withColumn("shard", F.pmod(F.col("row") + seen, F.lit(shards)).cast("int"))
-        fresh = cut(to_ids(ranked).select("shard", "doc_id", "ids"), "arrivals")
-        held = state.select("shard", F.lit(-1).cast("long").alias("doc_id"), F.col("tail").alias("ids"))
+        fresh = cut(to_ids(ranked).select("shard", "row", "ids"), "arrivals")
+        held = state.select("shard", F.lit(-1).cast("long").alias("row"), F.col("tail").alias("ids"))
         pending = held.unionByName(fresh)
-        positioned = stream_positions(pending, ["shard"])
+        positioned = stream_positions(pending, ["shard"], "row")
         lengths = pending.groupBy("shard").agg(F.sum(token_count()).alias("len"))
         new = F.greatest(F.floor((F.col("len") - 1) / seq_len), F.lit(0)).cast("long")
         lengths = state.select("shard", "windows").join(lengths, "shard", "left").select(
             "shard", "windows", F.coalesce(new, F.lit(0)).alias("new")
         )
-        rows = positioned.join(lengths, "shard")
-        windows = cut_windows(positioned, seq_len, seq_len, ["shard"]).join(state.select("shard", "windows"), "shard")
+        windows = cut_windows(positioned, seq_len, seq_len, ["shard"]).join(F.broadcast(state.select("shard", "windows")), "shard")
         windows.select(
             "shard", (F.col("windows") + F.col("window")).alias("window"), "tokens"
         ).write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
 
+        # What is left over is found by sizes, so ids move once; a shard has ``seq_len`` such rows at most.
         first = F.col("new") * seq_len
-        rest = rows.where(F.col("start") + token_count() > first).withColumn(
+        sizes = pending.select("shard", "row", token_count().alias("n")).where("n > 0")
+        placed = running_totals(sizes, {"start": F.col("n")}, bucket=id_bucket("row"), order=["row"], by=["shard"])
+        last = placed.join(F.broadcast(lengths.select("shard", "new")), "shard").where(F.col("start") + F.col("n") > first)
+        rest = pending.join(F.broadcast(last.select("shard", "row", "start", "new")), ["shard", "row"]).withColumn(
             "ids", F.when(F.col("start") >= first, F.col("ids")).otherwise(
                 F.slice("ids", (first - F.col("start") + 1).cast("int"), F.size("ids"))
             )

@@ -73,3 +73,17 @@ def test_read_tasks_follow_tokens_not_parts(tmp_path):
     assert len(tasks) == 1 and len(tasks[0].ranges) == 1_000
     blocks = sorted((b["start"][0].as_py(), b["ids"][0].as_py()) for t in tasks for b in reader.read(t))
     assert [t for _, ids in blocks for t in ids] == [i % 300 for i in range(500) for _ in range(100)]
+
+
+def test_only_pieces_of_spanning_windows_are_shuffled(spark):
+    """A window inside a row is a slice of it: nothing but the pieces at borders is grouped."""
+    rows = spark.createDataFrame([(i * 1_000, list(range(1_000))) for i in range(8)], "start long, ids array<int>")
+    windows = packing.cut_windows(rows, 4, 5)
+    assert windows.count() == 1_600
+    text = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("collect_list") == 1 and "_bucket" not in text
+    positioned = packing.stream_positions(spark.createDataFrame([(i, [i] * (i % 9)) for i in range(300)], "doc_id long, ids array<int>"))
+    assert "_bucket" not in positioned.columns
+    flat = [i for i in range(300) for _ in range(i % 9)]
+    got = {r.window: r.tokens for r in packing.cut_windows(positioned, 4, 5).collect()}
+    assert got == {w: flat[w * 5:w * 5 + 5] for w in range(len(flat) // 5)}
