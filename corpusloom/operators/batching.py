@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rounds of the permutation, and walks out of its range that are followed. The range
@@ -66,11 +66,21 @@ def window_at(places: DataFrame, n_windows: int, seed: int = 0) -> DataFrame:
     return places.withColumn("window", permuted(F.col("place"), F.lit(seed) + F.col("shard"), n_windows, inverse=True))
 
 
-def batches(placed: DataFrame, batch_size: int, workers: int) -> DataFrame:
+def equal_shards(spark: SparkSession, shards: int, n_windows: int) -> DataFrame:
+    """``(shard, windows)`` of equal shards, for ``batches``."""
+    return spark.range(shards).select(F.col("id").alias("shard"), F.lit(n_windows).cast("long").alias("windows"))
+
+
+def batches(placed: DataFrame, batch_size: int, workers: int, sizes: DataFrame | None = None) -> DataFrame:
     """Batch, slot and feed order of every window.
 
     ``shard = rank * workers + worker``. The workers of a rank take turns; one that has
     run out is passed over, so the feed order counts what the others still give.
+
+    With ``sizes(shard, windows)``, the windows of every shard where they are known
+    beforehand, windows are not counted, and may have any other columns: each finds its
+    place by itself, without a join. ``spot`` is then its place among all windows, ranks
+    after each other, by feed and slot.
     """
     rows = placed.withColumns({
         "rank": F.floor(F.col("shard") / workers).cast("int"),
@@ -78,16 +88,29 @@ def batches(placed: DataFrame, batch_size: int, workers: int) -> DataFrame:
         "batch": F.floor(F.col("place") / batch_size).cast("long"),
         "slot": F.pmod("place", F.lit(batch_size)).cast("int"),
     })
-    per_worker = rows.groupBy("rank", "worker").agg((F.max("batch") + 1).alias("n"))
+    if sizes is None:
+        per_worker = rows.groupBy("rank", "worker").agg((F.max("batch") + 1).alias("n"), F.count(F.lit(1)).alias("k"))
+    else:
+        per_worker = sizes.where("windows > 0").select(
+            F.floor(F.col("shard") / workers).cast("int").alias("rank"), F.pmod("shard", F.lit(workers)).cast("int").alias("worker"),
+            F.ceil(F.col("windows") / batch_size).cast("long").alias("n"), F.col("windows").alias("k"),
+        )
     per_rank = per_worker.groupBy("rank").agg(
-        F.collect_list(F.struct("worker", "n")).alias("given"), F.sum("n").alias("rank_batches")
+        F.collect_list(F.struct("worker", "n", "k")).alias("given"), F.sum("n").alias("rank_batches"), F.sum("k").alias("_k")
     )
     earlier = F.aggregate(
         "given", F.lit(0).cast("long"),
         lambda acc, g: acc + F.least(g["n"], F.col("batch") + (g["worker"] < F.col("worker")).cast("long")),
     )
     # One row per rank, each with one entry per worker.
-    return rows.join(F.broadcast(per_rank), "rank").withColumn("feed", earlier).drop("given")
+    if sizes is None:
+        return rows.join(F.broadcast(per_rank.drop("_k")), "rank").withColumn("feed", earlier).drop("given")
+    ranks = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    per_rank = per_rank.withColumn("_k", F.coalesce(F.sum("_k").over(ranks), F.lit(0)))
+    ahead = F.aggregate(
+        "given", F.col("_k"), lambda acc, g: acc + F.least(g["k"], (F.col("batch") + (g["worker"] < F.col("worker")).cast("long")) * batch_size)
+    )
+    return rows.join(F.broadcast(per_rank), "rank").withColumns({"feed": earlier, "spot": ahead + F.col("slot")}).drop("given", "_k")
 
 
 def take_batches(batched: DataFrame, n: int) -> DataFrame:

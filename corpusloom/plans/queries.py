@@ -309,9 +309,13 @@ def tail_split(spark, sf):
     return packing.tail_split(positioned, end).select("doc_id", "split", "start", packing.token_count().alias("n"))
 
 
-def _train_order(spark, sf):
+def _shard_windows(spark, sf) -> int:
     end = packing.split_point(fx.byte_total(spark, sf), fx.SEQ_LEN, fx.BATCH, fx.EVAL_STEPS)
-    n = packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
+    return packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
+
+
+def _train_order(spark, sf):
+    n = _shard_windows(spark, sf)
     return batching.seeded_shuffle(batching.window_grid(spark, fx.SHARDS, n), n, fx.SEED)
 
 
@@ -321,7 +325,16 @@ def _eval_windows(spark, sf):
 
 
 def _train_batches(spark, sf):
-    return batching.batches(_train_order(spark, sf), fx.BATCH, fx.WORKERS)
+    sizes = batching.equal_shards(spark, fx.SHARDS, _shard_windows(spark, sf))
+    return batching.batches(_train_order(spark, sf), fx.BATCH, fx.WORKERS, sizes)
+
+
+def _train_feed(spark, sf):
+    """Windows of the training region with their places in the feed."""
+    positioned, _, end = _regions(spark, sf)
+    n = packing.shard_windows(end, fx.SHARDS, fx.SEQ_LEN)
+    windows = packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
+    return batching.batches(batching.seeded_shuffle(windows, n, fx.SEED), fx.BATCH, fx.WORKERS, batching.equal_shards(spark, fx.SHARDS, n)), n
 
 
 @query
@@ -356,10 +369,7 @@ def budget_report(spark, sf):
 @query
 def training_feed(spark, sf):
     """Windows in the order ranks read them: the stream cut, shuffled, batched and shifted."""
-    positioned, _, end = _regions(spark, sf)
-    windows = packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
-    order = _train_batches(spark, sf).select("shard", "window", "rank", "feed", "slot")
-    fed = packing.shift_targets(windows.join(order, ["shard", "window"]), fx.SEQ_LEN)
+    fed = packing.shift_targets(_train_feed(spark, sf)[0], fx.SEQ_LEN)
     return as_text(fed.select("rank", "feed", "slot", "x", "y"), "x", "y")
 
 
@@ -367,10 +377,11 @@ def training_feed(spark, sf):
 def feed_resume(spark, sf):
     """The feed as files, opened in the middle: steps across the end of an epoch."""
     ship(spark)
-    positioned, _, end = _regions(spark, sf)
-    windows = packing.contiguous_shards(positioned, fx.SEQ_LEN, fx.SHARDS, 0, end)
-    path = scratch_path(spark, "feed")
-    index = feed_store.write(windows, _train_batches(spark, sf), path, fx.SEQ_LEN, fx.BYTE_VOCAB, fx.PART_TOKENS)
+    (windows, n), path = _train_feed(spark, sf), scratch_path(spark, "feed")
+    # The index needs places, not which window each place holds.
+    places = batching.window_grid(spark, fx.SHARDS, n).withColumnRenamed("window", "place")
+    order = batching.batches(batching.window_at(places, n, fx.SEED), fx.BATCH, fx.WORKERS, batching.equal_shards(spark, fx.SHARDS, n))
+    index = feed_store.write(windows, order, path, fx.SEQ_LEN, fx.BYTE_VOCAB, fx.PART_TOKENS)
     batches_of = index.where("rank = 0").count()
     from_step = max(0, batches_of // fx.GRAD_ACCUM - fx.RESUME_STEPS // 2)
     steps = feed_store.read_steps(spark, path, fx.SEQ_LEN, fx.BYTE_VOCAB, from_step, fx.RESUME_STEPS, fx.GRAD_ACCUM)

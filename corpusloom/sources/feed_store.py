@@ -43,13 +43,18 @@ def write(
 ) -> DataFrame:
     """Write ``windows(shard, window, tokens)`` in ``order(shard, window, rank, feed, slot, worker, batch)``; returns the index.
 
-    The index is written last: without one a store is not complete and is written anew.
+    Windows that know their ``spot`` in the feed already, as ``batches`` gives it, are not
+    joined with the order. The index is written last: without one a store is not complete
+    and is written anew.
     """
     spark = windows.sparkSession
     if force or not exists(spark, f"{path}/{INDEX}"):
         index = cut(feed_index(order, seq_len), "feed_index")
-        spot = order.select("shard", "window", "rank", "feed", "slot").join(index.select("rank", "feed", "start"), ["rank", "feed"])
-        placed = windows.join(spot, ["shard", "window"]).select((F.col("start") + F.col("slot") * (seq_len + 1)).alias("start"), F.col("tokens").alias("ids"))
+        if "spot" in windows.columns:
+            placed = windows.select((F.col("spot") * (seq_len + 1)).alias("start"), F.col("tokens").alias("ids"))
+        else:
+            spot = order.select("shard", "window", "rank", "feed", "slot").join(index.select("rank", "feed", "start"), ["rank", "feed"])
+            placed = windows.join(spot, ["shard", "window"]).select((F.col("start") + F.col("slot") * (seq_len + 1)).alias("start"), F.col("tokens").alias("ids"))
         token_store.write(placed, f"{path}/{STORE}", vocab_size, part_tokens // (seq_len + 1) * (seq_len + 1), force=True)
         index.repartitionByRange("rank", "feed").sortWithinPartitions("rank", "feed").write.mode("overwrite").parquet(f"{path}/{INDEX}")
     return read_index(spark, path)

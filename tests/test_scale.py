@@ -87,3 +87,20 @@ def test_only_pieces_of_spanning_windows_are_shuffled(spark):
     flat = [i for i in range(300) for _ in range(i % 9)]
     got = {r.window: r.tokens for r in packing.cut_windows(positioned, 4, 5).collect()}
     assert got == {w: flat[w * 5:w * 5 + 5] for w in range(len(flat) // 5)}
+
+
+def test_places_of_known_shards_need_no_count_and_no_join(spark, tmp_path):
+    shards, n, batch, workers, seq = 4, 11, 4, 2, 3
+    grid = batching.seeded_shuffle(batching.window_grid(spark, shards, n), n, 5)
+    counted = batching.batches(grid, batch, workers)
+    known = batching.batches(grid, batch, workers, batching.equal_shards(spark, shards, n))
+    columns = ["shard", "window", "rank", "worker", "batch", "slot", "feed", "rank_batches"]
+    assert sorted(map(tuple, known.select(columns).collect())) == sorted(map(tuple, counted.select(columns).collect()))
+    by_feed = sorted(known.collect(), key=lambda r: (r["rank"], r.feed, r.slot))
+    assert [r.spot for r in by_feed] == list(range(shards * n))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(seq)), lambda i: (F.col("shard") * 100 + F.col("window") + i).cast("int"))
+    paths = []
+    for name, windows in (("a", grid), ("b", known)):
+        feed_store.write(windows.withColumn("tokens", tokens), counted, f"{tmp_path}/{name}", seq, 1_000)
+        paths.append(token_store.read(spark, f"{tmp_path}/{name}/windows", 1_000).orderBy("start").collect())
+    assert [t for r in paths[0] for t in r.ids] == [t for r in paths[1] for t in r.ids] != []
