@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from corpusloom.operators import recurrence
 from corpusloom.operators.recurrence import fold
 from corpusloom.operators.training_log import closes_interval
 
+#: Groups that the keys of a stateful operator are dealt to.
+GROUPS = 1_024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,32 +59,47 @@ def intervals(spark: SparkSession, path: str) -> DataFrame:
 
 
 class DecayedState(StatefulProcessor):
-    """State of one key, carried from micro-batch to micro-batch."""
+    """States of the keys of one group, carried from micro-batch to micro-batch."""
 
-    def __init__(self, key: str, order: list[str], columns: list[str]):
-        self.key, self.order, self.columns = key, order, columns
+    def __init__(self, key: str, key_type: str, order: list[str], columns: list[str]):
+        self.key, self.key_type, self.order, self.columns = key, key_type, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("h", "h double")
+        self.state = handle.getValueState("held", f"keys array<{self.key_type}>, h array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(self.order)
-        h = self.state.get()[0] if self.state.exists() else 0.0
-        states = fold(arrived["log_a"].to_numpy(), arrived["u"].to_numpy(), h)
-        self.state.update((float(states[-1]),))
+        held = self.state.get()
+        # A group with the null key has no other.
+        keys = [None if k is None or k != k else k for k in arrived[self.key].tolist()]
+        h = dict(zip(*held)) if held else {}
+        first: dict = {}
+        codes = np.array([first.setdefault(k, len(first)) for k in keys])
+        turns = np.argsort(codes, kind="stable")
+        arrived, codes = arrived.iloc[turns], codes[turns]
+        log_a, u = arrived["log_a"].to_numpy(), arrived["u"].to_numpy()
+        states, edges = np.empty(len(codes)), np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+        for name, lo, hi in zip(first, edges, [*edges[1:], len(codes)]):
+            states[lo:hi] = fold(log_a[lo:hi], u[lo:hi], h.get(name, 0.0))
+            h[name] = float(states[hi - 1])
+        self.state.update((list(h), list(h.values())))
         yield arrived[self.columns].assign(h=states, readout=arrived["q"].to_numpy() * states)
 
     def close(self) -> None:
         pass
 
 
-def stream_decayed_state(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def stream_decayed_state(rows: DataFrame, key: str, order: list[str], groups: int = GROUPS) -> DataFrame:
     """Streaming form of ``decayed_state`` for rows that arrive in time order.
 
-    A key's rows of one micro-batch meet in one task; the source's rate limit bounds them.
+    Keys are dealt to ``groups``, whose states are read and written together: what a call
+    of the processor costs is paid per group, not per key. A stream keeps the number it
+    began with. A group's rows of one micro-batch meet in one task; the source's rate limit
+    bounds them.
     """
     use_state_store(rows.sparkSession)
     schema = rows.withColumns({"h": F.lit(0.0), "readout": F.lit(0.0)}).schema
-    return rows.groupBy(key).transformWithStateInPandas(
-        DecayedState(key, order, rows.columns), schema, outputMode="Append", timeMode="None"
+    group = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    return rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(
+        DecayedState(key, rows.schema[key].dataType.simpleString(), order, rows.columns), schema, outputMode="Append", timeMode="None"
     )

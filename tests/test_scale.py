@@ -104,3 +104,22 @@ def test_places_of_known_shards_need_no_count_and_no_join(spark, tmp_path):
         feed_store.write(windows.withColumn("tokens", tokens), counted, f"{tmp_path}/{name}", seq, 1_000)
         paths.append(token_store.read(spark, f"{tmp_path}/{name}/windows", 1_000).orderBy("start").collect())
     assert [t for r in paths[0] for t in r.ids] == [t for r in paths[1] for t in r.ids] != []
+
+
+def test_decayed_state_of_many_keys_in_few_groups(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(None if k == 3 else k, i * 40 + k, -0.5, float(rng.random()), 1.0) for i in range(9) for k in range(40)]
+    schema = "k long, at long, log_a double, u double, q double"
+    source = f"{tmp_path}/in"
+    for lo in range(0, 9, 3):
+        spark.createDataFrame(rows[lo * 40:(lo + 3) * 40], schema).coalesce(1).write.mode("append").parquet(source)
+    want, h = {}, {}
+    for k, at, log_a, u, _ in rows:
+        h[k] = h.get(k, 0.0) * np.exp(log_a) + u
+        want[(k, at)] = round(h[k], 9)
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = keyed.stream_decayed_state(docs, "k", ["at"], groups=3)
+    assert out.columns == ["k", "at", "log_a", "u", "q", "h", "readout"]
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    assert {(r.k, r.at): round(r.h, 9) for r in got} == want and len(got) == len(rows)
