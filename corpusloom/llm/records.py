@@ -37,6 +37,8 @@ FOOTER = struct.Struct("<I")
 # Fixed value: the offset added to a rotated checksum, so that checksums of data that
 # holds checksums stay unlike each other.
 MASK_DELTA = 0xA282EAD8
+#: Words that the library gets at once: its results are many times larger than their ids.
+LIBRARY_WORDS = 8_192
 END_MARKS = b".,;:!?"
 #: Letters of ASCII and Latin-1: composed already, with a lower case of their own.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -92,8 +94,10 @@ class WordEncoder:
                 out[w] = [t.id for t in tokenize(symbols)]
             else:
                 rest.append((w, text))
-        found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-        out.update((w, e.ids) for (w, _), e in zip(rest, found))
+        for at in range(0, len(rest), LIBRARY_WORDS):
+            some = rest[at:at + LIBRARY_WORDS]
+            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            out.update((w, e.ids) for (w, _), e in zip(some, found))
         return [out[w] for w in words]
 
     def _missing(self, words: list[bytes]) -> list[list[int]]:
