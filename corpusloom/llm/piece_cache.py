@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -28,10 +29,7 @@ class PieceCache:
         self.used = 0
 
     def _add(self, pieces: list) -> None:
-        found = self.encode(pieces)  # may learn parts of the pieces on the way
-        repeats = [p in self.rows for p in pieces]
-        if any(repeats):
-            pieces, found = zip(*((p, f) for p, f, r in zip(pieces, found, repeats) if not r)) if not all(repeats) else ((), ())
+        found = self.encode(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total, at = int(sizes.sum()), len(self.rows)
         while self.used + total > len(self.ids):
@@ -39,31 +37,22 @@ class PieceCache:
         while at + len(pieces) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used:self.used + total] = np.fromiter((i for f in found for i in f), np.uint32, total)
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.first[at:at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.count[at:at + len(pieces)] = sizes
         self.used += total
         self.rows.update(zip(pieces, range(at, at + len(pieces))))
 
-    def learn(self, pieces: list) -> None:
-        """Have ``encode`` find what is not known yet."""
-        new = list(dict.fromkeys(p for p in pieces if p not in self.rows))
-        if new:
-            self._add(new)
-
-    def ids_of(self, piece) -> list[int]:
-        row = self.rows.get(piece)
-        return [] if row is None else self.ids[self.first[row]:self.first[row] + self.count[row]].tolist()
-
     def gather(self, pieces: list, bounds: Sequence[int]) -> list[np.ndarray]:
         """Ids of each text; text ``i`` has the pieces ``bounds[i]:bounds[i + 1]``."""
         if len(self.rows) > MAX_PIECES or self.used > MAX_IDS:
             self.clear()
-        rows = list(map(self.rows.get, pieces))
-        if None in rows:
-            self._add(list(dict.fromkeys(p for p, r in zip(pieces, rows) if r is None)))
-            rows = list(map(self.rows.get, pieces))
-        rows = np.array(rows, np.int64)
+        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            rows[unknown] = np.fromiter(map(self.rows.__getitem__, new), np.int64, len(new))
         count = self.count[rows]
         ends = np.concatenate([[0], np.cumsum(count)])
         flat = self.ids[np.repeat(self.first[rows] - ends[:-1], count) + np.arange(ends[-1])]

@@ -39,10 +39,12 @@ FOOTER = struct.Struct("<I")
 MASK_DELTA = 0xA282EAD8
 #: Words that the library gets at once: its results are many times larger than their ids.
 LIBRARY_WORDS = 8_192
-END_MARKS = b".,;:!?"
+#: A mark at a word's end, after a letter or digit.
+END_MARK = re.compile(rb"[.,;:!?](?<=[0-9A-Za-z].)(?=[ \t-\r]|\Z)")
 #: Letters of ASCII and Latin-1: composed already, with a lower case of their own.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 BYTE_SYMBOLS = {b: printable_byte(b) for b in range(256)}
+LINE_END = BYTE_SYMBOLS[10]
 
 
 def masked(data: bytes) -> int:
@@ -76,42 +78,49 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache = PieceCache(self._missing)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tool in (self.tokenizer, self.bare):
+            tool.no_truncation()
+            tool.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Split(LINE_END, "isolated")
+        self.line_end, = self.bare.encode(LINE_END, add_special_tokens=False).ids
+        self.cache = PieceCache(self._library)
 
     def _library(self, words: list[bytes]) -> list[list[int]]:
-        out, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
+        out, plain, symbols, rest = {}, [], [], []
         for w in words:
+            if w.isalpha():  # letters of ASCII are their own symbols
+                plain.append(w)
+                symbols.append(w.lower().decode())
+                continue
             text = w.decode("utf-8", "replace")
             if LETTERS.fullmatch(text):
                 # Normalizer and splitter leave such a word whole, in lower case.
-                symbols = text.lower().encode().decode("latin-1").translate(BYTE_SYMBOLS)
-                out[w] = [t.id for t in tokenize(symbols)]
+                plain.append(w)
+                symbols.append(text.lower().encode().decode("latin-1").translate(BYTE_SYMBOLS))
             else:
                 rest.append((w, text))
+        for at in range(0, len(plain), LIBRARY_WORDS):
+            out.update(zip(plain[at:at + LIBRARY_WORDS], self._symbol_ids(symbols[at:at + LIBRARY_WORDS])))
         for at in range(0, len(rest), LIBRARY_WORDS):
             some = rest[at:at + LIBRARY_WORDS]
             found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
             out.update((w, e.ids) for (w, _), e in zip(some, found))
         return [out[w] for w in words]
 
-    def _missing(self, words: list[bytes]) -> list[list[int]]:
-        split = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in END_MARKS and w[-2:-1].isalnum() else (w, b"") for w in words]
-        self.cache.learn([p for stem, mark in split if mark for p in (stem, mark)])  # none of these is split again
-        whole = [stem for stem, mark in split if not mark and stem not in self.cache.rows]
-        found = dict(zip(whole, self._library(whole)))
-        ids = self.cache.ids_of
-        return [ids(stem) + ids(mark) if mark else found.get(stem) or ids(stem) for stem, mark in split]
+    def _symbol_ids(self, symbols: list[str]) -> Iterator[list[int]]:
+        """Ids of words of letters: one text, in which a line end of its own id parts them."""
+        ids = self.bare.encode_batch_fast([LINE_END.join(symbols)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(np.array(ids, np.int64) == self.line_end).tolist()
+        return (ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)]))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words, bounds = [], [0]
         for t in texts:
-            words += (t if b"<|" in t else t.lower()).split()
+            words += END_MARK.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split()
             bounds.append(len(words))
         return self.cache.gather(words, bounds)
 

@@ -40,6 +40,17 @@ def test_encoders_equal_the_library(texts, monkeypatch):
             assert [i.tolist() for i in encode(part)] == want
 
 
+def test_marks_at_word_ends_and_letters_take_the_short_way(monkeypatch):
+    library, tool = Tokenizer.from_file(WORDS), records.WordEncoder(WORDS)
+    monkeypatch.setattr(records, "LIBRARY_WORDS", 3)
+    words = ["Word", "two", "caf\u00e9", "it's", "a1", "\u010a", "x<|endoftext|>", "naïve", "d)"]
+    texts = [" ".join(w + m for w in words for m in ("", ".", ",", "?!", "\x1c.")), "end.", "a.\x0b.b:", ".", "é. 1;\nÿ"]
+    assert [i.tolist() for i in tool.encode([t.encode() for t in texts])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    one = records.WordEncoder(WORDS)
+    one.encode([b"word word. word, word; other."])
+    assert set(one.cache.rows) == {b"word", b"other", b".", b",", b";"}  # no entry per word and mark
+
+
 def test_heap_and_scan_agree():
     tool, rng = bpe.codec(BYTES), random.Random(3)
     for _ in range(300):
