@@ -141,6 +141,21 @@ def test_encoder_forgets_when_full(monkeypatch):
             {"ab": [2], "a": [0], "b": [1], "aab": [0, 2], "bb": [1, 1]}[w] for w in batch]
 
 
+def test_what_an_encoder_remembers_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_BYTES", 4_000)
+    monkeypatch.setattr(encoding, "MERGE_CHARS", 100)
+    enc, learned = PieceEncoder((), [97, 98], [(0, 1, 2)]), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda some: (learned.append(sum(map(len, some))), learn(some)))
+    for i in range(30):
+        batch = ["ab" * n + "b" * i for n in range(1, 21)] + ["a" * (600 + i)]
+        for w, k in zip(batch, enc.locate(batch)):
+            got = enc.store[enc.starts[k]:enc.starts[k] + enc.sizes[k]].tolist()
+            assert b"".join([b"a", b"b", b"ab"][t] for t in got) == w.encode()
+        assert sum(map(len, enc.entry)) + enc.store.nbytes <= 4_000 + 5 * sum(map(len, batch))
+    assert max(learned) <= 100 + 630
+
+
 def test_symbols_skip_surrogates_and_keep_order():
     ids = [0, 5, 54_000, 55_039, 55_040, 60_000, 200_000]
     chars = [voc.symbol_char(i) for i in ids]
