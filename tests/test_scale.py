@@ -59,6 +59,32 @@ def test_python_gets_batches_of_bounded_bytes(spark):
     assert long_texts.select(size("t").alias("n")).agg(F.max("n")).first()[0] < 8 << 20
 
 
+def test_store_writer_and_reader_hold_bounded_batches(spark, monkeypatch, tmp_path):
+    class Watched(token_store.StoreWriter):
+        def write(self, iterator):
+            def seen():
+                for batch in iterator:
+                    with open(f"{tmp_path}/seen", "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return super().write(seen())
+
+    class Store(token_store.TokenStore):
+        def writer(self, schema, overwrite):
+            return Watched(self.options["path"], 2, int(self.options["part_tokens"]))
+
+    monkeypatch.setattr(token_store, "TokenStore", Store)
+    n = 50_000
+    rows = spark.range(200).select((F.col("id") * n).alias("start"), F.sequence(F.lit(1), F.lit(n)).alias("ids"))
+    token_store.write(rows, f"{tmp_path}/store", 300, part_tokens=200 * n)
+    seen = [int(x) for x in open(f"{tmp_path}/seen")]
+    assert sum(seen) > 200 * n * 4 and max(seen) < 8 << 20
+    reader = token_store.StoreReader(f"{tmp_path}/store", 2, token_store.PART_TOKENS)
+    blocks = [b["ids"].nbytes for t in reader.partitions() for b in reader.read(t)]
+    assert sum(blocks) >= 200 * n * 4 and max(blocks) < 1 << 20
+
+
 def test_byte_ids_of_nulls_and_empty_texts(spark):
     df = spark.createDataFrame([(0, "aé"), (1, None), (2, ""), (3, "b")], DOCS).coalesce(1)
     assert [r[0] for r in df.orderBy("doc_id").select(byte_ids(F.col("text"))).collect()] == [[100, 198, 172], [], [], [101]]
