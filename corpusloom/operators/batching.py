@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+
+from corpusloom.session import ship
 
 #: Rounds of the permutation, and walks out of its range that are followed. The range
 #: exceeds ``n`` by less than a square root of it: up to n = 1024 no walk can be longer,
@@ -20,31 +28,62 @@ def _sides(n: int) -> tuple[int, int]:
     return a, -(-max(n, 1) // a)
 
 
+@lru_cache(maxsize=256)
+def _shifts(seed: int | None, n: int) -> tuple[np.ndarray, ...]:
+    """For each round, by how much a cell moves for every value of its other coordinate."""
+    a, b = _sides(n)
+    out = []
+    for k in range(ROUNDS):
+        fixed, side = (a, b) if k % 2 else (b, a)
+        lead = f"{k}:" if seed is None else f"{seed}:{k}:"
+        out.append(np.array([int(md5(f"{lead}{i}".encode()).hexdigest()[:13], 16) % side for i in range(fixed)], dtype=np.int64))
+    return tuple(out)
+
+
+def _permute(index: np.ndarray, seed: int | None, n: int, inverse: bool) -> np.ndarray:
+    a, b = _sides(n)
+    shifts = _shifts(seed, n)
+
+    def step(x: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(x, b)
+        for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+            if k % 2:
+                right = (right + (-shifts[k][left] if inverse else shifts[k][left])) % b
+            else:
+                left = (left + (-shifts[k][right] if inverse else shifts[k][right])) % a
+        return left * b + right
+
+    out = step(index)
+    for _ in range(WALKS):
+        beyond = np.flatnonzero(out >= n)
+        if not len(beyond):
+            break
+        out[beyond] = step(out[beyond])
+    return out
+
+
 def permuted(index: Column, seed: Column, n: int, inverse: bool = False) -> Column:
     """Image of ``index`` under a seeded permutation of ``0 .. n - 1``.
 
     An index is a cell of a grid. Rounds move it along its row or its column by a hash of
     the other coordinate, which can be undone round by round; an image beyond ``n`` is
     moved again. Every place is computed by itself, in both directions: nothing is sorted
-    or exchanged, however many windows there are.
+    or exchanged, however many windows there are. A worker hashes each row and column of
+    the grid once, about a square root of ``n`` of them.
     """
-    a, b = _sides(n)
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    long = lambda v: F.lit(v).cast("long")
-
-    def turn(acc: Column, k: Column) -> Column:
-        along = F.pmod(k, F.lit(2)) == 0
-        fixed, moved, side = (F.when(along, x).otherwise(y) for x, y in ((acc["r"], acc["l"]), (acc["l"], acc["r"]), (long(a), long(b))))
-        digest = F.md5(F.concat_ws(":", seed.cast("string"), k.cast("string"), fixed.cast("string")))
-        shift = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
-        there = F.pmod(moved - shift if inverse else moved + shift, side)
-        return F.struct(F.when(along, there).otherwise(acc["l"]).alias("l"), F.when(along, acc["r"]).otherwise(there).alias("r"))
-
-    def step(x: Column) -> Column:
-        cell = F.struct(F.call_function("div", x, long(b)).alias("l"), F.pmod(x, long(b)).alias("r"))
-        return F.aggregate(rounds, cell, turn, lambda c: c["l"] * b + c["r"])
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(index.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    ship(SparkSession.active())
+
+    @arrow_udf("long")
+    def image(indexes: pa.Array, seeds: pa.Array) -> pa.Array:
+        given = indexes.is_valid().to_numpy(zero_copy_only=False)
+        x, out = indexes.fill_null(0).to_numpy(), np.zeros(len(indexes), dtype=np.int64)
+        for seed in seeds.unique().to_pylist():
+            own = seeds.is_null() if seed is None else pa.compute.equal(seeds, seed).fill_null(False)
+            rows = np.flatnonzero(own.to_numpy(zero_copy_only=False) & given)
+            out[rows] = _permute(x[rows], seed, n, inverse)
+        return pa.array(out, mask=~given)
+
+    return image(index.cast("long"), seed.cast("long"))
 
 
 def window_grid(spark: SparkSession, shards: int, n_windows: int) -> DataFrame:

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ids import pack_ids, unpack_ids
 from corpusloom.operators.positions import id_bucket, running_totals
+from corpusloom.session import ship
+
+_COUNT = "_n_ids"
 
 
 def token_count(ids: str = "ids") -> Column:
@@ -19,11 +23,15 @@ def stream_positions(
 ) -> DataFrame:
     """Add ``start``, the position of a document's first token in its stream.
 
-    ``encoded`` is read twice, so it should be a stored table rather than pending work.
+    ``encoded`` is read twice: it should be a stored table, or work that is cheaper than
+    storing it. Ids move packed.
     """
-    return running_totals(
-        encoded, {"start": token_count()}, bucket=id_bucket(order), order=[order], by=by,
-    )
+    if encoded.schema["ids"].dataType.simpleString() != "array<int>":
+        return running_totals(encoded, {"start": token_count()}, bucket=id_bucket(order), order=[order], by=by)
+    ship(encoded.sparkSession)
+    moved = encoded.withColumns({_COUNT: token_count(), "ids": pack_ids(F.col("ids"))})
+    placed = running_totals(moved, {"start": F.col(_COUNT)}, bucket=id_bucket(order), order=[order], by=by)
+    return placed.withColumn("ids", unpack_ids(F.col("ids"))).drop(_COUNT)
 
 
 def total_tokens(encoded: DataFrame) -> int:
@@ -58,15 +66,18 @@ def cut_windows(positioned: DataFrame, seq_len: int, stride: int, by: Sequence[s
         ).cast("long").alias("_last"),
     )
     rows = rows.where((F.col("_first") <= F.col("_last")) & (F.size("ids") > 0))
-    rows = rows.withColumn("window", F.explode(F.sequence("_first", "_last")))
-    rows = rows.withColumn("_w", F.col("_o") + F.col("window") * stride)
-    lo = F.greatest("_w", "start")
-    piece = _clip(lo, F.least(F.col("_w") + size, F.col("_end")))
-
-    inside = (F.col("_w") >= F.col("start")) & (F.col("_w") + size <= F.col("_end"))
-    whole = rows.where(inside).select(*by, "window", piece.alias("tokens"))
-    # The piece is cut before grouping, so no copy of a whole document per window.
-    pieces = rows.where(~inside).select(*by, "window", F.struct(lo.alias("at"), piece.alias("ids")).alias("piece"))
+    left = lambda w: F.col("_o") + w * stride
+    inside = lambda w: (left(w) >= F.col("start")) & (left(w) + size <= F.col("_end"))
+
+    def cut_out(w: Column) -> Column:
+        lo = F.greatest(left(w), "start")
+        return F.struct(w.alias("window"), lo.alias("at"), _clip(lo, F.least(left(w) + size, F.col("_end"))).alias("ids"))
+
+    # A row is cut in one go: no window goes through a later step with the whole row beside it.
+    numbers = F.sequence("_first", "_last")
+    whole = rows.select(*by, F.inline(F.transform(F.filter(numbers, inside), cut_out))).select(*by, "window", F.col("ids").alias("tokens"))
+    pieces = rows.select(*by, F.inline(F.transform(F.filter(numbers, lambda w: ~inside(w)), cut_out)))
+    pieces = pieces.select(*by, "window", F.struct("at", "ids").alias("piece"))
     spanning = pieces.groupBy(*by, "window").agg(F.flatten(F.sort_array(F.collect_list("piece"))["ids"]).alias("tokens"))
     return whole.unionByName(spanning.where(F.size("tokens") == size))
 

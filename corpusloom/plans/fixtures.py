@@ -81,9 +81,9 @@ def with_byte_ids(d: DataFrame) -> DataFrame:
 
 
 def byte_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as byte ids, written once."""
+    """Documents as byte ids, made anew wherever they are read: as a table they would take more than the documents."""
     ship(spark)
-    return cut(with_byte_ids(spread(docs(spark, sf))), "bytes")
+    return with_byte_ids(spread(docs(spark, sf)))
 
 
 def byte_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ _SHIPPED: set[str] = set()
 #: By rows alone, 10,000 long texts and what is made of them would be in memory together.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_LIMIT = 4 << 20
+#: Spark's setting that drops the shuffle files of a write, or another job, when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_ROOTS: dict[str, str] = {}
 
 
@@ -35,14 +39,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` to a shared table and read it back, which ends its lineage.
 
-    Lost executors re-read the table; nothing upstream runs again.
+    Lost executors re-read the table; nothing upstream runs again. ``by`` gives each value
+    of a column a folder, and presses harder what is large enough to be read in parts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.write.partitionBy(by).option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch = path
     return stored
@@ -57,6 +65,34 @@ def release(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_of(table: DataFrame, column: str) -> tuple[list[DataFrame], int]:
+    """The folders of a table of ``cut`` that was written by ``column``, and the table's bytes."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith(f"{column}="))
+    parts = []
+    for name in names:
+        part = spark.read.schema(table.drop(column).schema).parquet(f"{table._scratch}/{name}")
+        part._scratch = f"{table._scratch}/{name}"
+        parts.append(part)
+    return parts, files.getContentSummary(path).getLength()
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind, which else stay until the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Have Python workers get batches of bounded size, however long the rows are."""
     if spark.conf.get(BATCH_BYTES, None) is None:

@@ -27,9 +27,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from corpusloom.functions.ids import id_width
+from corpusloom.functions.ids import id_width, pack_ids, unpack_ids
 from corpusloom.operators.positions import running_totals
-from corpusloom.session import ship
+from corpusloom.session import cut, parts_of, release, ship, tidied
 from corpusloom.sources.inventory import size_label
 from corpusloom.sources.vocab_store import exists
 
@@ -40,6 +40,10 @@ BLOCK_TOKENS = 1 << 16
 #: so many tasks by then.
 TASK_TOKENS = 1 << 20
 TASKS = 256
+#: Parts are written in so many waves, one after the other, unless the packed rows take less
+#: than these bytes.
+WAVES = 8
+WAVE_BYTES = 32 << 20
 SCHEMA = "start long, ids array<int>"
 
 
@@ -78,8 +82,8 @@ class ByteRanges(InputPartition):
 
 
 class StoreWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int, part_tokens: int):
-        self.path, self.width, self.part_tokens = path, width, part_tokens
+    def __init__(self, path: str, width: int, part_tokens: int, wave: str | None = None):
+        self.path, self.width, self.part_tokens, self.wave = path, width, part_tokens, wave
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> PartsWritten:
         files, root = _filesystem(self.path)
@@ -118,22 +122,14 @@ class StoreWriter(DataSourceArrowWriter):
         return PartsWritten([tuple(p) for p in parts])
 
     def commit(self, messages) -> None:
-        rows = sorted((p for m in messages if m for p in m.parts), key=lambda p: p[1])
-        for before, after in zip(rows, rows[1:]):
-            if before[1] + before[2] != after[1]:
-                raise ValueError(f"part {after[0]} does not follow part {before[0]}")
-        columns = list(zip(*rows)) or [[], [], [], []]
-        table = pa.table({
-            "part": pa.array(columns[0], pa.string()), "start": pa.array(columns[1], pa.int64()),
-            "n_tokens": pa.array(columns[2], pa.int64()), "bytes": pa.array(columns[3], pa.int64()),
-        })
-        files, root = _filesystem(self.path)
-        files.create_dir(root, recursive=True)
-        old = _own_parts(files, root)
-        with files.open_output_stream(f"{root}/{MANIFEST}") as out:
-            pq.write_table(table, out)
-        for name in old - set(columns[0]):
-            files.delete_file(f"{root}/{name}")
+        rows = [p for m in messages if m for p in m.parts]
+        if self.wave:
+            files, root = _filesystem(self.path)
+            files.create_dir(root, recursive=True)
+            with files.open_output_stream(f"{root}/{self.wave}") as out:
+                pq.write_table(_table(rows), out)
+        else:
+            _publish(self.path, rows)
 
     def abort(self, messages) -> None:
         files, root = _filesystem(self.path)
@@ -142,6 +138,29 @@ class StoreWriter(DataSourceArrowWriter):
                 files.delete_file(f"{root}/{part[0]}")
 
 
+def _table(rows: list[tuple[str, int, int, int]]) -> pa.Table:
+    columns = list(zip(*rows)) or [[], [], [], []]
+    return pa.table({
+        "part": pa.array(columns[0], pa.string()), "start": pa.array(columns[1], pa.int64()),
+        "n_tokens": pa.array(columns[2], pa.int64()), "bytes": pa.array(columns[3], pa.int64()),
+    })
+
+
+def _publish(path: str, rows: list[tuple[str, int, int, int]]) -> None:
+    """Make the parts a store: its manifest, without what an earlier one named."""
+    rows = sorted(rows, key=lambda p: p[1])
+    for before, after in zip(rows, rows[1:]):
+        if before[1] + before[2] != after[1]:
+            raise ValueError(f"part {after[0]} does not follow part {before[0]}")
+    files, root = _filesystem(path)
+    files.create_dir(root, recursive=True)
+    old = _own_parts(files, root)
+    with files.open_output_stream(f"{root}/{MANIFEST}") as out:
+        pq.write_table(_table(rows), out)
+    for name in old - {r[0] for r in rows}:
+        files.delete_file(f"{root}/{name}")
+
+
 def _own_parts(files: fs.FileSystem, root: str) -> set[str]:
     """Part files in the folder itself that its manifest names and that are still there."""
     if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
@@ -231,7 +250,7 @@ class TokenStore(DataSource):
     def writer(self, schema, overwrite: bool) -> StoreWriter:
         return StoreWriter(
             self.options["path"], id_width(int(self.options["vocab_size"])),
-            int(self.options.get("part_tokens", PART_TOKENS)),
+            int(self.options.get("part_tokens", PART_TOKENS)), *([self.options["wave"]] if "wave" in self.options else []),
         )
 
 
@@ -242,6 +261,9 @@ def write(
 
     An existing store is kept unless ``force``. Parts are equal stretches of the stream,
     known from the positions, so no sampling pass is needed to balance them.
+
+    A store takes several times the disk of packed rows. So these are stored first, in
+    ``WAVES`` folders with whole parts each, and moved to their parts folder by folder.
     """
     spark = positioned.sparkSession
     action = "kept"
@@ -249,15 +271,47 @@ def write(
         ship(spark)
         spark.dataSource.register(TokenStore)
         part = F.floor(F.col("start") / part_tokens)
-        (
-            positioned.select("start", "ids").repartition(part).sortWithinPartitions("start")
-            .write.format("tokenstore").option("vocab_size", vocab_size).option("part_tokens", part_tokens)
-            .mode("overwrite").save(path)
-        )
+        with tidied(spark):
+            rows = cut(positioned.select("start", pack_ids(F.col("ids")).alias("ids"), F.pmod(part, F.lit(WAVES)).cast("int").alias("wave")), "pieces", by="wave")
+            waves, size = parts_of(rows, "wave")
+            names: list[str] = []
+
+            def send(piece: DataFrame, **options) -> None:
+                (
+                    piece.select("start", "ids").repartition(part).sortWithinPartitions("start").select("start", unpack_ids(F.col("ids")).alias("ids"))
+                    .write.format("tokenstore").option("vocab_size", vocab_size).option("part_tokens", part_tokens).options(**options)
+                    .mode("overwrite").save(path)
+                )
+
+            if len(waves) <= 1 or size < WAVE_BYTES:
+                send(rows)
+            else:
+                files, root = _filesystem(path)
+                try:
+                    for wave in waves:
+                        names.append(f"wave-{uuid.uuid4().hex}.parquet")
+                        send(wave, wave=names[-1])
+                        release(wave)
+                    tables = [pq.read_table(f"{root}/{name}", filesystem=files) for name in names]
+                    _publish(path, [tuple(r.values()) for t in tables for r in t.to_pylist()])
+                except BaseException:
+                    _drop_waves(path, names, parts=True)
+                    raise
+                _drop_waves(path, names)
+            release(rows)
         action = "written"
     return report(spark, path, vocab_size).withColumn("action", F.lit(action))
 
 
+def _drop_waves(path: str, names: list[str], parts: bool = False) -> None:
+    files, root = _filesystem(path)
+    for name in names:
+        if files.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+            for part in pq.read_table(f"{root}/{name}", columns=["part"], filesystem=files)["part"].to_pylist() if parts else ():
+                files.delete_file(f"{root}/{part}")
+            files.delete_file(f"{root}/{name}")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{MANIFEST}")
 
