@@ -161,6 +161,28 @@ def _publish(path: str, rows: list[tuple[str, int, int, int]]) -> None:
         files.delete_file(f"{root}/{name}")
 
 
+def _withdraw(path: str) -> None:
+    """Delete a store, its manifest first: nobody finds parts of it that are gone."""
+    files, root = _filesystem(path)
+    old = _own_parts(files, root)
+    if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+        files.delete_file(f"{root}/{MANIFEST}")
+    for name in old:
+        files.delete_file(f"{root}/{name}")
+
+
+def _apart(df: DataFrame, path: str) -> bool:
+    """Whether rows surely come from elsewhere: from files outside the folder, or from no files."""
+    plan = df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    root = _filesystem(path)[1].strip("/")
+    return (
+        kinds <= {"LogicalRelation", "LocalRelation", "Range", "OneRowRelation"} and "RelationV2" not in plan.toString()
+        and not any(f"{root}/" in f for f in df.inputFiles())
+    )
+
+
 def _own_parts(files: fs.FileSystem, root: str) -> set[str]:
     """Part files in the folder itself that its manifest names and that are still there."""
     if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
@@ -263,13 +285,18 @@ def write(
     known from the positions, so no sampling pass is needed to balance them.
 
     A store takes several times the disk of packed rows. So these are stored first, in
-    ``WAVES`` folders with whole parts each, and moved to their parts folder by folder.
+    ``WAVES`` folders with whole parts each, and moved to their parts folder by folder. A
+    store that is replaced goes before that, as one file that is opened to be written,
+    but only at the end where rows may come from it.
     """
     spark = positioned.sparkSession
     action = "kept"
-    if force or not exists(spark, f"{path}/{MANIFEST}"):
+    found = exists(spark, f"{path}/{MANIFEST}")
+    if force or not found:
         ship(spark)
         spark.dataSource.register(TokenStore)
+        if found and _apart(positioned, path):
+            _withdraw(path)
         part = F.floor(F.col("start") / part_tokens)
         with tidied(spark):
             rows = cut(positioned.select("start", pack_ids(F.col("ids")).alias("ids"), F.pmod(part, F.lit(WAVES)).cast("int").alias("wave")), "pieces", by="wave")

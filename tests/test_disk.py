@@ -42,6 +42,26 @@ def left_behind(spark, files, held):
     return (shuffle_files(spark) - files) | (pieces(spark) - held)
 
 
+def test_a_forced_write_frees_the_old_store_before_the_new_one(spark, monkeypatch, tmp_path):
+    path = f"{tmp_path}/store"
+
+    class Watched(token_store.StoreWriter):
+        def write(self, iterator):
+            with open(f"{tmp_path}/seen", "a") as f:
+                f.write(f"{sum(n.endswith('.bin') for n in os.listdir(path))}\n")
+            return super().write(iterator)
+
+    class Store(token_store.TokenStore):
+        def writer(self, schema, overwrite):
+            return Watched(self.options["path"], 2, int(self.options["part_tokens"]))
+
+    token_store.write(rows_of(spark, 40), path, 300, part_tokens=4_000)
+    monkeypatch.setattr(token_store, "TokenStore", Store)
+    report = token_store.write(rows_of(spark, 30, shift=5), path, 300, part_tokens=4_000, force=True).first()
+    assert (report.action, report.tokens) == ("written", 1_500)
+    assert {int(x) for x in open(f"{tmp_path}/seen")} == {0}
+
+
 @pytest.mark.parametrize("wave_bytes", [0, 1 << 30])
 def test_a_store_in_waves_is_the_same_store(spark, monkeypatch, tmp_path, wave_bytes):
     monkeypatch.setattr(token_store, "WAVE_BYTES", wave_bytes)
